@@ -10,6 +10,7 @@ import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,11 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{configured.rstrip('/')}/labelloom-{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a scan of it."""
+def stage(df: DataFrame, label: str, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return a scan of it, read as ``schema`` if given."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def clear_staged(spark: SparkSession) -> None:
