@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["prepare_queries", "text_queries", "profile_queries"]
+_MODULES = ["prepare_queries", "text_queries", "profile_queries", "feature_queries", "evaluate_queries", "model_queries", "io_queries"]
 
 
 def load_queries() -> tuple[dict, dict]:
