@@ -177,8 +177,8 @@ def save_and_load_model(spark, sf_dir):
     model = fitted(spark, sf_dir)
     M.save_model(model, path)
     rows = splits(spark, sf_dir)
-    before = M.predict(model, rows, RECORD_ID, NARRATIVE, (RECORD_ID,))
-    after = M.predict(M.load_model(spark, path), rows, RECORD_ID, NARRATIVE, (RECORD_ID,))
+    before = M.predict(model, rows, RECORD_ID, NARRATIVE)
+    after = M.predict(M.load_model(spark, path), rows, RECORD_ID, NARRATIVE)
     both = before.join(after.withColumnRenamed("y_pred", "again"), RECORD_ID)
     return both.agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("y_pred") != F.col("again")).alias("n_changed")

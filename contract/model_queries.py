@@ -40,21 +40,21 @@ def fit_tfidf_lr(spark, sf_dir):
     stack = M.build_stack(M.STACK_NAME, {**SMALL, "min_df": 3, "max_df": 0.9})
     train = train_rows(spark, sf_dir)
     model = M.fit_tfidf_lr(train, stack, RECORD_ID, NARRATIVE)
-    scored = M.predict(model, train, RECORD_ID, NARRATIVE, (RECORD_ID, "category"))
+    scored = M.predict(model, train, RECORD_ID, NARRATIVE, ("category",))
     return E.summary_metrics(E.confusion_pairs(scored.withColumnRenamed("category", "y_true")))
 
 
 @query()
 def predict_proba(spark, sf_dir):
     rows = split_of(spark, sf_dir, "test")
-    scored = M.predict_proba(fitted(spark, sf_dir), rows, RECORD_ID, NARRATIVE, (RECORD_ID,))
+    scored = M.predict_proba(fitted(spark, sf_dir), rows, RECORD_ID, NARRATIVE)
     return _confidence(scored)
 
 
 @query()
 def predict(spark, sf_dir):
     rows = split_of(spark, sf_dir, "val", "test")
-    return M.predict(fitted(spark, sf_dir), rows, RECORD_ID, NARRATIVE, (RECORD_ID, "category"))
+    return M.predict(fitted(spark, sf_dir), rows, RECORD_ID, NARRATIVE, ("category",))
 
 
 @query()

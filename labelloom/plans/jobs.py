@@ -56,7 +56,7 @@ def train_category(spark: SparkSession, data: str, model_path: str, stack: M.Tex
 
 
 def _scored(fitted: M.FittedStack, rows: DataFrame) -> DataFrame:
-    scored = M.predict_proba(fitted, rows, RECORD_ID, NARRATIVE, (RECORD_ID, "category"))
+    scored = M.predict_proba(fitted, rows, RECORD_ID, NARRATIVE, ("category",))
     return scored.withColumnRenamed("category", "y_true")
 
 
