@@ -101,3 +101,8 @@ def best_experiment(spark, sf_dir):
         F.round(F.count_if(F.col("split") == "train") / F.count("*"), 9).alias("macro_f1")
     )
     return EX.best_experiment(board)
+
+
+def forget() -> None:
+    """Drop the shared fit, so that the next query fits again."""
+    _fitted.cache_clear()

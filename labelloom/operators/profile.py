@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as T
-from labelloom.operators.prepare import category_of, non_empty_text
+from labelloom.operators.prepare import all_present, category_of, non_empty_text
 from labelloom.scale.joins import pin
 from labelloom.scale.ordering import top_rows
 from labelloom.schema import MIN_TEXT_LENGTH, NARRATIVE, RECORD_ID
@@ -103,7 +103,7 @@ def selection_bias(df: DataFrame, text: str = NARRATIVE, product: str = "product
 
 def eda_slice(df: DataFrame, limit: int = MIN_TEXT_LENGTH) -> DataFrame:
     """Rows with text, product and issue whose unstripped text is longer than ``limit``, plus category."""
-    kept = non_empty_text(df).dropna("any", subset=["product", "issue"]).filter(F.length(NARRATIVE) > limit)
+    kept = non_empty_text(df).filter(all_present(["product", "issue"]) & (F.length(NARRATIVE) > limit))
     return kept.withColumn("category", category_of(F.col("product"), F.col("issue")))
 
 

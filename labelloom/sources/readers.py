@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as T
+from labelloom.operators.prepare import all_present
 from labelloom.scale.ordering import ordered_index
 from labelloom.schema import NARRATIVE, RECORD_ID, REQUIRED_COLUMNS, SPLITS, require_columns
 
@@ -66,7 +67,7 @@ def read_split(
 
 
 def drop_unlabelled(df: DataFrame, text: str = NARRATIVE, label: str = "category") -> DataFrame:
-    return df.dropna("any", subset=[text, label])
+    return df.filter(all_present([text, label]))
 
 
 def strip_and_drop_empty(df: DataFrame, text: str = NARRATIVE, label: str = "category") -> DataFrame:

@@ -70,7 +70,7 @@ def plain_char_wb(text, low, high):
 ALPHABET = "aXxYz 09\t\n\x0b\x1c  　'<>.!$|-é１"
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet=ALPHABET, max_size=40), min_size=40, max_size=60))
 def test_expressions_equal_plain_python(spark, texts):
     assert values(spark, T.text_key, texts) == [re.sub(r"\s+", " ", t.strip().lower()) for t in texts]
