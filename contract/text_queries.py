@@ -12,22 +12,24 @@ from labelloom.operators import features as X
 from labelloom.operators import profile as D
 from labelloom.schema import NARRATIVE, RECORD_ID
 
-TEXT = F.col(NARRATIVE)
+
+def _text():
+    return F.col(NARRATIVE)
 
 
 @query(f"SELECT doc_id AS record_id, {Q.text_key(Q.MARKED)} AS text_key FROM documents")
 def text_key(spark, sf_dir):
-    return marked_complaints(spark, sf_dir).select(RECORD_ID, T.text_key(TEXT).alias("text_key"))
+    return marked_complaints(spark, sf_dir).select(RECORD_ID, T.text_key(_text()).alias("text_key"))
 
 
 @query(f"SELECT doc_id AS record_id, {Q.tfidf_clean(Q.MARKED)} AS cleaned FROM documents")
 def tfidf_clean(spark, sf_dir):
-    return marked_complaints(spark, sf_dir).select(RECORD_ID, T.tfidf_clean(TEXT).alias("cleaned"))
+    return marked_complaints(spark, sf_dir).select(RECORD_ID, T.tfidf_clean(_text()).alias("cleaned"))
 
 
 @query(f"SELECT doc_id AS record_id, {Q.neural_clean(Q.MARKED)} AS cleaned FROM documents")
 def neural_clean(spark, sf_dir):
-    return marked_complaints(spark, sf_dir).select(RECORD_ID, T.neural_clean(TEXT).alias("cleaned"))
+    return marked_complaints(spark, sf_dir).select(RECORD_ID, T.neural_clean(_text()).alias("cleaned"))
 
 
 def _listed(df, terms, separator=" "):
@@ -46,17 +48,17 @@ def _listed_sql(terms: str, separator: str = " ") -> str:
 
 @query(_listed_sql(Q.words(Q.neural_clean(Q.MARKED))))
 def simple_tokenize(spark, sf_dir):
-    return _listed(marked_complaints(spark, sf_dir), T.simple_tokenize(TEXT))
+    return _listed(marked_complaints(spark, sf_dir), T.simple_tokenize(_text()))
 
 
 @query(_listed_sql(f"regexp_extract_all(lower({Q.MARKED}), '[a-z]+')"))
 def alpha_tokens(spark, sf_dir):
-    return _listed(marked_complaints(spark, sf_dir), T.alpha_tokens(TEXT))
+    return _listed(marked_complaints(spark, sf_dir), T.alpha_tokens(_text()))
 
 
 @query(_listed_sql(Q.words(Q.tfidf_clean(Q.MARKED), 2)))
 def word_tokens(spark, sf_dir):
-    return _listed(marked_complaints(spark, sf_dir), T.word_tokens(TEXT))
+    return _listed(marked_complaints(spark, sf_dir), T.word_tokens(_text()))
 
 
 @query(f"""
@@ -64,7 +66,7 @@ SELECT record_id, len(g) AS n_terms, array_to_string(g, '/') AS terms FROM (
   SELECT record_id, {Q.bigrams('t')} AS g
   FROM (SELECT doc_id AS record_id, {Q.words(Q.tfidf_clean(Q.MARKED), 2)} AS t FROM documents))""")
 def word_ngrams(spark, sf_dir):
-    return _listed(marked_complaints(spark, sf_dir), T.word_ngrams(T.word_tokens(TEXT)), "/")
+    return _listed(marked_complaints(spark, sf_dir), T.word_ngrams(T.word_tokens(_text())), "/")
 
 
 def _windows(n: int) -> str:
@@ -86,7 +88,7 @@ grams AS (
 )
 SELECT term, count(DISTINCT doc_id) AS df, CAST(sum(n) AS BIGINT) AS cf FROM grams GROUP BY term""")
 def char_wb_ngrams(spark, sf_dir):
-    docs = complaints(spark, sf_dir).select(T.char_wb_ngrams(TEXT, 3, 5).alias("terms"))
+    docs = complaints(spark, sf_dir).select(T.char_wb_ngrams(_text(), 3, 5).alias("terms"))
     return X.term_stats(docs)
 
 
@@ -96,8 +98,8 @@ SELECT avg(CASE WHEN regexp_matches({Q.MARKED}, 'X{{3,}}') THEN 1e0 ELSE 0e0 END
 FROM documents""")
 def pattern_share(spark, sf_dir):
     return complaints(spark, sf_dir).agg(
-        T.pattern_share(F.concat(TEXT, F.lit(" XXXX 12/03 don't")), T.ANON_PATTERN).alias("marked_share"),
-        T.pattern_share(TEXT, "[0-9]").alias("digit_share"),
+        T.pattern_share(F.concat(_text(), F.lit(" XXXX 12/03 don't")), T.ANON_PATTERN).alias("marked_share"),
+        T.pattern_share(_text(), "[0-9]").alias("digit_share"),
     )
 
 

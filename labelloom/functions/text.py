@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Patterns and replacement tokens that decide every cleaned text.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 EDGE_WHITESPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+NON_SPACE = r"[^\s\x1c-\x1f]"
 ANONYMISED = r"(?U)\bx{2,}\b"
 DIGITS = r"(?U)\d+"
 TFIDF_DROPPED = r"[^a-z]+"
@@ -32,6 +33,20 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_WHITESPACE, "")
 
 
+def has_text(text: Column) -> Column:
+    """Whether anything is left after stripping; stops at the first such character."""
+    return F.rlike(text, F.lit(f"(?U){NON_SPACE}"))
+
+
+def stripped_longer_than(text: Column, limit: int) -> Column:
+    """Whether the stripped text has more than ``limit`` (at least 1) characters.
+
+    Two non-space characters with ``limit - 1`` or more characters between them decide it, so the match
+    ends near the start of a long text instead of rewriting all of it.
+    """
+    return F.rlike(text, F.lit(f"(?Us){NON_SPACE}.{{{limit - 1},}}?{NON_SPACE}"))
+
+
 def text_key(text: Column) -> Column:
     """Lower-cased text with whitespace runs collapsed to one space and none at the ends."""
     return F.trim(F.regexp_replace(F.lower(text), WHITESPACE, " "))

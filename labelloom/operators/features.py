@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from labelloom.functions import text as T
 from labelloom.scale.joins import MAX_BROADCAST_ROWS, fits_broadcast, lookup_join, pin
-from labelloom.scale.ordering import ordered_index, top_rows
+from labelloom.scale.ordering import number_rows, top_rows
 from labelloom.scale.staging import stage
 
 # Special tokens, their ids and the limits on vocabulary settings.
@@ -84,12 +84,9 @@ def select_vocab(
     if high < low:
         raise ValueError("max_df corresponds to fewer documents than min_df")
     kept = stats.filter((F.col("df") >= low) & (F.col("df") <= high))
-    if max_features is None:
-        numbered = ordered_index(kept, [F.col("term")], "term_id")
-    else:
-        # At most max_features rows are left, so one task may number them.
-        best = top_rows(kept, [F.desc("cf"), F.col("term")], max_features)
-        numbered = best.withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)
+    if max_features is not None:
+        kept = top_rows(kept, [F.desc("cf"), F.col("term")], max_features)
+    numbered = number_rows(kept, [F.col("term")], "term_id", max_features)
     return numbered.select(
         "term", F.col("term_id").cast("int").alias("term_id"), "df", "cf", idf(n_docs, F.col("df")).alias("idf")
     )
@@ -217,9 +214,8 @@ def build_vocab(
         (F.col("freq") >= min_freq) & ~F.col("token").isin(PAD_TOKEN, UNK_TOKEN)
     )
     order = [F.desc("freq"), F.col("token")]
-    # At most max_size rows are left, so one task may number them.
-    ranked = top_rows(frequent, order, max_size - 2).withColumn(
-        "token_id", F.row_number().over(Window.orderBy(*order)) + UNK_ID
+    ranked = number_rows(top_rows(frequent, order, max_size - 2), order, "_rank", max_size).withColumn(
+        "token_id", (F.col("_rank") + UNK_ID + 1).cast("int")
     )
     specials = docs.sparkSession.createDataFrame(
         [(PAD_TOKEN, PAD_ID, 0), (UNK_TOKEN, UNK_ID, 0)], "token string, token_id int, freq bigint"

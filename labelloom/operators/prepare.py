@@ -39,7 +39,7 @@ def has_required() -> Column:
 
 def longer_than(text: Column, limit: int) -> Column:
     """Stripped length above ``limit``; the plain length is tested first because it is cheap."""
-    return (F.length(text) > limit) & (F.length(T.strip(text)) > limit)
+    return (F.length(text) > limit) & T.stripped_longer_than(text, limit)
 
 
 def category_of(product: Column, issue: Column) -> Column:
@@ -62,7 +62,7 @@ def min_text_length(df: DataFrame, limit: int = MIN_TEXT_LENGTH) -> DataFrame:
 
 
 def non_empty_text(df: DataFrame, column: str = NARRATIVE) -> DataFrame:
-    return df.filter(F.col(column).isNotNull() & (T.strip(F.col(column)) != ""))
+    return df.filter(F.col(column).isNotNull() & T.has_text(F.col(column)))
 
 
 def fill_text(df: DataFrame, column: str = NARRATIVE) -> DataFrame:
@@ -93,13 +93,14 @@ def min_class_count(df: DataFrame, minimum: int = MIN_CLASS_COUNT) -> DataFrame:
     return lookup_join(df, kept, "category", "left_semi", "class_rows", F.col(RECORD_ID))
 
 
-def key_groups(df: DataFrame) -> DataFrame:
-    """One row per text key: size, a category, and whether the key carries more than one category."""
+def key_groups(df: DataFrame, label: str = "category") -> DataFrame:
+    """One row per text key: size, least and greatest label, and whether the two differ.
+
+    A numeric label keeps the aggregation hash-based; text labels make Spark sort first.
+    """
     return df.groupBy("key_digest").agg(
-        F.count("*").alias("key_rows"),
-        F.min("category").alias("category"),
-        F.max("category").alias("other_category"),
-    ).withColumn("conflicting", F.col("category") != F.col("other_category"))
+        F.count("*").alias("key_rows"), F.min(label).alias(label), F.max(label).alias(f"other_{label}")
+    ).withColumn("conflicting", F.col(label) != F.col(f"other_{label}"))
 
 
 def conflicting_keys(df: DataFrame) -> DataFrame:
@@ -121,9 +122,9 @@ def class_refilter(df: DataFrame, minimum: int = MIN_CLASS_COUNT) -> DataFrame:
     return min_class_count(df, minimum)
 
 
-def remaining_conflicts(df: DataFrame) -> DataFrame:
+def remaining_conflicts(df: DataFrame, label: str = "category") -> DataFrame:
     """How many conflicting keys are left."""
-    return conflicting_keys(df).agg(F.count("*").alias("n_conflicting_text_keys_after"))
+    return key_groups(df, label).agg(F.count_if("conflicting").alias("n_conflicting_text_keys_after"))
 
 
 def assign_complaint_id(df: DataFrame) -> DataFrame:

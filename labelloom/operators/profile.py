@@ -84,7 +84,7 @@ def text_availability(df: DataFrame, text: str = NARRATIVE) -> DataFrame:
 
 def selection_bias(df: DataFrame, text: str = NARRATIVE, product: str = "product", k: int = TOP_BIAS) -> DataFrame:
     """Share of each product among all rows and among rows with text; a side without rows stays null."""
-    has_text = F.col(text).isNotNull() & (T.strip(F.col(text)) != "")
+    has_text = F.col(text).isNotNull() & T.has_text(F.col(text))
     counts = pin(
         df.filter(F.col(product).isNotNull())
         .groupBy(product)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as T
@@ -70,30 +70,35 @@ class PreparedSlice:
 
     @cached_property
     def classes(self) -> DataFrame:
-        """Size of every class before the class filter."""
-        return pin(P.class_sizes(self.usable), "classes")
+        """Size of every class before the class filter, with a number that stands for it in wide work."""
+        number = F.row_number().over(Window.orderBy("category"))  # one row per class
+        return pin(P.class_sizes(self.usable).withColumn("class_id", number), "classes")
 
     @cached_property
     def in_valid_class(self) -> DataFrame:
+        """Records of the classes that are large enough: record id, digest and class number."""
         valid = self.classes.filter(F.col("class_rows") >= self.min_class_count)
-        return lookup_join(self.usable, valid, "category", "left_semi", "class_rows", F.col(RECORD_ID))
+        joined = lookup_join(self.usable, valid, "category", "inner", "class_rows", F.col(RECORD_ID))
+        return joined.select(RECORD_ID, "class_id", "key_digest")
 
     @cached_property
     def keys(self) -> DataFrame:
         """One row per text key inside the valid classes."""
-        return stage(P.key_groups(self.in_valid_class), "keys")
+        return stage(P.key_groups(self.in_valid_class, "class_id"), "keys")
 
     @cached_property
     def classes_after_conflicts(self) -> DataFrame:
         clean = self.keys.filter(~F.col("conflicting"))
-        return pin(clean.groupBy("category").agg(F.sum("key_rows").alias("class_rows")), "classes")
+        sizes = clean.groupBy("class_id").agg(F.sum("key_rows").alias("class_rows"))
+        return pin(sizes.join(self.classes.select("class_id", "category"), "class_id"), "classes")
 
     @cached_property
     def groups(self) -> DataFrame:
         """Surviving keys with their category and row count."""
         valid = self.classes_after_conflicts.filter(F.col("class_rows") >= self.min_class_count)
-        clean = self.keys.filter(~F.col("conflicting")).select("key_digest", "category", "key_rows")
-        return lookup_join(clean, valid, "category", "left_semi", "class_rows", F.col("key_digest"))
+        clean = self.keys.filter(~F.col("conflicting")).select("key_digest", "class_id", "key_rows")
+        joined = lookup_join(clean, valid, "class_id", "inner", "class_rows", F.col("key_digest"))
+        return joined.select("key_digest", "category", "key_rows")
 
     @cached_property
     def group_splits(self) -> DataFrame:
@@ -102,7 +107,7 @@ class PreparedSlice:
     @cached_property
     def records(self) -> DataFrame:
         """Surviving records, narrow: record id, digest, category and split."""
-        table = self.group_splits.select("key_digest", "key_rows", "split")
+        table = self.group_splits.select("key_digest", "key_rows", "category", "split")
         joined = lookup_join(self.in_valid_class, table, "key_digest", "inner", "key_rows", F.col(RECORD_ID))
         return joined.drop("key_rows")
 
@@ -113,7 +118,7 @@ class PreparedSlice:
 
     def _with_text(self, narrow: DataFrame) -> DataFrame:
         texts = P.select_required(self.raw)
-        return P.derive_text_key(narrow.join(texts, RECORD_ID))
+        return P.derive_text_key(narrow.drop("class_id").join(texts, RECORD_ID))
 
     def rows(self) -> DataFrame:
         """The prepared table in its six final columns."""
@@ -165,7 +170,7 @@ class PreparedSlice:
             F.count_if(F.col("class_rows") >= m).alias("n_classes_after_refilter"),
             smallest.alias("min_class_size_after_refilter"),
         )
-        left = P.remaining_conflicts(self.records)
+        left = P.remaining_conflicts(self.records, "class_id")
         stats = rows
         for part in (before, keys, after, left):
             stats = stats.join(part)  # one row each

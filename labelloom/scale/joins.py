@@ -11,11 +11,10 @@ from labelloom.scale.staging import stage
 MAX_PINNED_ROWS = 20_000
 # A table is only broadcast after its rows were counted and found to be at most this many.
 MAX_BROADCAST_ROWS = 200_000
-# A key is hot when it holds at least this many rows of the large side.
+# A key is hot when it holds at least this many rows of the large side, and is cut into pieces of about that size.
 HOT_KEY_ROWS = 1_000_000
 # Hot keys are listed largest first; by pigeonhole a key outside the list holds < 1/MAX_HOT_KEYS of the rows.
-MAX_HOT_KEYS = 1_000
-SALTS = 64
+MAX_HOT_KEYS = 100_000
 
 
 def pin(table: DataFrame, label: str, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
@@ -61,23 +60,23 @@ def salted_join(
     weight: str,
     spread: Column,
     hot_key_rows: int = HOT_KEY_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Shuffle join in which each hot key is dealt over ``salts`` partitions; all other keys are left alone."""
+    """Shuffle join in which a hot key is cut into about ``weight / hot_key_rows`` pieces; other keys are left alone."""
     hot = (
         table.filter(F.col(weight) >= hot_key_rows)
         .orderBy(F.desc(weight), on)
         .limit(MAX_HOT_KEYS)
-        .select(on, F.lit(True).alias("_hot"))
+        .select(on, (F.ceil(F.col(weight) / hot_key_rows) + 1).cast("int").alias("_pieces"))
     )
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    pieces = F.coalesce("_pieces", F.lit(1))
     salted_rows = (
         rows.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int"))
-        .drop("_hot")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread), pieces).cast("int"))
+        .drop("_pieces")
     )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_table = (
-        table.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        table.join(F.broadcast(hot), on, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        .drop("_pieces")
     )
     return salted_rows.join(salted_table, [on, "_salt"], how).drop("_salt")

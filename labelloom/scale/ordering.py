@@ -42,6 +42,13 @@ def top_rows(df: DataFrame, order: list[Column], n: int, inline: int = 5_000) ->
     return ordered_index(df, order, "_rank").filter(F.col("_rank") < n).drop("_rank")
 
 
+def number_rows(df: DataFrame, order: list[Column], name: str, bound: int | None, inline: int = 200_000) -> DataFrame:
+    """0-based position under a total order, for a table known to have at most ``bound`` rows (None: unknown)."""
+    if bound is None or bound > inline:
+        return ordered_index(df, order, name)
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+
+
 def rank_in_group(
     df: DataFrame, group: str, size: str, spread_hex: str, tie: str, name: str, prefix: int = 4
 ) -> DataFrame:

@@ -75,6 +75,10 @@ ALPHABET = "aXxYz 09\t\n\x0b\x1c  　'<>.!$|-é１"
 def test_expressions_equal_plain_python(spark, texts):
     assert values(spark, T.text_key, texts) == [re.sub(r"\s+", " ", t.strip().lower()) for t in texts]
     assert values(spark, T.strip, texts) == [t.strip() for t in texts]
+    assert values(spark, T.has_text, texts) == [t.strip() != "" for t in texts]
+    for limit in (1, 2, 8):
+        longer = values(spark, lambda t: T.stripped_longer_than(t, limit), texts)  # noqa: B023
+        assert longer == [len(t.strip()) > limit for t in texts]
     assert values(spark, T.tfidf_clean, texts) == [plain_tfidf(t) for t in texts]
     assert values(spark, T.neural_clean, texts) == [plain_neural(t) for t in texts]
     assert values(spark, T.simple_tokenize, texts) == [plain_neural(t).split() for t in texts]
