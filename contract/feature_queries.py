@@ -32,7 +32,7 @@ def select_vocab(spark, sf_dir):
     return _vocab(spark, sf_dir).table.drop("idf")
 
 
-@query(Q.with_(Q.vocab_ctes(1_000_000), "SELECT term, term_id, df, cf FROM vocab"))
+@query(Q.with_(Q.vocab_ctes(None), "SELECT term, term_id, df, cf FROM vocab"))
 def select_vocab_uncapped(spark, sf_dir):
     train = train_rows(spark, sf_dir)
     stats = X.term_stats(terms_of(train))

@@ -168,8 +168,9 @@ def terms(source: str, ngrams: bool = True) -> str:
     return f"SELECT record_id, split, {listed} AS terms FROM (SELECT record_id, split, {cleaned} AS t FROM {source})"
 
 
-def vocab_ctes(max_features: int = 2000, ngrams: bool = True) -> str:
+def vocab_ctes(max_features: int | None = 2000, ngrams: bool = True) -> str:
     """Vocabulary fitted on the training rows, with n, df, cf, idf and alphabetical ids."""
+    limit = "" if max_features is None else f"LIMIT {max_features}"
     return PREPARED + f""",
 doc_terms AS MATERIALIZED ({terms('prepared', ngrams)}),
 occurrences AS MATERIALIZED (SELECT record_id, split, unnest(terms) AS term FROM doc_terms),
@@ -180,7 +181,7 @@ stats AS (
 ),
 kept AS (
   SELECT term, df, cf FROM stats, n_train WHERE df >= 2 AND df <= 0.95e0 * n
-  ORDER BY cf DESC, term LIMIT {max_features}
+  ORDER BY cf DESC, term {limit}
 ),
 vocab AS MATERIALIZED (
   SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, cf,
