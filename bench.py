@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from contract import load_queries, model_queries, tables  # noqa: E402
+from labelloom.scale.staging import clear_staged  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -73,7 +74,9 @@ def timed(spark: SparkSession, query) -> float:
     model_queries.forget()
     start = time.perf_counter()
     query(spark, SF_DIR).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    seconds = time.perf_counter() - start
+    clear_staged(spark)
+    return seconds
 
 
 def main() -> None:

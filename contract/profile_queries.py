@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contract import sql as Q
 from contract.prepare_queries import _GAPPY
 from contract.registry import query
-from contract.tables import complaints, gappy_complaints, marked_complaints, split_of, spread, table
+from contract.tables import complaints, gappy_complaints, marked_complaints, split_of, table
 from labelloom.operators import profile as D
 from labelloom.schema import NARRATIVE, RECORD_ID
 

@@ -26,9 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over the cores when the file has fewer splits than there are cores; a no-op on big tables."""
+    """Deal rows over the cores by id when the file has fewer splits than there are cores; a no-op on big tables."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, RECORD_ID) if df.rdd.getNumPartitions() < cores else df
 
 
 def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label_id").alias("_best"), F.col("category").alias("y_pred")
     )
     return (
-        lookup_join(scored, named, "_best")
+        lookup_join(scored, named, "_best", "left")
         .withColumn("proba", SC.softmax(F.col("scores")))
         .withColumnRenamed("category", "y_true")
         .drop("_best")

@@ -156,6 +156,15 @@ def term_counts(terms: Column) -> Column:
     )
 
 
+def items(array: Column) -> Column:
+    """The array itself, to be handed to ``explode``.
+
+    Spark adds a size test below a generator over a plain column and pushes it down to where the column is
+    computed, which would tokenise every text twice. It leaves a generator over an expression alone.
+    """
+    return F.filter(array, lambda item: item.isNotNull())
+
+
 def pattern_share(text: Column, pattern: str) -> Column:
     """Aggregate: share of rows whose text matches; null counts as no match."""
     return F.avg(F.coalesce(F.rlike(text, F.lit(pattern)), F.lit(False)).cast("double"))

@@ -196,7 +196,7 @@ def to_vectors(arrays: DataFrame, size: int) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    return docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
+    return docs.select(F.explode(T.items(F.col(tokens))).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
 
 
 def build_vocab(
@@ -268,7 +268,7 @@ def _id_lookup(vocab: DataFrame):
 
 
 def _ids_by_join(docs: DataFrame, vocab: DataFrame, id_column: str, tokens: str) -> DataFrame:
-    placed = docs.select(id_column, F.posexplode(tokens).alias("_at", "token"))
+    placed = docs.select(id_column, F.posexplode(T.items(F.col(tokens))).alias("_at", "token"))
     known = lookup_join(placed, vocab, "token", "left", "freq", F.col(id_column), max_broadcast_rows=0)
     entry = F.struct("_at", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))
     grouped = known.groupBy(id_column).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
@@ -284,7 +284,7 @@ def attention_mask(ids: Column) -> Column:
 def oov_stats(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Total, covered and unknown tokens per split; tokens are counted before the vocabulary is joined."""
     counts = (
-        docs.select("split", F.explode(tokens).alias("token"))
+        docs.select("split", F.explode(T.items(F.col(tokens))).alias("token"))
         .groupBy("split", "token")
         .agg(F.count("*").alias("_n"))
     )

@@ -105,7 +105,7 @@ def analyse_scores(
 ) -> DataFrame:
     """Full diagnosis of stored scores (``label_id``, ``scores``) of any model, neural ones included."""
     named = labels.select(F.col("label_id").alias("_best"), F.col("category").alias("y_pred"))
-    predicted = lookup_join(scores.withColumn("_best", SC.argmax_index(F.col("scores"))), named, "_best")
+    predicted = lookup_join(scores.withColumn("_best", SC.argmax_index(F.col("scores"))), named, "_best", "left")
     predicted = X.decode_labels(predicted, labels).withColumnRenamed("category", "y_true")
     pairs = E.confusion_pairs(predicted)
     groups = E.class_frequency_groups(train, "category", head_min, mid_min, tail_max)
