@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,13 +59,19 @@ def gappy_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataclass
 class Shared:
-    """Results one session computes once per data folder."""
+    """Results one session computes at most once per data folder, each when it is first needed."""
 
-    slice: PreparedSlice
-    rows: DataFrame
-    labels: DataFrame
+    def __init__(self, raw: DataFrame) -> None:
+        self.slice = PreparedSlice(raw)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return stage(self.slice.split_rows(), "prepared")
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return X.label_index(self.rows.filter(F.col("split") == "train"))
 
 
 _shared: dict[tuple[str, str], Shared] = {}
@@ -74,10 +80,7 @@ _shared: dict[tuple[str, str], Shared] = {}
 def shared(spark: SparkSession, sf_dir: str) -> Shared:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _shared:
-        prepared = PreparedSlice(complaints(spark, sf_dir))
-        rows = stage(prepared.split_rows(), "prepared")
-        labels = X.label_index(rows.filter(F.col("split") == "train"))
-        _shared[key] = Shared(prepared, rows, labels)
+        _shared[key] = Shared(complaints(spark, sf_dir))
     return _shared[key]
 
 
