@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.scale.staging import ensure_shared_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -20,12 +22,17 @@ def _widened(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(_WIDER.get(kind, kind)).alias(c) for c, kind in df.dtypes])
 
 
+def _run(fn: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_shared_dir(spark)
+    return _widened(fn(spark, sf_dir))
+
+
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         key = name or fn.__name__
         if key in QUERIES:
             raise ValueError(f"query {key} is registered twice")
-        QUERIES[key] = lambda spark, sf_dir: _widened(fn(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: _run(fn, spark, sf_dir)
         if sql is not None:
             ORACLE[key] = sql
         return fn

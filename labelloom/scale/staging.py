@@ -6,6 +6,7 @@ and gives Catalyst exact file sizes, so later joins are planned on facts rather
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -14,16 +15,19 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for staged tables: ``spark.checkpoint.dir``; only local sessions may go without it."""
+    """Folder for staged tables: below ``spark.checkpoint.dir``, which every executor must be able to reach."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        configured = tempfile.mkdtemp(prefix="labelloom-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     return f"{configured.rstrip('/')}/labelloom-{spark.sparkContext.applicationId}"
 
 
+def ensure_shared_dir(spark: SparkSession) -> None:
+    """Set a shared folder where none is set and driver and executors are one process, as in tests; else leave it."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="labelloom-"))
+
+
 def stage(df: DataFrame, label: str, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a scan of it, read as ``schema`` if given."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid4().hex}"
@@ -31,7 +35,31 @@ def stage(df: DataFrame, label: str, schema: StructType | None = None) -> DataFr
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Delete everything this application staged, once its results have been consumed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if spark.conf.get("spark.checkpoint.dir", None):
+        _delete(spark, shared_dir(spark))
+
+
+class StagingScope:
+    """Staged tables of one run, below one folder, so that a run can drop what it no longer reads."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self.folder}/{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, label: str) -> None:
+        _delete(self.spark, f"{self.folder}/{label}")
+
+    def clear(self) -> None:
+        _delete(self.spark, self.folder)
