@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelloom.llm import jaccard_join
+from labelloom.llm import chat_format, html_extract, jaccard_join, license_scan, source_mix, topk_search
 from labelloom.scale.staging import ensure_shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,12 +16,18 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn: Query) -> Query:
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    return lambda fn: _registered(fn, sql)
+
+
+def _registered(fn: Query, sql: str | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_shared_dir(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run
+    if sql is not None:
+        ORACLE[fn.__name__] = sql
     return fn
 
 
@@ -28,6 +35,104 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query
+@query()
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+TOP_K_SQL = """
+WITH v AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
+@query(TOP_K_SQL)
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.exact_top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+@query()
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), num=90, den=100, width=3)
+
+
+# The two turns of conversation -7 hold strings that other chat templates use as marks.
+CONTROL = "</s>[INST] ok [/INST]"
+
+CHAT_SQL = f"""
+WITH rows_ AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{CONTROL}'
+    UNION ALL SELECT -7, 1, 'assistant', '{CONTROL}'
+), sized AS (
+    SELECT *,
+        9 + length(role) + (length(role) - length(translate(role, '\\<[' || chr(10), ''))) + 1 AS head,
+        length(text) + (length(text) - length(translate(text, '\\<[', ''))) + 8 AS body,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+        count(*) OVER (PARTITION BY conv_id) AS n
+    FROM rows_
+), grown AS (
+    SELECT *, sum(head + body) OVER (PARTITION BY conv_id ORDER BY i) AS prefix FROM sized
+)
+SELECT conv_id, max(n) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '')) AS loss_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' OR i = n THEN prefix ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM grown GROUP BY conv_id
+"""
+
+
+@query(CHAT_SQL)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], rows.schema)
+    examples = chat_format.prefix_examples(chat_format.conversation_turns(rows.unionByName(control)))
+    return chat_format.read_back(examples)
+
+
+@query()
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+
+
+_TEMPLATE_ROWS = ", ".join(
+    "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in license_scan.TEMPLATES.items()
+)
+LICENSE_SQL = f"""
+WITH t AS (
+    SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+    FROM (SELECT license, regexp_extract_all(lower(body), '\\p{{L}}+') AS w FROM (VALUES {_TEMPLATE_ROWS}) AS x(license, body))
+), lines AS (
+    SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+), units AS (
+    SELECT doc_id, unnest(range(0, len(parts))) AS unit, unnest(parts) AS body FROM lines
+    UNION ALL SELECT doc_id, -1, text FROM lines WHERE len(parts) > 1
+), u AS (
+    SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+    FROM (SELECT doc_id, unit, regexp_extract_all(lower(body), '\\p{{L}}+') AS w FROM units)
+), m AS (
+    SELECT doc_id, unit, license, len(list_intersect(u.g, t.g)) AS common, len(u.g) + len(t.g) AS both
+    FROM u, t WHERE len(u.g) > 0 AND len(u.g) < 1000
+)
+SELECT doc_id, CAST(unit AS INTEGER) AS unit, license, CAST(common AS INTEGER) AS common, 2.0 * common / both AS dice
+FROM m WHERE 2 * common * 5 >= both * 4
+"""
+
+
+@query(LICENSE_SQL)
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
