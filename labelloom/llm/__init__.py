@@ -1 +1,10 @@
-"""Operators of a training-data pipeline: extraction, search, decontamination, deduplication, formatting, mixing, output."""
+"""Operators of a training-data pipeline: extraction, search, decontamination, deduplication, formatting, mixing, output.
+
+Functions of this package travel to the executors by value, so a cluster needs no copy of it on its machines.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

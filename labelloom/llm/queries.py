@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat_format, html_extract, jaccard_join, license_scan, source_mix, topk_search
+from labelloom.llm import chat_format, html_extract, jaccard_join, language_id, license_scan, source_mix, token_file, topk_search
 from labelloom.scale.staging import ensure_shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,16 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(examples)
 
 
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    identifier = language_id.fit_languages(docs)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return language_id.identify_languages(docs, identifier).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 @query()
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
@@ -136,3 +146,8 @@ FROM m WHERE 2 * common * 5 >= both * 4
 @query(LICENSE_SQL)
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.token_file_digest(table(spark, sf_dir, "documents"))
