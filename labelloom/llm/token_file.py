@@ -167,7 +167,6 @@ class PieceTokenizer:
     GENERATION = 150_000  # pieces in either half of the cache; the older half is dropped when the newer is full
     _ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
     _GAP = re.compile(r"(?<=\S) (?=\S)")
-    _SPACE = re.compile(r"\s")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -188,7 +187,7 @@ class PieceTokenizer:
         wanted = set().union(*pieces) - self.young.keys()
         self._learn(wanted)
         known = self.young.__getitem__
-        return [np.fromiter(chain.from_iterable(map(known, own)), dtype=np.uint64) for own in pieces]
+        return [np.array(list(chain.from_iterable(map(known, own))), dtype=np.int64).astype(np.uint64) for own in pieces]
 
     def _pieces(self, text: str) -> list[str]:
         if not text:
@@ -216,7 +215,7 @@ class PieceTokenizer:
             if piece in old:
                 young[piece] = old[piece]
                 continue
-            parts = self._cut(piece)
+            parts = self._cut(piece) if piece[-1] in ".," or "\n" in piece else [piece]
             if len(parts) > 1:
                 made.append((piece, parts))
             for part in parts:
@@ -227,7 +226,8 @@ class PieceTokenizer:
                         new.add(part)
         alone, plain = [], []
         for part in new:
-            (plain if part[0] == " " and not self._SPACE.search(part, 1) else alone).append(part)
+            # Only the leading character is white space: other white space is not printable.
+            (plain if part[0] == " " and part.count(" ") == 1 and part.isprintable() else alone).append(part)
         for low in range(0, len(plain), 5_000):
             self._joined(plain[low : low + 5_000], alone)
         for part, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
