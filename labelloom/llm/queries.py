@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat_format, html_extract, jaccard_join, language_id, license_scan, source_mix, token_file, topk_search
+from labelloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, source_mix, token_file, topk_search
 from labelloom.scale.staging import ensure_shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+@query()
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), num=90, den=100, width=3)

@@ -35,7 +35,7 @@ MAGIC = b"S8B1"
 FRAME = 256
 BLOCK_IDS = 1 << 18
 END_ID = 0
-_HEADER = struct.Struct("<4sQQQQ")
+_HEADER = "<4sQQQQ"
 
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,15 +119,15 @@ def pack_block(documents: list[np.ndarray]) -> bytes:
     coded[escapes] = False
     heads = np.flatnonzero(coded)[::FRAME]
     frames = np.stack([heads, (np.cumsum(sizes) - sizes)[heads]], axis=1).astype(np.uint64)
-    head = _HEADER.pack(MAGIC, len(lengths), len(frames), len(escapes), len(words))
+    head = struct.pack(_HEADER, MAGIC, len(lengths), len(frames), len(escapes), len(words))
     return b"".join([head, lengths.tobytes(), frames.tobytes(), escapes.astype(np.uint64).tobytes(), words.tobytes()])
 
 
 def _parts(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    magic, n_docs, n_frames, n_escapes, n_words = _HEADER.unpack_from(block)
+    magic, n_docs, n_frames, n_escapes, n_words = struct.unpack_from(_HEADER, block)
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
-    values = np.frombuffer(block, dtype="<u8", offset=_HEADER.size)
+    values = np.frombuffer(block, dtype="<u8", offset=struct.calcsize(_HEADER))
     cuts = np.cumsum([n_docs, 2 * n_frames, n_escapes, n_words])
     lengths, frames, escapes, words = values[: cuts[0]], values[cuts[0] : cuts[1]], values[cuts[1] : cuts[2]], values[cuts[2] : cuts[3]]
     return lengths.astype(np.int64), frames.reshape(-1, 2).astype(np.int64), escapes.astype(np.int64), words
