@@ -15,7 +15,7 @@ group in common whose restriction is not empty. Sets with more of them sign for
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.linking import SKETCH, similar_components
 from labelloom.llm.shingles import WordHashes, mixed, parity_sketch, set_digest, shingle_set, word_hashes, words_of
+from labelloom.scale.joins import lookup_join
 from labelloom.scale.staging import StagingScope
 
 MAX_SEEN_SETS = 300_000
@@ -92,11 +93,8 @@ class PartEnum:
 
 
 def _profiles(width: int, num: int, den: int):
-    schema = pa.schema(
-        [("node", pa.int64()), ("n", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64())]
-        + [(s, pa.int64()) for s in SKETCH]
-        + [("sigs", pa.list_(pa.int64()))]
-    )
+    """From (node, text, further columns) to (node, n, digest, sketch, signatures, further columns)."""
+    names = ["node", "n", "d0", "d1", *SKETCH, "sigs"]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, enum, seen = WordHashes(), PartEnum(num, den), set()
@@ -119,7 +117,9 @@ def _profiles(width: int, num: int, den: int):
             flat = np.concatenate(sigs) if sigs else np.empty(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(flat, pa.int64()))
             columns = [batch.column(0), *(pa.array(fixed[:, j]) for j in range(fixed.shape[1])), lists]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [*columns, *batch.columns[2:]], names=[*names, *batch.schema.names[2:]]
+            )
 
     return profile
 
@@ -136,6 +136,26 @@ def _shingle_lists(width: int):
     return listed
 
 
+def _signed(texts: DataFrame, num: int, den: int, width: int, scope: StagingScope) -> DataFrame:
+    """Staged profile of (node, text, ...)."""
+    numbers = ", ".join(f"{c} long" for c in ["node", "n", "d0", "d1", *SKETCH])
+    more = "".join(f", `{c}` {kind}" for c, kind in texts.dtypes[2:])
+    return scope.stage(texts.mapInArrow(_profiles(width, num, den), f"{numbers}, sigs array<long>{more}"), "signed")
+
+
+def _components(
+    signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scope: StagingScope
+) -> DataFrame:
+    """(node, component) of every node with a non-empty set."""
+    real = signed.filter(F.col("node").isNotNull() & (F.col("n") > 0)).select("node", "n", "d0", "d1", *SKETCH)
+    first = real.groupBy("d0", "d1").agg(F.min("node").alias("same_as"))
+    nodes = scope.stage(real.join(first, ["d0", "d1"]).select("node", "same_as", "n", *SKETCH).distinct(), "nodes")
+    members = signed.filter(F.col("node").isNotNull()).select(F.explode("sigs").alias("sig"), "node")
+    linked = similar_components(members, nodes, sets_of, num, den, scope, "docs").withColumnRenamed("node", "same_as")
+    alias = nodes.groupBy("node").agg(F.min("same_as").alias("same_as"))
+    return alias.join(linked, "same_as", "left").select("node", F.coalesce("component", "same_as").alias("component"))
+
+
 def jaccard_components(
     docs: DataFrame, num: int = 90, den: int = 100, width: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -147,26 +167,62 @@ def jaccard_components(
     Other columns are not read, so they may have any names. Copies are joined by a digest of their set, so
     their number never enters a signature group more than once per task.
     """
-    spark = docs.sparkSession
-    scope = StagingScope(spark, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    columns = ", ".join(f"{c} long" for c in ["node", "n", "d0", "d1", *SKETCH])
-    signed = scope.stage(
-        texts.mapInArrow(_profiles(width, num, den), f"{columns}, sigs array<long>"), "signed"
-    )
-    known = signed.drop("sigs")
-    real = known.filter(F.col("node").isNotNull() & (F.col("n") > 0))
-    first = real.groupBy("d0", "d1").agg(F.min("node").alias("same_as"))
-    nodes = scope.stage(real.join(first, ["d0", "d1"]).select("node", "same_as", "n", *SKETCH).distinct(), "nodes")
-    members = signed.filter(F.col("node").isNotNull()).select(F.explode("sigs").alias("sig"), "node")
+    scope = StagingScope(docs.sparkSession, "jaccard")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    signed = _signed(texts, num, den, width, scope)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return texts.join(ids, "node", "left_semi").mapInArrow(_shingle_lists(width), "node long, shingles array<long>")
 
-    linked = similar_components(members, nodes, sets_of, num, den, scope, "docs")
-    found = nodes.groupBy("node").agg(F.min("same_as").alias("same_as")).join(
-        linked.withColumnRenamed("node", "same_as"), "same_as", "left"
-    ).select("node", F.coalesce("component", "same_as").alias("component_id"))
-    return known.select("node", "n").join(found, "node", "left").select(
-        F.col("node").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "node").alias("component_id")
+    found = _components(signed, sets_of, num, den, scope)
+    return signed.select("node", "n").join(found, "node", "left").select(
+        F.col("node").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
+    )
+
+
+def first_of_groups(
+    docs: DataFrame, num: int, den: int, width: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of every group of linked texts, with the columns of ``docs``: that with the smallest id (null first), then text digest.
+
+    Rows are numbered once, when their profile is written, and found again by id and text digest, so null and repeated
+    ids do no harm; of rows with equal id and text one stays. Texts without a word link with nothing. The wide
+    rows are only joined with the keys of the rows that go.
+    """
+    scope = StagingScope(docs.sparkSession, "groups")
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), digest)
+    texts = docs.select(
+        F.monotonically_increasing_id().alias("node"), F.col(text_col).cast("string").alias("text"),
+        F.col(id_col).alias("id"), digest.alias("digest"), key.alias("key"),
+    )
+    signed = _signed(texts, num, den, width, scope)
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = signed.select("node", "digest").join(ids, "node", "left_semi")
+        first = asked.groupBy("digest").agg(F.min("node").alias("one"))
+        found = docs.select(digest.alias("digest"), F.col(text_col).cast("string").alias("text")).join(first, "digest")
+        listed = found.select("one", "text").mapInArrow(_shingle_lists(width), "node long, shingles array<long>")
+        listed = listed.dropDuplicates(["node"]).withColumnRenamed("node", "one")
+        return asked.join(first, "digest").join(listed, "one").select("node", "shingles")
+
+    group = _components(signed, sets_of, num, den, scope)
+    rows = signed.select("node", "id", "digest", "key").join(group, "node", "left")
+    own = F.coalesce(F.col("component").cast("string"), F.col("key"))
+    rows = scope.stage(rows.withColumn("group", own), "rows")
+    chosen = rows.groupBy("group").agg(F.min(F.struct("id", "digest", "key")).alias("c")).select(F.col("c.key").alias("key"))
+    marks = rows.groupBy("key").agg(F.count("*").alias("rows")).join(
+        chosen.distinct().withColumn("stays", F.lit(True)), "key", "left"
+    )
+    marks = scope.stage(
+        marks.filter(F.col("stays").isNull() | (F.col("rows") > 1)).select(
+            F.col("key").alias("_key"), F.col("stays").isNull().alias("_gone"), F.col("rows").alias("_rows")
+        ),
+        "marks",
     )
+    marked = lookup_join(docs.withColumn("_key", key), marks, "_key", "left", "_rows", F.rand(7))
+    kept = marked.filter(F.col("_gone").isNull()).select(*docs.columns)
+    if marks.filter(~F.col("_gone")).isEmpty():
+        return kept
+    repeated = marked.filter(~F.col("_gone")).dropDuplicates(["_key"]).select(*docs.columns)
+    return kept.unionByName(repeated)

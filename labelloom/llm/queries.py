@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, source_mix, token_file, topk_search
+from labelloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, paragraph_dedup, source_mix, token_file, topk_search
 from labelloom.scale.staging import ensure_shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(examples)
 
 
+@query()
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
