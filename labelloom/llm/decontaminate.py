@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.llm.rows import whole_row
 from labelloom.llm.shingles import WordHashes, mixed, word_hashes
 from labelloom.scale.joins import lookup_join
 from labelloom.scale.staging import StagingScope
@@ -249,5 +250,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
     leaking = find_leaks(keyed, benchmark, id_col="_key", text_col="_text").select("_key").distinct()
     marked = StagingScope(docs.sparkSession, "leaking").stage(leaking.withColumn("_leaks", F.lit(True)), "keys")
-    rows = docs.withColumn("_key", key)
-    return lookup_join(rows, marked, "_key", "left").filter(F.col("_leaks").isNull()).select(*docs.columns)
+    rows = docs.select(whole_row(docs), key.alias("_key"))
+    return lookup_join(rows, marked, "_key", "left").filter(F.col("_leaks").isNull()).select("row.*")

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 FIT_PAGES = 2_000  # bound on the labelled pages that the weights are fitted on
 _WORD_LEAST, _TAG_LEAST, _MOST = 0.25, 0.01, 8.0
+_UNSEEN_TAG, _UNSEEN_FRAME = 0.02, 0.5  # tags that no labelled page holds: those of running text, and page frames
+_FRAMES = {"html", "body", "div", "section", "header", "fieldset", "center", "summary", "details", "legend", "option"}
 
 # Element names of HTML.
 BLOCKS = set(
@@ -162,7 +164,9 @@ def weight_of(feature: str, weights: dict[str, float]) -> float:
     if feature in ("article", "/article", "main", "/main"):
         return -_MOST
     usual = weights.get(feature)
-    return -0.5 if usual is None else -max(_TAG_LEAST, min(_MOST, -usual))
+    if usual is None:
+        return -(_UNSEEN_FRAME if feature.lstrip("/") in _FRAMES else _UNSEEN_TAG)
+    return -max(_TAG_LEAST, min(_MOST, -usual))
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.linking import SKETCH, similar_components
+from labelloom.llm.rows import whole_row
 from labelloom.llm.shingles import WordHashes, mixed, parity_sketch, set_digest, shingle_set, word_hashes, words_of
 from labelloom.scale.joins import lookup_join
 from labelloom.scale.staging import StagingScope
@@ -220,9 +221,9 @@ def first_of_groups(
         ),
         "marks",
     )
-    marked = lookup_join(docs.withColumn("_key", key), marks, "_key", "left", "_rows", F.rand(7))
-    kept = marked.filter(F.col("_gone").isNull()).select(*docs.columns)
+    marked = lookup_join(docs.select(whole_row(docs), key.alias("_key")), marks, "_key", "left", "_rows", F.rand(7))
+    kept = marked.filter(F.col("_gone").isNull()).select("row.*")
     if marks.filter(~F.col("_gone")).isEmpty():
         return kept
-    repeated = marked.filter(~F.col("_gone")).dropDuplicates(["_key"]).select(*docs.columns)
+    repeated = marked.filter(~F.col("_gone")).dropDuplicates(["_key"]).select("row.*")
     return kept.unionByName(repeated)

@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from labelloom.llm.rows import whole_row
 from labelloom.llm.shingles import mixed
 
 ORDER = 5
@@ -258,10 +260,12 @@ def fit_languages(
     The choice reads ids and labels only. What reaches the driver, n-gram counts and calibration texts, is bounded by
     the sample, whatever the size of the table.
     """
-    labelled = docs.filter(in_training(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = docs.filter(in_training(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
+    )
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = (
-        labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+        labelled.select("id", "lang")
         .withColumn("turn", F.row_number().over(order))
         .filter(F.col("turn") <= fit_docs)
     )
@@ -272,9 +276,7 @@ def fit_languages(
         return Identifier(LanguageModels({}), [])
     spark = docs.sparkSession
     ids = spark.createDataFrame(listed.drop_duplicates("id"), f"id {dict(docs.dtypes)[id_col]}, turn int")
-    texts = labelled.join(F.broadcast(ids), F.col(id_col) == F.col("id")).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), "turn"
-    )
+    texts = labelled.join(F.broadcast(ids), "id").select("lang", "text", "turn")
     to_count = texts.filter(F.col("turn") % _CALIBRATE != 0).select("lang", "text")
     counted = to_count.mapInArrow(_counted, "lang string, gram string, n long")
     grams: dict[str, dict[str, int]] = defaultdict(dict)
@@ -306,8 +308,8 @@ def identify_languages(
                     names=[*keep, "lang_pred", "score", "rejected"],
                 )
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["lang_pred string, score double, rejected boolean"])
+    told = T.StructType.fromDDL("lang_pred string, score double, rejected boolean")
+    schema = T.StructType([*[docs.schema[c] for c in keep], *told.fields])
     chosen = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
     return chosen.mapInArrow(identified, schema)
 
@@ -315,5 +317,5 @@ def identify_languages(
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns and values as they were."""
     identifier = fit_languages(docs, id_col, text_col, lang_col)
-    told = identify_languages(docs, identifier, id_col, text_col, keep=docs.columns)
-    return told.filter(~F.col("rejected")).select(*docs.columns)
+    told = identify_languages(docs.select(F.col(text_col).alias("text"), whole_row(docs)), identifier, text_col="text", keep=["row"])
+    return told.filter(~F.col("rejected")).select("row.*")

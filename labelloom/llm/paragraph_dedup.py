@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.linking import SKETCH, similar_components
+from labelloom.llm.rows import whole_row
 from labelloom.llm.shingles import WordHashes, mixed, parity_sketch, set_digest, shingle_set, word_hashes
 from labelloom.scale.joins import lookup_join
 from labelloom.scale.staging import StagingScope
@@ -184,7 +185,8 @@ def repeated_paragraphs(
 def remove_paragraphs(docs: DataFrame, removals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the removed lines; texts without any are unchanged, and the other columns stay."""
     gone = removals.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("para").alias("_gone"))
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("_gone", i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
-    joined = docs.join(gone, docs[id_col] == gone["_id"], "left")
-    return joined.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    text = F.col("row").getField(text_col)
+    lines = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_gone", i.cast("long")))
+    shorter = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(lines, "\n"))
+    joined = docs.select(whole_row(docs), F.col(id_col).alias("_id")).join(gone, "_id", "left")
+    return joined.select(F.col("row").withField(f"`{text_col}`", shorter).alias("row")).select("row.*")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.llm.rows import whole_row
 from labelloom.scale.joins import lookup_join
 from labelloom.scale.ordering import ordered_index
 from labelloom.scale.staging import StagingScope
@@ -172,7 +173,7 @@ def mix_sources(
 def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every row as often as ``mixed`` says. Rows that share an id are matched by word count."""
     turn = Window.partitionBy("_id").orderBy("_size")
-    left = docs.withColumns({"_id": F.col(id_col), "_size": text_size(F.col(text_col))})
+    left = docs.select(whole_row(docs), F.col(id_col).alias("_id"), text_size(F.col(text_col)).alias("_size"))
     left = left.withColumn("_no", F.row_number().over(turn))
     right = mixed.select(F.col(id_col).alias("_rid"), F.col("size").alias("_size"), "copies")
     right = right.withColumn("_rno", F.row_number().over(Window.partitionBy("_rid").orderBy("_size", "copies"))).drop("_size")
@@ -180,5 +181,5 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id",
     return (
         joined.filter(F.col("copies") > 0)
         .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-        .select(*docs.columns)
+        .select("row.*")
     )

@@ -15,9 +15,11 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -49,16 +51,12 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # Widest payload first: a narrower one that fits holds more ids and overwrites it.
     for code in range(len(BITS), -1, -1):
         bits, count = (BITS[code - 1], PER_WORD[code - 1]) if code else (0, ZEROS)
-        wide = np.flatnonzero(ids >= np.uint64(1 << bits))
-        if len(wide) == n:
-            break
-        # Runs of ids that fit; the last one goes on beyond the end, where a word may be partly filled.
-        begins = np.append(0, wide + 1)
-        room = np.append(wide, n + count - 1) - begins - count + 1
-        long = np.flatnonzero(room > 0)
-        begins, room = begins[long], room[long]
-        fits = np.arange(room.sum()) + np.repeat(begins - (np.cumsum(room) - room), room)
-        fits = fits[fits < n]
+        # Ids that fit, and as many more beyond the end, where a word may be partly filled. A word can start
+        # at one if the next count - 1 follow it without a gap.
+        narrow = np.append(np.flatnonzero(ids < np.uint64(1 << bits)), np.arange(n, n + count - 1))
+        if len(narrow) < count:
+            continue
+        fits = narrow[: len(narrow) - count + 1][narrow[count - 1 :] - narrow[: len(narrow) - count + 1] == count - 1]
         selector[fits], step[fits] = code, count
     taken = []
     at, steps = 0, step.tolist()
@@ -164,35 +162,39 @@ class PieceTokenizer:
     and told apart by the leading space of their first id; pieces without one are encoded one by one.
     """
 
-    GENERATION = 150_000  # pieces in either half of the cache; the older half is dropped when the newer is full
-    _ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
+    GENERATION = 400_000  # pieces in either half of the cache; the older half is dropped when the newer is full
+    _OTHER_SPACE = re.compile(r"[^\S \n]")
     _GAP = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size()
         self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.numbers = list(range(size))
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        # Ids of a piece as little-endian 32-bit values, so that a text's ids are its pieces' values joined.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [self._pieces(t) for t in texts]
         if len(self.young) > self.GENERATION:
             self.young, self.old = {}, self.young
-        wanted = set().union(*pieces) - self.young.keys()
-        self._learn(wanted)
+        wanted = set().union(*pieces)
+        wanted.difference_update(self.young)
+        if wanted:
+            self._learn(wanted)
         known = self.young.__getitem__
-        return [np.array(list(chain.from_iterable(map(known, own))), dtype=np.int64).astype(np.uint64) for own in pieces]
+        return [np.frombuffer(b"".join(map(known, own)), dtype="<u4") for own in pieces]
 
     def _pieces(self, text: str) -> list[str]:
         if not text:
             return []
-        if self._ODD_SPACE.search(text):
+        pairs = "  " in text or "\n " in text or " \n" in text
+        if pairs or text[0].isspace() or text[-1].isspace() or self._OTHER_SPACE.search(text):
             parts = self._GAP.split(text)
             return [parts[0], *(" " + p for p in parts[1:])]
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
@@ -208,47 +210,52 @@ class PieceTokenizer:
             return [piece[:-1], piece[-1]]
         return [piece]
 
+    def _recall(self, wanted: set[str]) -> set[str]:
+        """Take what the older half knows over; the rest is new."""
+        kept = wanted & self.old.keys()
+        self.young.update(zip(kept, map(self.old.__getitem__, kept)))
+        return wanted - kept
+
     def _learn(self, wanted: set[str]) -> None:
-        young, old = self.young, self.old
-        made, new = [], set()
-        for piece in wanted:
-            if piece in old:
-                young[piece] = old[piece]
-                continue
-            parts = self._cut(piece) if piece[-1] in ".," or "\n" in piece else [piece]
-            if len(parts) > 1:
-                made.append((piece, parts))
-            for part in parts:
-                if part not in young:
-                    if part in old:
-                        young[part] = old[part]
-                    else:
-                        new.add(part)
-        alone, plain = [], []
-        for part in new:
-            # Only the leading character is white space: other white space is not printable.
-            (plain if part[0] == " " and part.count(" ") == 1 and part.isprintable() else alone).append(part)
+        wanted = self._recall(wanted)
+        made = [(p, self._cut(p)) for p in wanted if p[-1] in ".," or "\n" in p]
+        made = [(p, parts) for p, parts in made if len(parts) > 1]
+        parts = set(chain.from_iterable(parts for _, parts in made))
+        new = (wanted.difference(p for p, _ in made) | parts).difference(self.young)
+        new = self._recall(new)
+        # Only the leading character is white space: other white space is not printable.
+        plain = [p for p in new if p[0] == " " and p.isprintable() and p.count(" ") == 1]
+        alone = list(new.difference(plain))
         for low in range(0, len(plain), 5_000):
-            self._joined(plain[low : low + 5_000], alone)
+            alone += self._joined(plain[low : low + 5_000])
         for part, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            young[part] = tuple(map(self.numbers.__getitem__, got.ids))
-        for piece, parts in made:
-            young[piece] = tuple(chain.from_iterable(map(young.__getitem__, parts)))
+            self.young[part] = np.array(got.ids, dtype="<u4").tobytes()
+        known = self.young.__getitem__
+        self.young.update((piece, b"".join(map(known, own))) for piece, own in made)
+
+    def _joined(self, pieces: list[str]) -> list[str]:
+        """Encode pieces in one string; returns them if some piece does not begin with a leading-space id."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(self.leads[ids])
+        if len(cuts) != len(pieces):
+            return pieces
+        raw, bounds = ids.tobytes(), (np.append(cuts, len(ids)) * 4).tolist()
+        self.young.update(zip(pieces, map(raw.__getitem__, map(slice, bounds, bounds[1:]))))
+        return []
+
 
-    def _joined(self, pieces: list[str], alone: list[str]) -> None:
-        ids = self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids
-        cuts = np.flatnonzero(self.leads[ids]).tolist()
-        if len(cuts) != len(pieces):  # some piece does not begin with a leading-space id
-            alone.extend(pieces)
-            return
-        flat = list(map(self.numbers.__getitem__, ids))
-        for piece, start, end in zip(pieces, cuts, [*cuts[1:], len(flat)]):
-            self.young[piece] = tuple(flat[start:end])
+def worker_tokenizer(path: str) -> PieceTokenizer:
+    """The tokenizer of this worker process, with what it has learned in earlier tasks."""
+    store = sys.modules.setdefault("_labelloom_worker", ModuleType("_labelloom_worker"))
+    kept = getattr(store, "tokenizer", None)
+    if kept is None or kept.path != path:
+        kept = store.tokenizer = PieceTokenizer(path)
+    return kept
 
 
 def _blocks(path: str, chunk: int = 256):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = PieceTokenizer(path)
+        tokenizer = worker_tokenizer(path)
         held: list[np.ndarray] = []
         count, number = 0, 0
 
@@ -266,7 +273,7 @@ def _blocks(path: str, chunk: int = 256):
                 part = batch.slice(low, chunk)
                 encoded = tokenizer.encode([t or "" for t in part.column(1).to_pylist()])
                 for doc, ids in zip(part.column(0).to_pylist(), encoded):
-                    held.append(np.append(ids, np.uint64(END_ID)))
+                    held.append(np.append(ids, np.uint32(END_ID)))
                     ids_held.append(doc)
                     count += len(held[-1])
                     if count >= BLOCK_IDS:
