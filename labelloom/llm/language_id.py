@@ -229,7 +229,7 @@ class Identifier:
         rejected = (lowest > self.half[best]) & (self._distance(lowest, chars, best) > self.limit[best])
         names = [self.models.languages[i] for i in best]
         for i, text in enumerate(texts):
-            if chars[i] == 0 and not has_letter(text):
+            if not has_letter(text):
                 names[i], score[i], rejected[i] = UNKNOWN, 0.0, True
         return names, score, rejected
 
@@ -255,7 +255,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_languages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS
 ) -> Identifier:
-    """Fit on at most ``fit_docs`` whole documents per language, those whose id has the smallest hash.
+    """Fit on at most ``fit_docs`` whole documents per language, chosen by hashes of their ids.
 
     The choice reads ids and labels only. What reaches the driver, n-gram counts and calibration texts, is bounded by
     the sample, whatever the size of the table.
@@ -263,19 +263,25 @@ def fit_languages(
     labelled = docs.filter(in_training(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
+    # Thin every language to about twice the bound by the hash of the id before ranking, so that no language meets
+    # in one task with more rows than that.
+    named = labelled.select("id", "lang")
+    sizes = named.groupBy("lang").agg(F.count("*").alias("size")).limit(MAX_LANGUAGES + 1)
+    if sizes.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    chance = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40)) * F.col("size").cast("double") < F.lit(2 * fit_docs) * F.lit(float(1 << 40))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = (
-        labelled.select("id", "lang")
+        named.join(F.broadcast(sizes), "lang")
+        .filter(chance)
         .withColumn("turn", F.row_number().over(order))
         .filter(F.col("turn") <= fit_docs)
     )
-    listed = chosen.select("id", "turn").limit(MAX_LANGUAGES * fit_docs + 1).toPandas()
-    if len(listed) > MAX_LANGUAGES * fit_docs:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    listed = chosen.select("id", "turn").toPandas()
     if not len(listed):
         return Identifier(LanguageModels({}), [])
     spark = docs.sparkSession
-    ids = spark.createDataFrame(listed.drop_duplicates("id"), f"id {dict(docs.dtypes)[id_col]}, turn int")
+    ids = spark.createDataFrame(listed.drop_duplicates("id"), f"id {dict(named.dtypes)['id']}, turn int")
     texts = labelled.join(F.broadcast(ids), "id").select("lang", "text", "turn")
     to_count = texts.filter(F.col("turn") % _CALIBRATE != 0).select("lang", "text")
     counted = to_count.mapInArrow(_counted, "lang string, gram string, n long")
