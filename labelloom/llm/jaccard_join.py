@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -137,21 +138,31 @@ def _shingle_lists(width: int):
     return listed
 
 
-def _signed(texts: DataFrame, num: int, den: int, width: int, scope: StagingScope) -> DataFrame:
-    """Staged profile of (node, text, ...)."""
+def _signed(
+    texts: DataFrame, num: int, den: int, width: int, scope: StagingScope
+) -> tuple[DataFrame, DataFrame]:
+    """Staged profiles of (node, text, ...): the members (sig, node), and the rest of the profile."""
     numbers = ", ".join(f"{c} long" for c in ["node", "n", "d0", "d1", *SKETCH])
     more = "".join(f", `{c}` {kind}" for c, kind in texts.dtypes[2:])
-    return scope.stage(texts.mapInArrow(_profiles(width, num, den), f"{numbers}, sigs array<long>{more}"), "signed")
+    signed = scope.stage(
+        texts.mapInArrow(_profiles(width, num, den), f"{numbers}, sigs array<long>{more}"), "signed"
+    )
+    members = signed.filter(F.col("node").isNotNull()).select(F.explode("sigs").alias("sig"), "node")
+    return members, scope.stage(signed.drop("sigs"), "profiles")
 
 
 def _components(
-    signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scope: StagingScope
+    members: DataFrame,
+    profiles: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    num: int,
+    den: int,
+    scope: StagingScope,
 ) -> DataFrame:
     """(node, component) of every node with a non-empty set."""
-    real = signed.filter(F.col("node").isNotNull() & (F.col("n") > 0)).select("node", "n", "d0", "d1", *SKETCH)
+    real = profiles.filter(F.col("node").isNotNull() & (F.col("n") > 0)).select("node", "n", "d0", "d1", *SKETCH)
     first = real.groupBy("d0", "d1").agg(F.min("node").alias("same_as"))
     nodes = scope.stage(real.join(first, ["d0", "d1"]).select("node", "same_as", "n", *SKETCH).distinct(), "nodes")
-    members = signed.filter(F.col("node").isNotNull()).select(F.explode("sigs").alias("sig"), "node")
     linked = similar_components(members, nodes, sets_of, num, den, scope, "docs").withColumnRenamed("node", "same_as")
     alias = nodes.groupBy("node").agg(F.min("same_as").alias("same_as"))
     return alias.join(linked, "same_as", "left").select("node", F.coalesce("component", "same_as").alias("component"))
@@ -170,13 +181,14 @@ def jaccard_components(
     """
     scope = StagingScope(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    signed = _signed(texts, num, den, width, scope)
+    members, profiles = _signed(texts, num, den, width, scope)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return texts.join(ids, "node", "left_semi").mapInArrow(_shingle_lists(width), "node long, shingles array<long>")
+        asked = lookup_join(texts, ids, "node", "left_semi")
+        return asked.mapInArrow(_shingle_lists(width), "node long, shingles array<long>")
 
-    found = _components(signed, sets_of, num, den, scope)
-    return signed.select("node", "n").join(found, "node", "left").select(
+    found = _components(members, profiles, sets_of, num, den, scope)
+    return profiles.select("node", "n").join(found, "node", "left").select(
         F.col("node").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
     )
 
@@ -197,18 +209,15 @@ def first_of_groups(
         F.monotonically_increasing_id().alias("node"), F.col(text_col).cast("string").alias("text"),
         F.col(id_col).alias("id"), digest.alias("digest"), key.alias("key"),
     )
-    signed = _signed(texts, num, den, width, scope)
+    members, profiles = _signed(texts, num, den, width, scope)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        asked = signed.select("node", "digest").join(ids, "node", "left_semi")
-        first = asked.groupBy("digest").agg(F.min("node").alias("one"))
-        found = docs.select(digest.alias("digest"), F.col(text_col).cast("string").alias("text")).join(first, "digest")
-        listed = found.select("one", "text").mapInArrow(_shingle_lists(width), "node long, shingles array<long>")
-        listed = listed.dropDuplicates(["node"]).withColumnRenamed("node", "one")
-        return asked.join(first, "digest").join(listed, "one").select("node", "shingles")
-
-    group = _components(signed, sets_of, num, den, scope)
-    rows = signed.select("node", "id", "digest", "key").join(group, "node", "left")
+        asked = scope.stage(profiles.select("node", "key").join(ids, "node"), f"asked-{uuid4().hex}")
+        found = lookup_join(docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")), asked, "key")
+        return found.select("node", "text").mapInArrow(_shingle_lists(width), "node long, shingles array<long>")
+
+    group = _components(members, profiles, sets_of, num, den, scope)
+    rows = profiles.select("node", "id", "digest", "key").join(group, "node", "left")
     own = F.coalesce(F.col("component").cast("string"), F.col("key"))
     rows = scope.stage(rows.withColumn("group", own), "rows")
     chosen = rows.groupBy("group").agg(F.min(F.struct("id", "digest", "key")).alias("c")).select(F.col("c.key").alias("key"))

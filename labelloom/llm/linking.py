@@ -16,8 +16,9 @@ between nodes that share a signature.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.shingles import SKETCH_WORDS
@@ -25,11 +26,22 @@ from labelloom.scale.components import connected_components
 from labelloom.scale.staging import StagingScope
 
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+# A sketch of a quarter of the bits, for rows that come once per signature: bits folded onto each other by xor
+# are the parities over fewer bins.
+FOLDED = [f"f{i}" for i in range(SKETCH_WORDS // 4)]
 
 
-def may_link(a: str, b: str, num: int, den: int):
+def folded() -> list[Column]:
+    quarter = len(FOLDED)
+    return [
+        reduce(Column.bitwiseXOR, [F.col(SKETCH[i + quarter * j]) for j in range(4)]).alias(f)
+        for i, f in enumerate(FOLDED)
+    ]
+
+
+def may_link(a: str, b: str, num: int, den: int, sketch: list[str]) -> Column:
     """Necessary condition for Jaccard >= num / den of two sets, from their sizes and sketches."""
-    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in sketch), F.lit(0))
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     return (apart * (den + num) <= (n_a + n_b) * (den - num)) & (n_a * den >= n_b * num) & (n_b * den >= n_a * num)
 
@@ -45,6 +57,7 @@ def similar_components(
 ) -> DataFrame:
     """(node, component): components of the nodes linked by Jaccard >= num / den; nodes without a link are left out.
 
+    ``members`` comes from the table "signed" of the scope, which is dropped once it was read.
     ``nodes``: (node, same_as, n, s0..) with the node that stands for all equal sets in ``same_as``;
     ``sets_of(ids)`` gives (node, shingles) of the asked nodes.
     """
@@ -55,6 +68,7 @@ def similar_components(
         .select("sig", "node", "hub"),
         f"{label}-shared",
     )
+    scope.drop("signed")  # the signatures were read; what else is needed stands in other tables
     alias = nodes.select("node", "same_as")
     pairs = shared.filter(F.col("node") != F.col("hub")).select("hub", "node").distinct()
     pairs = (
@@ -66,13 +80,7 @@ def similar_components(
         .distinct()
     )
     unique = nodes.filter(F.col("node") == F.col("same_as")).select("node", "n", *SKETCH)
-    tried = (
-        pairs.join(unique.alias("p"), F.col("a") == F.col("p.node"))
-        .join(unique.alias("q"), F.col("b") == F.col("q.node"))
-        .filter(may_link("p", "q", num, den))
-        .select("a", "b")
-    )
-    links = _verified(tried, sets_of, num, den, scope, f"{label}-hub")
+    links = _verified(pairs, unique, sets_of, num, den, scope, f"{label}-hub")
     # A node with several sets (a repeated id) ties their components together.
     tied = alias.join(alias.groupBy("node").agg(F.min("same_as").alias("a")), "node").select(
         "a", F.col("same_as").alias("b")
@@ -83,12 +91,12 @@ def similar_components(
     merged = (
         alias.join(first.withColumnRenamed("node", "same_as"), "same_as", "left")
         .select("node", "same_as", F.coalesce("component", "same_as").alias("component"))
-        .join(unique.withColumnRenamed("node", "same_as"), "same_as")
+        .join(unique.select(F.col("node").alias("same_as"), "n", *folded()), "same_as")
     )
     mixed = scope.stage(
         shared.select("sig", "node")
         .join(merged, "node")
-        .select("sig", F.col("same_as").alias("node"), "component", "n", *SKETCH)
+        .select("sig", F.col("same_as").alias("node"), "component", "n", *FOLDED)
         .withColumn("low", F.min("component").over(by_sig))
         .withColumn("high", F.max("component").over(by_sig))
         .filter(F.col("low") != F.col("high"))
@@ -100,20 +108,36 @@ def similar_components(
         (F.col("p.sig") == F.col("q.sig"))
         & (F.col("p.node") < F.col("q.node"))
         & (F.col("p.component") != F.col("q.component"))
-        & may_link("p", "q", num, den)
+        & may_link("p", "q", num, den, FOLDED)
     )
     tried = p.join(q, apart).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    more = _verified(tried, sets_of, num, den, scope, f"{label}-rest")
+    more = _verified(tried, unique, sets_of, num, den, scope, f"{label}-rest")
     return connected_components(links.unionByName(more), scope, f"{label}-last")
 
 
 def _verified(
-    pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, scope: StagingScope, label: str
+    pairs: DataFrame,
+    unique: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    num: int,
+    den: int,
+    scope: StagingScope,
+    label: str,
 ) -> DataFrame:
-    """The pairs (a, b) whose sets have exact Jaccard >= num / den."""
-    pairs = scope.stage(pairs, f"{label}-tried")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """The pairs (a, b) whose sets have exact Jaccard >= num / den. Sets are only made for pairs that pass the sketches."""
+    pairs = scope.stage(
+        pairs.join(unique.alias("p"), F.col("a") == F.col("p.node"))
+        .join(unique.alias("q"), F.col("b") == F.col("q.node"))
+        .filter(may_link("p", "q", num, den, SKETCH))
+        .select("a", "b")
+        .distinct(),
+        f"{label}-tried",
+    )
+    ids = scope.stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}-ids")
     sets = scope.stage(sets_of(ids), f"{label}-sets")
+    kinds = sets.select("node", F.xxhash64("shingles").alias("set"))
+    if kinds.count() > kinds.distinct().count():  # repeated rows of the input
+        sets = scope.stage(sets.dropDuplicates(["node", "shingles"]), f"{label}-single-sets")
     both = F.size(F.array_intersect("left", "right"))
     return scope.stage(
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")

@@ -9,6 +9,7 @@ agree in a band are candidates. Candidates are verified by exact Jaccard and mer
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +142,7 @@ def repeated_paragraphs(
     signed = scope.stage(
         texts.mapInArrow(_profiles(width, least_words, bands, rows), f"id {kind}, {numbers}, sigs array<long>"), "signed"
     )
-    placed = signed.drop("sigs")
+    placed = scope.stage(signed.drop("sigs"), "placed")
     first = F.min(F.struct("check", "id", "n", *SKETCH)).alias("f")
     nodes = scope.stage(
         placed.groupBy("node").agg(first).select(
@@ -153,11 +154,13 @@ def repeated_paragraphs(
     members = signed.select(F.explode("sigs").alias("sig"), "node")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        where = nodes.join(ids, "node", "left_semi").select(F.col("at").alias("id")).distinct()
-        found = texts.join(where, "id", "left_semi").select("text").mapInArrow(
+        where = scope.stage(
+            nodes.join(ids, "node", "left_semi").select(F.col("at").alias("id")).distinct(), f"asked-{uuid4().hex}"
+        )
+        found = lookup_join(texts, where, "id", "left_semi").select("text").mapInArrow(
             _sets(width, least_words), "node long, shingles array<long>"
         )
-        return found.join(ids, "node", "left_semi").dropDuplicates(["node"])
+        return lookup_join(found, ids, "node", "left_semi").dropDuplicates(["node"])
 
     linked = similar_components(members, nodes, sets_of, num, den, scope, "paras")
     known = placed.groupBy("node", "check").agg(F.count("*").alias("copies"))
