@@ -169,4 +169,4 @@ def token_length_histogram(spark, sf_dir):
 SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM eda)
 GROUP BY token ORDER BY freq DESC, token LIMIT 40"""))
 def top_tokens(spark, sf_dir):
-    return D.top_tokens(_eda(spark, sf_dir), head=None)
+    return D.top_tokens(_eda(spark, sf_dir))

@@ -27,8 +27,12 @@ def softmax(scores: Column) -> Column:
 
 
 def in_top_k(scores: Column, true_index: Column, k: int) -> Column:
-    """Whether fewer than ``k`` scores exceed the true one; a tie counts as a hit."""
+    """Whether fewer than ``k`` scores exceed the true one; a tie counts as a hit.
+
+    Null if the true index is null or names no score, or if its score is null. NaN is larger than any number, as in
+    all comparisons of Spark; null scores exceed nothing.
+    """
     return bind(
         F.get(scores, true_index),
-        lambda mine: F.size(F.filter(scores, lambda s: s > mine)) < k,
+        lambda mine: F.when(mine.isNotNull(), F.size(F.filter(scores, lambda s: s > mine)) < k),
     )

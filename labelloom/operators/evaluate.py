@@ -126,15 +126,15 @@ def classification_report(pairs: DataFrame) -> DataFrame:
 
 
 def topk_accuracy(scored: DataFrame, k: int, scores: str = "scores", true_index: str = "label_id") -> DataFrame:
-    """Share of rows whose true label is among the ``k`` best scores."""
-    hit = in_top_k(F.col(scores), F.col(true_index), k)
+    """Share of rows whose true label is among the ``k`` best scores; a label without a score is a miss."""
+    hit = F.coalesce(in_top_k(F.col(scores), F.col(true_index), k), F.lit(False))
     return scored.agg(F.avg(hit.cast("double")).alias(f"top{k}_accuracy"))
 
 
 def overall_summary(predictions: DataFrame, n_labels: int, scores: str = "scores") -> DataFrame:
     """Macro-F1, accuracy, top-3, top-5, rows and labels, from one pass over the predictions."""
     def hits(k: int) -> Column:
-        return F.sum(in_top_k(F.col(scores), F.col("label_id"), k).cast("long"))
+        return F.sum(F.coalesce(in_top_k(F.col(scores), F.col("label_id"), k).cast("long"), F.lit(0)))
 
     pairs = predictions.groupBy("y_true", "y_pred").agg(
         F.count("*").alias("n"), hits(3).alias("hit3"), hits(5).alias("hit5")

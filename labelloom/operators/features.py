@@ -25,6 +25,10 @@ MIN_VOCAB_SIZE, MIN_TOKEN_FREQ, MIN_SEQUENCE = 10, 1, 8
 ANALYZERS = ("word", "char_wb")
 
 
+class EmptyVocabulary(ValueError):
+    """No term meets the frequency limits."""
+
+
 def analyze(text: Column, analyzer: str = "word", ngram_range: tuple[int, int] = (1, 2)) -> Column:
     """All terms of a text, repeats included."""
     if analyzer == "word":
@@ -82,7 +86,7 @@ def select_vocab(
     """
     low, high = _doc_limit(min_df, n_docs), _doc_limit(max_df, n_docs)
     if high < low:
-        raise ValueError("max_df corresponds to fewer documents than min_df")
+        raise EmptyVocabulary("max_df corresponds to fewer documents than min_df")
     kept = stats.filter((F.col("df") >= low) & (F.col("df") <= high))
     if max_features is not None:
         kept = top_rows(kept, [F.desc("cf"), F.col("term")], max_features)
@@ -96,7 +100,7 @@ def fit_vocabulary(stats: DataFrame, n_docs: int, **limits) -> TermVocabulary:
     table = stage(select_vocab(stats, n_docs, **limits), "terms")
     size = table.count()
     if size == 0:
-        raise ValueError("no terms remain; lower min_df or raise max_df")
+        raise EmptyVocabulary("no terms remain; lower min_df or raise max_df")
     return TermVocabulary(table, n_docs, size)
 
 
@@ -232,7 +236,10 @@ def encode(
     tokens: str = "tokens",
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Replace ``tokens`` by ``input_ids`` (first ``max_length`` tokens, right-padded) and ``attention_mask``."""
+    """Replace ``tokens`` by ``input_ids`` (first ``max_length`` tokens, right-padded) and ``attention_mask``.
+
+    A null or empty token list gives a row of padding, a null token inside a list the unknown id.
+    """
     if max_length < min_length:
         raise ValueError(f"max_length must be at least {min_length}")
     first = docs.withColumn(tokens, F.slice(tokens, 1, max_length))
@@ -261,14 +268,15 @@ def _id_lookup(vocab: DataFrame):
         flat = lists.flatten()
         at = pc.index_in(flat, value_set=pa.array(words, flat.type)).fill_null(-1).to_numpy(zero_copy_only=False)
         found = np.where(at < 0, UNK_ID, ids[at]).astype("int32")
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        # A null list has no values, so it becomes an empty one and is padded in full.
+        ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
         return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(found))
 
     return lookup
 
 
 def _ids_by_join(docs: DataFrame, vocab: DataFrame, id_column: str, tokens: str) -> DataFrame:
-    placed = docs.select(id_column, F.posexplode(T.items(F.col(tokens))).alias("_at", "token"))
+    placed = docs.select(id_column, F.posexplode(F.transform(F.col(tokens), lambda t: t)).alias("_at", "token"))
     known = lookup_join(placed, vocab, "token", "left", "freq", F.col(id_column), max_broadcast_rows=0)
     entry = F.struct("_at", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))
     grouped = known.groupBy(id_column).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))

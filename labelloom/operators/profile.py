@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from labelloom.functions import text as T
 from labelloom.operators.prepare import all_present, category_of, non_empty_text
 from labelloom.scale.joins import pin
-from labelloom.scale.ordering import top_rows
-from labelloom.schema import MIN_TEXT_LENGTH, NARRATIVE, RECORD_ID
+from labelloom.schema import MIN_TEXT_LENGTH, NARRATIVE
 
 # Report sizes, length limits and long-tail borders.
 LENGTH_LIMITS = (128, 256, 384)
 HEAD_ABOVE, TAIL_BELOW = 1000, 100
-TOP_NULLS, TOP_BIAS, TOP_TOKENS, TOKEN_HEAD = 20, 15, 40, 20_000
+TOP_NULLS, TOP_BIAS, TOP_TOKENS = 20, 15, 40
 CHAR_BINS, TOKEN_BINS = 50, 80
 
 
@@ -64,8 +63,10 @@ def duplicate_share(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def yearly_counts(df: DataFrame, date_column: str) -> DataFrame:
-    """Rows per year; dates that do not parse are left out."""
-    year = F.year(F.try_to_timestamp(F.col(date_column).cast("string"))).cast("long")
+    """Rows per year; dates that do not parse are left out. Columns of a date or time type are taken as they are."""
+    typed = dict(df.dtypes)[date_column] in ("date", "timestamp", "timestamp_ntz")
+    day = F.col(date_column) if typed else F.try_to_timestamp(F.col(date_column).cast("string"))
+    year = F.year(day).cast("long")
     return (
         df.select(year.alias("year"))
         .filter("year is not null")
@@ -133,10 +134,15 @@ def _quantile(q: float) -> Column:
 
 
 def describe(counts: DataFrame) -> DataFrame:
-    """count, mean, sample std, min, quartiles (linear), max of the values behind ``counts``."""
+    """count, mean, sample std, min, quartiles (linear), max of the values behind ``counts``.
+
+    The spread is summed around the mean, which is taken first, so it does not cancel for large values.
+    """
+    counts = pin(counts, "values")
     value, n = F.col("value").cast("double"), F.col("n")
-    total, first, second = F.sum(n), F.sum(value * n), F.sum(value * value * n)
-    spread = F.when(total > 1, F.sqrt((second - first * first / total) / (total - 1)))
+    total, first = F.sum(n), F.sum(value * n)
+    mean = counts.agg(first / total).scalar()
+    spread = F.when(total > 1, F.sqrt(F.sum(n * (value - mean) * (value - mean)) / (total - 1)))
     return counts.agg(
         F.coalesce(total, F.lit(0)).alias("count"),
         (first / total).alias("mean"),
@@ -233,17 +239,10 @@ def longtail_curve(df: DataFrame, label: str = "category") -> DataFrame:
 # --- tokens and patterns ----------------------------------------------------------
 
 
-def top_tokens(df: DataFrame, k: int = TOP_TOKENS, head: int | None = TOKEN_HEAD, text: str = NARRATIVE) -> DataFrame:
-    """Most frequent letter runs; ``head`` restricts the count to the first rows by record id.
-
-    The cut is made on record ids alone; texts are then filtered by the last id inside it.
-    """
-    rows = df
-    if head is not None:
-        last = top_rows(df.select(RECORD_ID), [F.col(RECORD_ID)], head).agg(F.max(RECORD_ID)).scalar()
-        rows = df.filter(F.col(RECORD_ID) <= last)
+def top_tokens(df: DataFrame, k: int = TOP_TOKENS, text: str = NARRATIVE) -> DataFrame:
+    """Most frequent letter runs of all texts."""
     counts = (
-        rows.select(F.explode(T.alpha_tokens(F.col(text))).alias("token"))
+        df.select(F.explode(T.alpha_tokens(F.col(text))).alias("token"))
         .groupBy("token")
         .agg(F.count("*").alias("freq"))
     )

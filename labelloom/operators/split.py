@@ -113,6 +113,9 @@ def unseen_labels(df: DataFrame, label: str = "category") -> DataFrame:
 
 
 def assert_labels_seen(df: DataFrame, label: str = "category") -> None:
-    missing = [row[label] for row in unseen_labels(df, label).select(label).distinct().limit(20).collect()]
-    if missing:
-        raise ValueError(f"labels without training rows: {sorted(missing)}")
+    """Raise if a label has no training row; the message gives their number and, as a report, the first twenty."""
+    missing = unseen_labels(df, label).select(label).distinct()
+    number = missing.count()
+    if number:
+        first = [row[label] for row in missing.orderBy(label).limit(20).collect()]
+        raise ValueError(f"{number} labels without training rows, among them: {first}")

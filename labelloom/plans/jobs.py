@@ -27,7 +27,8 @@ def prepare_data(raw: DataFrame, out: str, seed: int | None = None) -> PreparedS
     prepared = PreparedSlice(raw) if seed is None else PreparedSlice(raw, seed=seed)
     prepared.check()
     W.write_splits(prepared.split_rows(), f"{out}/splits")
-    W.write_metadata(W.split_metadata(prepared.numbered, prepared.funnel(), prepared.seed), f"{out}/metadata")
+    metadata = W.split_metadata(prepared.numbered, prepared.funnel(), prepared.seed, prepared.min_text_length)
+    W.write_metadata(metadata, f"{out}/metadata")
     return prepared
 
 

@@ -109,7 +109,8 @@ class PreparedSlice:
         """Surviving records, narrow: record id, digest, category and split."""
         table = self.group_splits.select("key_digest", "key_rows", "category", "split")
         joined = lookup_join(self.in_valid_class, table, "key_digest", "inner", "key_rows", F.col(RECORD_ID))
-        return joined.drop("key_rows")
+        # Written once: numbering samples its input before it orders it, and the funnel reads it as well.
+        return stage(joined.drop("key_rows"), "records")
 
     @cached_property
     def numbered(self) -> DataFrame:
@@ -117,7 +118,8 @@ class PreparedSlice:
         return P.assign_complaint_id(self.records)
 
     def _with_text(self, narrow: DataFrame) -> DataFrame:
-        texts = P.select_required(self.raw)
+        # Rejected rows are filtered where they are read, so that their texts are not shuffled.
+        texts = P.min_text_length(P.drop_null_required(P.select_required(self.raw)), self.min_text_length)
         return P.derive_text_key(narrow.drop("class_id").join(texts, RECORD_ID))
 
     def rows(self) -> DataFrame:

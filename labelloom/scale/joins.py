@@ -18,11 +18,11 @@ MAX_HOT_KEYS = 100_000
 
 
 def pin(table: DataFrame, label: str, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
-    """Compute a class-level table once: a local relation if it is small, else a staged table."""
-    head = table.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return table.sparkSession.createDataFrame(head, table.schema)
-    return stage(table, label)
+    """Compute a class-level table once, as a staged table; a small one is then kept as a local relation."""
+    staged = stage(table, label)
+    if staged.count() > max_rows:
+        return staged
+    return table.sparkSession.createDataFrame(staged.toArrow(), table.schema)
 
 
 def fits_broadcast(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:

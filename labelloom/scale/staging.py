@@ -59,7 +59,9 @@ class StagingScope:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, label: str) -> None:
+        """Delete a table. The driver's garbage collection then lets Spark remove the shuffle files of finished jobs."""
         _delete(self.spark, f"{self.folder}/{label}")
+        self.spark._jvm.System.gc()
 
     def clear(self) -> None:
         _delete(self.spark, self.folder)

@@ -22,8 +22,10 @@ def write_splits(df: DataFrame, path: str, file_format: str = "parquet", mode: s
         raise ValueError("file_format must be 'parquet' or 'csv'")
 
 
-def split_metadata(df: DataFrame, stats: DataFrame | None = None, seed: int = SEED) -> DataFrame:
-    """One row: seed, task, settings, rows and classes per split, columns, and the preparation counts."""
+def split_metadata(
+    df: DataFrame, stats: DataFrame | None = None, seed: int = SEED, min_text_length: int = MIN_TEXT_LENGTH
+) -> DataFrame:
+    """One row: seed, task, the settings used, rows and classes per split, columns, and the preparation counts."""
     profile = split_profile(df)
 
     def of(split: str, column: str):
@@ -32,7 +34,7 @@ def split_metadata(df: DataFrame, stats: DataFrame | None = None, seed: int = SE
     row = profile.agg(
         F.lit(seed).alias("seed"),
         F.lit(TASK).alias("task"),
-        F.lit(MIN_TEXT_LENGTH).alias("min_text_len"),
+        F.lit(min_text_length).alias("min_text_len"),
         F.lit(SPLIT_STRATEGY).alias("split_strategy"),
         *[of(s, "n_rows").alias(f"{s}_rows") for s in SPLITS],
         F.array(*[F.lit(c) for c in FINAL_COLUMNS]).alias("columns"),
@@ -90,8 +92,8 @@ def encode_metadata(
 
 
 def write_report(df: DataFrame, path: str, file_format: str = "csv") -> None:
-    """A report table as CSV with a header, or as JSON lines; reports are small, so one file."""
-    writer = df.coalesce(1).write.mode("overwrite")
+    """A report table as CSV with a header, or as JSON lines, in one file; the work above it stays parallel."""
+    writer = df.repartition(1).write.mode("overwrite")
     if file_format == "csv":
         writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     elif file_format == "json":

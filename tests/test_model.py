@@ -149,7 +149,21 @@ def test_random_search(splits):
     states = [r["state"] for r in trials]
     assert states == sorted(states) and set(states) == {"COMPLETE", "FAIL"}
     assert all((r["macro_f1"] is None) == (r["state"] == "FAIL") for r in trials)
-    assert EX.random_search(splits, 3, timeout_sec=0).count() == 0
+    assert all((r["message"] is None) == (r["state"] == "COMPLETE") for r in trials)
+    late = EX.random_search(splits, 3, timeout_sec=0).collect()
+    assert [r["state"] for r in late] == ["NOT_RUN"] * 3
+
+
+def test_bad_settings_are_not_a_failed_trial(splits):
+    with pytest.raises(ValueError, match="analyzer"):
+        EX.random_search(splits, 1, base={"analyzer": "letters"})
+
+
+def test_equal_settings_are_told_by_name(splits):
+    rows = [("b", 0.5, 0.7), ("a", 0.5, 0.7), ("c", 0.4, 0.7)]
+    table = splits.sparkSession.createDataFrame(rows, "config string, test_macro_f1 double, test_weighted_f1 double")
+    for parts in (1, 3):
+        assert tuple(EX.best_ablation(table.repartition(parts)).first()) == ("a", "a")
 
 
 def test_ablation(splits):

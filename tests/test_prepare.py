@@ -14,35 +14,46 @@ def table(spark, rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], SCHEMA)
 
 
+# (class, texts only it has, copies of its first text); the threshold of a class is five rows.
+CLASSES = [(("Loans", "Late fee"), 9, 3), (("Cards", "Fraud"), 5, 0), (("Cards", "Limit"), 4, 1), (("Wires", "Delay"), 3, 0)]
+CONTESTED = ["contested narrative number one, long enough", "contested narrative number two, long enough"]
+
+
 @pytest.fixture(scope="module")
 def mixed(spark):
-    shared = "one shared narrative that appears under two different categories"
-    rows = [(long_text("A", i), "Mortgage", "Servicing") for i in range(6)]
-    rows += [("the same narrative twice within one and the same class", "Mortgage", "Servicing")]
-    rows += [(long_text("B", i), "Debt collection", "Disclosure") for i in range(5)]
-    rows += [(shared, "Debt collection", "Disclosure"), (f"  {shared.upper()} ", "Mortgage", "Servicing")]
-    rows += [(long_text("C", i), "Credit card", "APR") for i in range(4)]
+    rows = []
+    for (product, issue), own, copies in CLASSES:
+        texts = [long_text(f"{product} {issue}", i) for i in range(own)]
+        rows += [(text, product, issue) for text in texts + texts[:1] * copies]
+    for text in CONTESTED:
+        rows += [(text.title(), "Loans", "Late fee"), (f"\t{text}\n", "Cards", "Limit")]
     return table(spark, rows)
 
 
-def test_class_and_conflict_filters(mixed):
+def test_each_stage_of_the_funnel_follows_its_rule(mixed):
+    sizes = {c: own + copies for c, own, copies in CLASSES}
+    for c in (("Loans", "Late fee"), ("Cards", "Limit")):
+        sizes[c] += len(CONTESTED)
+    large = {c: n for c, n in sizes.items() if n >= 5}
+    after = {c: n - len(CONTESTED) * (c in (("Loans", "Late fee"), ("Cards", "Limit"))) for c, n in large.items()}
+    kept = {c: n for c, n in after.items() if n >= 5}
     prepared = PreparedSlice(mixed)
-    stats = prepared.funnel().first().asDict()
-    kept = prepared.rows()
-    assert kept.columns == FINAL_COLUMNS
-    assert {r[0] for r in kept.select("category").distinct().collect()} == {
-        "Mortgage|Servicing", "Debt collection|Disclosure",
-    }
-    assert min(r["count"] for r in kept.groupBy("category").count().collect()) >= 5
-    assert stats["rows_raw"] == 18 and stats["rows_after_class_filter"] == 14
-    assert stats["n_conflicting_text_keys_before"] == 1 and stats["n_conflicting_text_keys_after"] == 0
-    assert stats["dropped_conflict_rows"] == 2 and stats["dropped_by_text_dedup"] == 0
-    assert stats["min_class_count_threshold"] == 5 and stats["rows_after_text_key"] == 12
+    stats = prepared.funnel().first()
+    assert stats["rows_raw"] == sum(sizes.values())
+    assert stats["n_classes_before_min_count"] == len(sizes) and stats["n_classes_after_min_count"] == len(large)
+    assert stats["rows_after_class_filter"] == sum(large.values())
+    assert stats["n_conflicting_text_keys_before"] == len(CONTESTED) and stats["n_conflicting_text_keys_after"] == 0
+    assert stats["dropped_conflict_rows"] == 2 * len(CONTESTED)
+    assert stats["rows_after_conflict_filter"] == sum(after.values())
+    assert stats["rows_after_class_refilter"] == stats["rows_after_text_key"] == sum(kept.values())
+    rows = prepared.rows()
+    assert rows.columns == FINAL_COLUMNS
+    assert {tuple(r["category"].split("|")): r["count"] for r in rows.groupBy("category").count().collect()} == kept
 
 
 def test_ids_follow_source_order(mixed):
     rows = PreparedSlice(mixed).split_rows().orderBy("record_id").select("complaint_id").collect()
-    assert [r[0] for r in rows] == [f"cfpb_{i}" for i in range(12)]
+    assert [r[0] for r in rows] == [f"cfpb_{i}" for i in range(len(rows))] and rows
 
 
 def test_nulls_and_short_texts_are_dropped_and_text_is_kept_unstripped(spark):
