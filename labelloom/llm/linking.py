@@ -88,21 +88,23 @@ def similar_components(
     links = links.unionByName(tied.filter(F.col("a") != F.col("b")).distinct())
     first = connected_components(links, scope, f"{label}-first")
 
-    merged = (
-        alias.join(first.withColumnRenamed("node", "same_as"), "same_as", "left")
-        .select("node", "same_as", F.coalesce("component", "same_as").alias("component"))
-        .join(unique.select(F.col("node").alias("same_as"), "n", *folded()), "same_as")
+    merged = alias.join(first.withColumnRenamed("node", "same_as"), "same_as", "left").select(
+        "node", "same_as", F.coalesce("component", "same_as").alias("component")
     )
+    # Narrow rows first: sizes and sketches join those signatures only that still hold several components.
     mixed = scope.stage(
         shared.select("sig", "node")
         .join(merged, "node")
-        .select("sig", F.col("same_as").alias("node"), "component", "n", *FOLDED)
+        .select("sig", F.col("same_as").alias("node"), "component")
         .withColumn("low", F.min("component").over(by_sig))
         .withColumn("high", F.max("component").over(by_sig))
         .filter(F.col("low") != F.col("high"))
-        .drop("low", "high"),
+        .dropDuplicates(["sig", "node"])
+        .select("sig", "node", "component"),
         f"{label}-mixed",
     )
+    scope.drop(f"{label}-shared")
+    mixed = mixed.join(unique.select("node", "n", *folded()), "node")
     p, q = mixed.alias("p"), mixed.alias("q")
     apart = (
         (F.col("p.sig") == F.col("q.sig"))
