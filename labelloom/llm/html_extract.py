@@ -136,19 +136,25 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def fit_weights(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES) -> dict[str, float]:
+def fit_weights(
+    pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES, key_cols: tuple[str, ...] = ("page_id", "url")
+) -> dict[str, float]:
     """Log-odds of lying inside the labelled content, per feature, with one pseudo-count on each side.
 
-    Fitted on at most ``fit_pages`` labelled pages, those with the smallest hash, so reruns and repartitioning
-    give the same weights. Features are bounded by the HTML element names.
+    Fitted on at most ``fit_pages`` labelled pages, those with the smallest hash of their key, so reruns and
+    repartitioning give the same weights. All pages are first thinned by that hash to about four times the bound, so
+    that only so many meet. Features are bounded by the HTML element names.
     """
     text = F.col(html_col)
-    labelled = pages.select(text.alias("html")).filter(
+    space = 1 << 40
+    chance = F.pmod(F.xxhash64(*key_cols), F.lit(space)).cast("double") * pages.count()
+    keyed = pages.filter(chance < float(4 * fit_pages) * space)
+    labelled = keyed.select(text.alias("html"), F.xxhash64(*key_cols).alias("place")).filter(
         (F.regexp_count(text, F.lit(r"(?i)<article[\s>]")) == 1)
         | ((F.regexp_count(text, F.lit(r"(?i)<article[\s>]")) == 0) & (F.regexp_count(text, F.lit(r"(?i)<main[\s>]")) == 1))
     )
-    sample = labelled.orderBy(F.xxhash64("html"), "html").limit(fit_pages).repartition(8)
-    counts = sample.mapInArrow(_counted, "feature string, inside boolean, n long").groupBy("feature").agg(
+    sample = labelled.orderBy("place", F.xxhash64("html")).limit(fit_pages).repartition(8)
+    counts = sample.select("html").mapInArrow(_counted, "feature string, inside boolean, n long").groupBy("feature").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"),
         F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("outside"),
     )
@@ -219,7 +225,7 @@ def extract_main_text(
     White space inside a block becomes one space, after character references were decoded. Other columns are
     not read. Every page is handled whole and alone, so there is no shuffle; repeated rows repeat.
     """
-    fitted = fit_weights(pages, html_col) if weights is None else weights
+    fitted = fit_weights(pages, html_col, key_cols=(id_col, url_col)) if weights is None else weights
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
