@@ -48,12 +48,16 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     selector = np.full(n, ESCAPE, dtype=np.uint8)
     step = np.ones(n, dtype=np.int64)
-    # Widest payload first: a narrower one that fits holds more ids and overwrites it.
-    for code in range(len(BITS), -1, -1):
+    # From the narrowest payload that every id fits to narrower ones; one that fits holds more ids and overwrites it.
+    largest = int(ids.max())
+    first = next((c for c in range(len(BITS) + 1) if largest < 1 << (BITS[c - 1] if c else 0)), len(BITS))
+    if largest < 1 << 32:
+        ids = ids.astype(np.uint32)
+    for code in range(first, -1, -1):
         bits, count = (BITS[code - 1], PER_WORD[code - 1]) if code else (0, ZEROS)
         # Ids that fit, and as many more beyond the end, where a word may be partly filled. A word can start
         # at one if the next count - 1 follow it without a gap.
-        narrow = np.append(np.flatnonzero(ids < np.uint64(1 << bits)), np.arange(n, n + count - 1))
+        narrow = np.append(np.flatnonzero(ids < ids.dtype.type(1 << bits) if bits < 32 or ids.itemsize == 8 else np.ones(n, dtype=bool)), np.arange(n, n + count - 1))
         if len(narrow) < count:
             continue
         fits = narrow[: len(narrow) - count + 1][narrow[count - 1 :] - narrow[: len(narrow) - count + 1] == count - 1]
@@ -66,7 +70,7 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     taken = np.array(taken, dtype=np.int64)
     chosen = selector[taken]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([ids, np.zeros(60, dtype=np.uint64)])
+    padded = np.concatenate([ids, np.zeros(60, dtype=np.uint64)]).astype(np.uint64)
     for code in np.unique(chosen):
         if code in (0, ESCAPE):
             continue
@@ -162,7 +166,7 @@ class PieceTokenizer:
     and told apart by the leading space of their first id; pieces without one are encoded one by one.
     """
 
-    GENERATION = 400_000  # pieces in either half of the cache; the older half is dropped when the newer is full
+    GENERATION = 600_000  # pieces in either half of the cache; the older half is dropped when the newer is full
     _OTHER_SPACE = re.compile(r"[^\S \n]")
     _GAP = re.compile(r"(?<=\S) (?=\S)")
 
@@ -183,8 +187,7 @@ class PieceTokenizer:
         pieces = [self._pieces(t) for t in texts]
         if len(self.young) > self.GENERATION:
             self.young, self.old = {}, self.young
-        wanted = set().union(*pieces)
-        wanted.difference_update(self.young)
+        wanted = set().union(*pieces).difference(self.young)
         if wanted:
             self._learn(wanted)
         known = self.young.__getitem__
@@ -253,7 +256,7 @@ def worker_tokenizer(path: str) -> PieceTokenizer:
     return kept
 
 
-def _blocks(path: str, chunk: int = 256):
+def _blocks(path: str, chunk: int = 512):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(path)
         held: list[np.ndarray] = []
