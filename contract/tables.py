@@ -84,6 +84,11 @@ def shared(spark: SparkSession, sf_dir: str) -> Shared:
     return _shared[key]
 
 
+def shared_results() -> bool:
+    """Whether any query has left results that others can use."""
+    return bool(_shared)
+
+
 def forget() -> None:
     """Drop shared results, so that the next query computes them again."""
     _shared.clear()
