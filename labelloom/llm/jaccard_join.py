@@ -126,18 +126,6 @@ def _profiles(width: int, num: int, den: int):
     return profile
 
 
-def _shingle_lists(width: int):
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(word_hashes(words_of(t), cache), width).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
-            )
-
-    return listed
-
-
 def _signed(
     texts: DataFrame, num: int, den: int, width: int, scope: StagingScope
 ) -> tuple[DataFrame, DataFrame]:
@@ -154,7 +142,8 @@ def _signed(
 def _components(
     members: DataFrame,
     profiles: DataFrame,
-    sets_of: Callable[[DataFrame], DataFrame],
+    texts_of: Callable[[DataFrame], DataFrame],
+    width: int,
     num: int,
     den: int,
     scope: StagingScope,
@@ -163,7 +152,7 @@ def _components(
     real = profiles.filter(F.col("node").isNotNull() & (F.col("n") > 0)).select("node", "n", "d0", "d1", *SKETCH)
     first = real.groupBy("d0", "d1").agg(F.min("node").alias("same_as"))
     nodes = scope.stage(real.join(first, ["d0", "d1"]).select("node", "same_as", "n", *SKETCH).distinct(), "nodes")
-    linked = similar_components(members, nodes, sets_of, num, den, scope, "docs").withColumnRenamed("node", "same_as")
+    linked = similar_components(members, nodes, texts_of, width, num, den, scope, "docs").withColumnRenamed("node", "same_as")
     alias = nodes.groupBy("node").agg(F.min("same_as").alias("same_as"))
     return alias.join(linked, "same_as", "left").select("node", F.coalesce("component", "same_as").alias("component"))
 
@@ -183,11 +172,10 @@ def jaccard_components(
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     members, profiles = _signed(texts, num, den, width, scope)
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        asked = lookup_join(texts, ids, "node", "left_semi")
-        return asked.mapInArrow(_shingle_lists(width), "node long, shingles array<long>")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return lookup_join(texts, ids, "node", "left_semi")
 
-    found = _components(members, profiles, sets_of, num, den, scope)
+    found = _components(members, profiles, texts_of, width, num, den, scope)
     return profiles.select("node", "n").join(found, "node", "left").select(
         F.col("node").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id")
     )
@@ -211,12 +199,12 @@ def first_of_groups(
     )
     members, profiles = _signed(texts, num, den, width, scope)
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def texts_of(ids: DataFrame) -> DataFrame:
         asked = scope.stage(profiles.select("node", "key").join(ids, "node"), f"asked-{uuid4().hex}")
         found = lookup_join(docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")), asked, "key")
-        return found.select("node", "text").mapInArrow(_shingle_lists(width), "node long, shingles array<long>")
+        return found.select("node", "text")
 
-    group = _components(members, profiles, sets_of, num, den, scope)
+    group = _components(members, profiles, texts_of, width, num, den, scope)
     rows = profiles.select("node", "id", "digest", "key").join(group, "node", "left")
     own = F.coalesce(F.col("component").cast("string"), F.col("key"))
     rows = scope.stage(rows.withColumn("group", own), "rows")

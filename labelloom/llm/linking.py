@@ -3,8 +3,8 @@
 ``members`` (sig, node) holds a row for every signature of every node; nodes that share one are candidates.
 Links are looked for in two rounds:
 
-1. Every member of a signature is tried against the smallest member, so a group of m copies costs m tries.
-   Verified links are merged into components.
+1. The smallest member of a signature is its hub. Every node is tried against one hub of its signatures, so a
+   group of m near copies costs m tries. Verified links are merged into components.
 2. Members of one signature that are still in different components are compared inside the join itself:
    its condition holds the size rule and the parity-sketch bound, and lets through only pairs which may be
    links. Those are verified exactly.
@@ -15,16 +15,19 @@ between nodes that share a signature.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.shingles import SKETCH_WORDS
+from labelloom.llm.shingles import SKETCH_WORDS, WordHashes, shingle_set, word_hashes, words_of
 from labelloom.scale.components import connected_components
 from labelloom.scale.staging import StagingScope
 
+MAX_KEPT_SETS = 200
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 # A sketch of a quarter of the bits, for rows that come once per signature: bits folded onto each other by xor
 # are the parities over fewer bins.
@@ -49,7 +52,8 @@ def may_link(a: str, b: str, num: int, den: int, sketch: list[str]) -> Column:
 def similar_components(
     members: DataFrame,
     nodes: DataFrame,
-    sets_of: Callable[[DataFrame], DataFrame],
+    texts_of: Callable[[DataFrame], DataFrame],
+    width: int,
     num: int,
     den: int,
     scope: StagingScope,
@@ -59,7 +63,7 @@ def similar_components(
 
     ``members`` comes from the table "signed" of the scope, which is dropped once it was read.
     ``nodes``: (node, same_as, n, s0..) with the node that stands for all equal sets in ``same_as``;
-    ``sets_of(ids)`` gives (node, shingles) of the asked nodes.
+    ``texts_of(ids)`` gives (node, text) of the asked nodes; a set holds the ``width``-word shingles of its text.
     """
     by_sig = Window.partitionBy("sig")
     shared = scope.stage(
@@ -80,7 +84,10 @@ def similar_components(
         .distinct()
     )
     unique = nodes.filter(F.col("node") == F.col("same_as")).select("node", "n", *SKETCH)
-    links = _verified(pairs, unique, sets_of, num, den, scope, f"{label}-hub")
+    # Of its hubs, each node is tried against the one whose sketch is nearest; round 2 takes up what that leaves.
+    near = _sketched(pairs, unique, num, den)
+    nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    links = _verified(nearest, texts_of, width, num, den, scope, f"{label}-hub")
     # A node with several sets (a repeated id) ties their components together.
     tied = alias.join(alias.groupBy("node").agg(F.min("same_as").alias("a")), "node").select(
         "a", F.col("same_as").alias("b")
@@ -113,38 +120,65 @@ def similar_components(
         & may_link("p", "q", num, den, FOLDED)
     )
     tried = p.join(q, apart).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    more = _verified(tried, unique, sets_of, num, den, scope, f"{label}-rest")
+    tried = _sketched(tried, unique, num, den).select("a", "b")
+    more = _verified(tried, texts_of, width, num, den, scope, f"{label}-rest")
     return connected_components(links.unionByName(more), scope, f"{label}-last")
 
 
+def _sketched(pairs: DataFrame, unique: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the full sketches let through, with the number of bits in which these differ."""
+    apart = sum((F.bit_count(F.col(f"p.{s}").bitwiseXOR(F.col(f"q.{s}"))) for s in SKETCH), F.lit(0))
+    return (
+        pairs.join(unique.alias("p"), F.col("a") == F.col("p.node"))
+        .join(unique.alias("q"), F.col("b") == F.col("q.node"))
+        .filter(may_link("p", "q", num, den, SKETCH))
+        .select("a", "b", apart.alias("apart"))
+    )
+
+
 def _verified(
     pairs: DataFrame,
-    unique: DataFrame,
-    sets_of: Callable[[DataFrame], DataFrame],
+    texts_of: Callable[[DataFrame], DataFrame],
+    width: int,
     num: int,
     den: int,
     scope: StagingScope,
     label: str,
 ) -> DataFrame:
-    """The pairs (a, b) whose sets have exact Jaccard >= num / den. Sets are only made for pairs that pass the sketches."""
-    pairs = scope.stage(
-        pairs.join(unique.alias("p"), F.col("a") == F.col("p.node"))
-        .join(unique.alias("q"), F.col("b") == F.col("q.node"))
-        .filter(may_link("p", "q", num, den, SKETCH))
-        .select("a", "b")
-        .distinct(),
-        f"{label}-tried",
-    )
+    """The pairs (a, b) whose sets have exact Jaccard >= num / den. Texts travel rather than sets: they compress."""
+    pairs = scope.stage(pairs, f"{label}-tried")
     ids = scope.stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}-ids")
-    sets = scope.stage(sets_of(ids), f"{label}-sets")
-    kinds = sets.select("node", F.xxhash64("shingles").alias("set"))
+    texts = scope.stage(texts_of(ids), f"{label}-texts")
+    kinds = texts.select("node", F.xxhash64("text").alias("kind"))
     if kinds.count() > kinds.distinct().count():  # repeated rows of the input
-        sets = scope.stage(sets.dropDuplicates(["node", "shingles"]), f"{label}-single-sets")
-    both = F.size(F.array_intersect("left", "right"))
-    return scope.stage(
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-        .filter(both * den >= (F.size("left") + F.size("right") - both) * num)
-        .select("a", "b"),
-        f"{label}-links",
+        texts = scope.stage(texts.dropDuplicates(["node", "text"]), f"{label}-single-texts")
+    compared = (
+        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+        .select("a", "b", "left", "right")
     )
+    return scope.stage(compared.mapInArrow(_linking(width, num, den), "a long, b long"), f"{label}-links")
+
+
+def _linking(width: int, num: int, den: int):
+    """Keeps the rows whose two texts link. Rows come in runs of one text, whose set is made once."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, sets = WordHashes(), {}
+
+        def set_of(text: str) -> np.ndarray:
+            if text not in sets:
+                if len(sets) >= MAX_KEPT_SETS:
+                    sets.clear()
+                sets[text] = shingle_set(word_hashes(words_of(text), cache), width)
+            return sets[text]
+
+        for batch in batches:
+            links = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                left, right = set_of(batch.column(2)[i].as_py()), set_of(batch.column(3)[i].as_py())
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                links[i] = both * den >= (len(left) + len(right) - both) * num
+            yield batch.select(["a", "b"]).filter(pa.array(links))
+
+    return kept

@@ -100,18 +100,18 @@ def _profiles(width: int, least_words: int, bands: int, rows: int):
     return profile
 
 
-def _sets(width: int, least_words: int):
+def _lines(width: int, least_words: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            nodes, sets = [], []
-            for text in batch.column(0).to_pylist():
-                for *_, words in paragraphs(text, least_words):
-                    shingles = shingle_set(word_hashes(words, cache), width)
-                    nodes.append(set_digest(shingles)[0])
-                    sets.append(shingles.view(np.int64))
+            found = [
+                (set_digest(shingle_set(word_hashes(words, cache), width))[0], line)
+                for text in batch.column(0).to_pylist()
+                for _, _, line, words in paragraphs(text, least_words)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
+                [pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())],
+                names=["node", "text"],
             )
 
     return listed
@@ -153,16 +153,16 @@ def repeated_paragraphs(
     )
     members = signed.select(F.explode("sigs").alias("sig"), "node")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def texts_of(ids: DataFrame) -> DataFrame:
         where = scope.stage(
             nodes.join(ids, "node", "left_semi").select(F.col("at").alias("id")).distinct(), f"asked-{uuid4().hex}"
         )
         found = lookup_join(texts, where, "id", "left_semi").select("text").mapInArrow(
-            _sets(width, least_words), "node long, shingles array<long>"
+            _lines(width, least_words), "node long, text string"
         )
         return lookup_join(found, ids, "node", "left_semi").dropDuplicates(["node"])
 
-    linked = similar_components(members, nodes, sets_of, num, den, scope, "paras")
+    linked = similar_components(members, nodes, texts_of, width, num, den, scope, "paras")
     known = placed.groupBy("node", "check").agg(F.count("*").alias("copies"))
     group = nodes.select("node", "check").join(linked, "node", "left").join(known, ["node", "check"])
     # A paragraph matters if its set has several copies or links with another set.
