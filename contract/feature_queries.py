@@ -10,7 +10,7 @@ from contract.tables import complaints, shared, split_of, splits, terms_of, toke
 from labelloom.operators import features as X
 from labelloom.schema import RECORD_ID
 
-MAX_FEATURES = 2000
+MAX_FEATURES = 50_000  # the default of the stack
 
 
 def _vocab(spark, sf_dir) -> X.TermVocabulary:
@@ -53,7 +53,7 @@ def tfidf_weights(spark, sf_dir):
 
 _PER_DOC = """
 SELECT p.record_id, count(w.term_id) AS n_terms, round(coalesce(sum(w.weight), 0e0), 6) AS weight_sum,
-       round(coalesce(sum(w.weight * w.term_id), 0e0), 4) AS weighted_ids
+       round(coalesce(sum(w.weight * w.term_id), 0e0), 2) AS weighted_ids
 FROM prepared p LEFT JOIN weights w USING (record_id) WHERE p.split <> 'train' GROUP BY p.record_id"""
 
 
@@ -66,7 +66,7 @@ def _per_doc(arrays):
         RECORD_ID,
         F.size("indices").alias("n_terms"),
         F.round(total(F.col("weights")), 6).alias("weight_sum"),
-        F.round(total(products), 4).alias("weighted_ids"),
+        F.round(total(products), 2).alias("weighted_ids"),
     )
 
 
@@ -149,7 +149,7 @@ def attention_mask(spark, sf_dir):
     return encoded.select(RECORD_ID, F.array_join(F.col("attention_mask").cast("array<string>"), "").alias("mask"))
 
 
-@query(Q.with_(Q.token_ctes(1000), """
+@query(Q.with_(Q.token_ctes(), """
 SELECT split, count(*) AS total_tokens, count(v.token_id) AS covered_tokens,
        count(*) - count(v.token_id) AS unk_tokens,
        CAST(count(*) - count(v.token_id) AS DOUBLE) / count(*) AS oov_rate
@@ -157,7 +157,7 @@ FROM (SELECT split, unnest(tokens) AS token FROM doc_tokens) t LEFT JOIN token_v
 GROUP BY split"""))
 def oov_stats(spark, sf_dir):
     tokens = tokens_of(splits(spark, sf_dir), "split")
-    vocab = X.build_vocab(tokens.filter(F.col("split") == "train"), max_size=1000)
+    vocab = X.build_vocab(tokens.filter(F.col("split") == "train"))
     return X.oov_stats(tokens, vocab)
 
 

@@ -168,7 +168,7 @@ def terms(source: str, ngrams: bool = True) -> str:
     return f"SELECT record_id, split, {listed} AS terms FROM (SELECT record_id, split, {cleaned} AS t FROM {source})"
 
 
-def vocab_ctes(max_features: int | None = 2000, ngrams: bool = True) -> str:
+def vocab_ctes(max_features: int | None = 50_000, ngrams: bool = True) -> str:
     """Vocabulary fitted on the training rows, with n, df, cf, idf and alphabetical ids."""
     limit = "" if max_features is None else f"LIMIT {max_features}"
     return PREPARED + f""",
