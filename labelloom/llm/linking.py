@@ -3,8 +3,9 @@
 ``members`` (sig, node) holds a row for every signature of every node; nodes that share one are candidates.
 Links are looked for in two rounds:
 
-1. The smallest member of a signature is its hub. Every node is tried against one hub of its signatures, so a
-   group of m near copies costs m tries. Verified links are merged into components.
+1. One member of each signature is its hub. Every node is tried against one hub of its signatures, so a
+   group of m near copies costs m tries. Verified links are merged into components. This is repeated with other hubs
+   for the signatures that still hold several components.
 2. Members of one signature that are still in different components are compared inside the join itself:
    its condition holds the size rule and the parity-sketch bound, and lets through only pairs which may be
    links. Those are verified exactly.
@@ -16,7 +17,6 @@ between nodes that share a signature.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +28,8 @@ from labelloom.scale.components import connected_components
 from labelloom.scale.staging import StagingScope
 
 MAX_KEPT_SETS = 200
+HUB_TURNS = 3
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
-# A sketch of a quarter of the bits, for rows that come once per signature: bits folded onto each other by xor
-# are the parities over fewer bins.
-FOLDED = [f"f{i}" for i in range(SKETCH_WORDS // 4)]
-
-
-def folded() -> list[Column]:
-    quarter = len(FOLDED)
-    return [
-        reduce(Column.bitwiseXOR, [F.col(SKETCH[i + quarter * j]) for j in range(4)]).alias(f)
-        for i, f in enumerate(FOLDED)
-    ]
 
 
 def may_link(a: str, b: str, num: int, den: int, sketch: list[str]) -> Column:
@@ -79,52 +69,77 @@ def similar_components(
         pairs.join(alias, "node")
         .select("hub", F.col("same_as").alias("x"))
         .join(alias.withColumnRenamed("node", "hub"), "hub")
-        .select(F.least("x", "same_as").alias("a"), F.greatest("x", "same_as").alias("b"))
+        .select(F.col("same_as").alias("a"), F.col("x").alias("b"))
         .filter(F.col("a") != F.col("b"))
         .distinct()
     )
     unique = nodes.filter(F.col("node") == F.col("same_as")).select("node", "n", *SKETCH)
-    # Of its hubs, each node is tried against the one whose sketch is nearest; round 2 takes up what that leaves.
-    near = _sketched(pairs, unique, num, den)
-    nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = _verified(nearest, texts_of, width, num, den, scope, f"{label}-hub")
+    links = _from_hubs(pairs, unique, texts_of, width, num, den, scope, f"{label}-hub")
     # A node with several sets (a repeated id) ties their components together.
     tied = alias.join(alias.groupBy("node").agg(F.min("same_as").alias("a")), "node").select(
         "a", F.col("same_as").alias("b")
     )
     links = links.unionByName(tied.filter(F.col("a") != F.col("b")).distinct())
-    first = connected_components(links, scope, f"{label}-first")
-
-    merged = alias.join(first.withColumnRenamed("node", "same_as"), "same_as", "left").select(
-        "node", "same_as", F.coalesce("component", "same_as").alias("component")
-    )
-    # Narrow rows first: sizes and sketches join those signatures only that still hold several components.
-    mixed = scope.stage(
-        shared.select("sig", "node")
-        .join(merged, "node")
-        .select("sig", F.col("same_as").alias("node"), "component")
-        .withColumn("low", F.min("component").over(by_sig))
-        .withColumn("high", F.max("component").over(by_sig))
-        .filter(F.col("low") != F.col("high"))
-        .dropDuplicates(["sig", "node"])
-        .select("sig", "node", "component"),
-        f"{label}-mixed",
-    )
+    labels = connected_components(links, scope, f"{label}-first")
+    mixed = _mixed(shared.join(alias, "node").select("sig", F.col("same_as").alias("node")), labels, scope, f"{label}-mixed-0")
     scope.drop(f"{label}-shared")
-    mixed = mixed.join(unique.select("node", "n", *folded()), "node")
+    for turn in range(1, HUB_TURNS + 1):
+        if mixed.isEmpty():
+            return labels
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).over(by_sig)
+        pairs = mixed.withColumn("hub", hub).filter(F.col("component") != F.col("hub.component")).select(
+            F.col("hub.node").alias("a"), F.col("node").alias("b")
+        )
+        more = _from_hubs(pairs.distinct(), unique, texts_of, width, num, den, scope, f"{label}-hub-{turn}")
+        links = links.unionByName(more)
+        labels = connected_components(links, scope, f"{label}-turn-{turn}")
+        mixed = _mixed(mixed.select("sig", "node"), labels, scope, f"{label}-mixed-{turn}")
+    if mixed.isEmpty():
+        return labels
+    mixed = mixed.join(unique, "node")
     p, q = mixed.alias("p"), mixed.alias("q")
     apart = (
         (F.col("p.sig") == F.col("q.sig"))
         & (F.col("p.node") < F.col("q.node"))
         & (F.col("p.component") != F.col("q.component"))
-        & may_link("p", "q", num, den, FOLDED)
+        & may_link("p", "q", num, den, SKETCH)
     )
     tried = p.join(q, apart).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    tried = _sketched(tried, unique, num, den).select("a", "b")
     more = _verified(tried, texts_of, width, num, den, scope, f"{label}-rest")
     return connected_components(links.unionByName(more), scope, f"{label}-last")
 
 
+def _mixed(members: DataFrame, labels: DataFrame, scope: StagingScope, label: str) -> DataFrame:
+    """(sig, node, component) of the signatures whose members are in several components. Rows are narrow."""
+    by_sig = Window.partitionBy("sig")
+    return scope.stage(
+        members.join(labels, "node", "left")
+        .select("sig", "node", F.coalesce("component", "node").alias("component"))
+        .withColumn("low", F.min("component").over(by_sig))
+        .withColumn("high", F.max("component").over(by_sig))
+        .filter(F.col("low") != F.col("high"))
+        .dropDuplicates(["sig", "node"])
+        .select("sig", "node", "component"),
+        label,
+    )
+
+
+def _from_hubs(
+    pairs: DataFrame,
+    unique: DataFrame,
+    texts_of: Callable[[DataFrame], DataFrame],
+    width: int,
+    num: int,
+    den: int,
+    scope: StagingScope,
+    label: str,
+) -> DataFrame:
+    """Links among pairs (a hub, b node); of its hubs, each node is tried against the one whose sketch is nearest."""
+    near = _sketched(pairs, unique, num, den)
+    nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    return _verified(nearest, texts_of, width, num, den, scope, label)
+
+
 def _sketched(pairs: DataFrame, unique: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that the full sketches let through, with the number of bits in which these differ."""
     apart = sum((F.bit_count(F.col(f"p.{s}").bitwiseXOR(F.col(f"q.{s}"))) for s in SKETCH), F.lit(0))
