@@ -28,7 +28,7 @@ from labelloom.scale.components import connected_components
 from labelloom.scale.staging import StagingScope
 
 MAX_KEPT_SETS = 200
-HUB_TURNS = 3
+HUB_TURNS = 2
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
@@ -91,6 +91,8 @@ def similar_components(
             F.col("hub.node").alias("a"), F.col("node").alias("b")
         )
         more = _from_hubs(pairs.distinct(), unique, texts_of, width, num, den, scope, f"{label}-hub-{turn}")
+        if more.isEmpty():
+            break  # other hubs would hardly find more; the last join looks at all that is left
         links = links.unionByName(more)
         labels = connected_components(links, scope, f"{label}-turn-{turn}")
         mixed = _mixed(mixed.select("sig", "node"), labels, scope, f"{label}-mixed-{turn}")
