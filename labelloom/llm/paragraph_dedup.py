@@ -1,19 +1,25 @@
-"""Substring deduplication by paragraph MinHash banding.
+"""Substring deduplication by paragraph MinHash banding, and of passages wherever they stand.
 
-A paragraph is a line of a text with at least ``least_words`` words; its set holds the 5-word shingles. MinHash
+A paragraph is a line of a text with at least ``least_words`` words, or a run of shorter lines between longer or blank
+ones that has as many (hard-wrapped prose, lists, verse); its set holds the 5-word shingles. MinHash
 values are cut into bands, as many and as long as give the asked recall at the threshold; paragraphs that
 agree in a band are candidates. Candidates are verified by exact Jaccard and merged into components
 (``linking``), and of every component all paragraphs but the first, by document and place, are removals.
+
+What stays is searched for passages of at least ``run`` words that stand in it more than once, whatever the line ends and
+the text around them (``repeated_passages``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.linking import SKETCH, similar_components
@@ -25,6 +31,10 @@ from labelloom.scale.staging import StagingScope
 WIDTH, LEAST_WORDS, MOST_HASHES = 5, 25, 128
 RECALL = 0.9999
 MAX_SEEN = 300_000
+RUN, GRAM = 50, 25
+# Odd factors of the two hashes of a run of words.
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_WORD = re.compile(r"[^ \t-\r]+")  # as bytes.split() has it
 
 
 def bands_for(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -59,25 +69,35 @@ class MinHash:
         return mixed(grouped.sum(axis=1, dtype=np.uint64) + self.salt)
 
 
-def paragraphs(text: str | None, least_words: int) -> Iterator[tuple[int, int, str, list[bytes]]]:
-    """(number, start in code points, paragraph, words) of the lines with enough words."""
+def paragraphs(text: str | None, least_words: int) -> Iterator[tuple[int, int, int, str, list[bytes]]]:
+    """(number of the first line, lines, start in code points, paragraph, words) of the paragraphs with enough words."""
     at = 0
-    for number, line in enumerate(text.split("\n") if text else ()):
+    first, begin, short, gathered = 0, 0, [], []
+    for number, line in enumerate([*text.split("\n"), ""] if text else ()):
         words = line.encode("utf-8", "replace").lower().split()
-        if len(words) >= least_words:
-            yield number, at, line, words
+        if 0 < len(words) < least_words:
+            if not short:
+                first, begin = number, at
+            short.append(line)
+            gathered += words
+        else:
+            if len(gathered) >= least_words:
+                yield first, len(short), begin, "\n".join(short), gathered
+            short, gathered = [], []
+            if words:
+                yield number, 1, at, line, words
         at += len(line) + 1
 
 
 def _profiles(width: int, least_words: int, bands: int, rows: int):
-    names = ["id", "para", "start", "length", "node", "check", "n", *SKETCH, "sigs"]
+    names = ["id", "para", "lines", "start", "length", "node", "check", "n", *SKETCH, "sigs"]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, hasher, seen = WordHashes(), MinHash(bands, rows), set()
         for batch in batches:
             owner, fixed, sigs = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for number, start, line, words in paragraphs(text, least_words):
+                for number, lines, start, line, words in paragraphs(text, least_words):
                     shingles = shingle_set(word_hashes(words, cache), width)
                     digest = set_digest(shingles)
                     own: list | np.ndarray = []
@@ -87,9 +107,9 @@ def _profiles(width: int, least_words: int, bands: int, rows: int):
                         seen.add(digest)
                         own = hasher.signatures(shingles).view(np.int64)
                     owner.append(i)
-                    fixed.append((number, start, len(line), *digest, len(shingles), *parity_sketch(shingles).tolist()))
+                    fixed.append((number, lines, start, len(line), *digest, len(shingles), *parity_sketch(shingles).tolist()))
                     sigs.append(own)
-            table = np.array(fixed, dtype=np.int64).reshape(len(fixed), 6 + len(SKETCH))
+            table = np.array(fixed, dtype=np.int64).reshape(len(fixed), 7 + len(SKETCH))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner, pa.int64()))]
                 + [pa.array(table[:, j]) for j in range(table.shape[1])]
@@ -107,7 +127,7 @@ def _lines(width: int, least_words: int):
             found = [
                 (set_digest(shingle_set(word_hashes(words, cache), width))[0], line)
                 for text in batch.column(0).to_pylist()
-                for _, _, line, words in paragraphs(text, least_words)
+                for _, _, _, line, words in paragraphs(text, least_words)
             ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())],
@@ -126,9 +146,9 @@ def repeated_paragraphs(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, para, start, length, n_shingles, kept_id, kept_para): every paragraph to remove, and the one that stays for it.
+    """(id, para, lines, start, length, n_shingles, kept_id, kept_para): every paragraph to remove, and the one that stays for it.
 
-    ``para`` counts lines from 0; ``start`` and ``length`` are code points of the text. Paragraphs link when the
+    ``para`` counts lines from 0 and is the first of ``lines`` lines; ``start`` and ``length`` are code points of the text. Paragraphs link when the
     Jaccard similarity of their shingle sets is at least num / den; equal sets always link. Null and empty texts
     and shorter paragraphs give no row. Rows with a null id are left alone, since a removal could not name
     them; rows that repeat an id count as one document. Sets are told by 64 bits of a digest; should two sets ever share them,
@@ -137,7 +157,7 @@ def repeated_paragraphs(
     scope = StagingScope(docs.sparkSession, "paragraphs")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull())
     kind = dict(texts.dtypes)["id"]
-    numbers = ", ".join(f"`{c}` long" for c in ["para", "start", "length", "node", "check", "n", *SKETCH])
+    numbers = ", ".join(f"`{c}` long" for c in ["para", "lines", "start", "length", "node", "check", "n", *SKETCH])
     bands, rows = bands_for(num / den)
     signed = scope.stage(
         texts.mapInArrow(_profiles(width, least_words, bands, rows), f"id {kind}, {numbers}, sigs array<long>"), "signed"
@@ -175,21 +195,201 @@ def repeated_paragraphs(
     group = group.withColumnRenamed("check", "_check")
     places = lookup_join(placed, group, "node", "inner", "copies", F.hash("id", "para"))
     places = scope.stage(
-        places.filter(F.col("check") == F.col("_check")).select("id", "para", "start", "length", "n", "component"), "places"
+        places.filter(F.col("check") == F.col("_check")).select("id", "para", "lines", "start", "length", "n", "component"), "places"
     )
     kept = places.groupBy("component").agg(F.min(F.struct("id", "para")).alias("k"), F.count("*").alias("rows"))
     kept = scope.stage(kept.select("component", F.col("k.id").alias("kept_id"), F.col("k.para").alias("kept_para"), "rows"), "kept")
     told = lookup_join(places, kept, "component", "inner", "rows", F.hash("id", "para"))
     return told.filter((F.col("id") != F.col("kept_id")) | (F.col("para") != F.col("kept_para"))).select(
-        F.col("id").alias(id_col), "para", "start", "length", F.col("n").alias("n_shingles"), "kept_id", "kept_para"
+        F.col("id").alias(id_col), "para", "lines", "start", "length", F.col("n").alias("n_shingles"), "kept_id", "kept_para"
+    )
+
+
+def run_hashes(words: np.ndarray, run: int, base: int) -> np.ndarray:
+    """Hash of every ``run`` consecutive words, from differences of one running sum."""
+    n = len(words)
+    if n < run:
+        return np.empty(0, dtype=np.uint64)
+    powers = np.multiply.accumulate(np.full(n, base, dtype=np.uint64))
+    back = np.multiply.accumulate(np.full(n - run + 1, pow(base, -1, 1 << 64), dtype=np.uint64))
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * powers, dtype=np.uint64)])
+    return mixed((total[run:] - total[:-run]) * back)
+
+
+def _sliding(op: Callable, values: np.ndarray, width: int) -> np.ndarray:
+    """``op`` (minimum or maximum) over every ``width`` neighbours."""
+    size = 1
+    while 2 * size <= width:
+        values, size = op(values[:-size], values[size:]), 2 * size
+    return op(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
+
+
+def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Places that hold the smallest value of some ``width`` neighbours: the choice depends on these neighbours alone."""
+    if len(hashes) < width:
+        return np.empty(0, dtype=np.int64)
+    pad = np.zeros(width - 1, dtype=np.uint64)
+    lowest = _sliding(np.minimum, hashes, width)
+    return np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, lowest, pad]), width) == hashes)
+
+
+def _words_and_lines(text: str | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the number of the line of each."""
+    parts = [line.split() for line in (text or "").encode("utf-8", "replace").lower().split(b"\n")]
+    return word_hashes(list(chain.from_iterable(parts)), cache), np.repeat(np.arange(len(parts)), list(map(len, parts)))
+
+
+def _anchor_rows(run: int, gram: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            owner, found = [], [np.empty((0, 4), dtype=np.int64)]
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words, line = _words_and_lines(text, cache)
+                hashes = run_hashes(words, gram, BASES[0])
+                at = anchors(hashes, run - gram + 1)
+                owner += [i] * len(at)
+                found.append(np.stack([hashes[at].view(np.int64), at, line[at], line[at + gram - 1]], axis=1))
+            table = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner, pa.int64()))] + [pa.array(table[:, j]) for j in range(4)],
+                names=["id", "hash", "at", "line", "last"],
+            )
+
+    return rows
+
+
+def _run_rows(run: int, gram: int):
+    """Runs around the anchors of a text, outside its removed lines."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
+                words, line = _words_and_lines(text, cache)
+                n = len(words) - run + 1
+                if n <= 0:
+                    continue
+                gone, near = np.zeros(len(words) + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+                for g in batch.column(3)[i].as_py() or ():
+                    low, high = np.searchsorted(line, [g["para"], g["para"] + g["lines"]])
+                    gone[low + 1 : high + 1] = 1
+                gone = np.cumsum(gone)
+                for at in batch.column(2)[i].as_py():
+                    if at - run + gram < n:
+                        near[max(at - run + gram, 0)] += 1
+                        near[min(at + 1, n)] -= 1
+                at = np.flatnonzero((np.cumsum(near)[:n] > 0) & (gone[run:] == gone[:-run]))
+                if not len(at):
+                    continue
+                spans = np.array([m.span() for m in _WORD.finditer(text)], dtype=np.int64)
+                numbers = [h[at].view(np.int64) for h in (run_hashes(words, run, b) for b in BASES)]
+                numbers += [at, line[at], spans[at, 0], spans[at + run - 1, 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(np.full(len(at), i)))] + [pa.array(x) for x in numbers],
+                    names=["id", "hash", "check", "at", "line", "start", "end"],
+                )
+
+    return rows
+
+
+def repeated_passages(
+    docs: DataFrame,
+    removals: DataFrame,
+    run: int = RUN,
+    gram: int = GRAM,
+    width: int = WIDTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Passages of at least ``run`` words that stand earlier too, word for word, in what ``removals`` leaves; columns as there.
+
+    Line ends and case do not count, and a passage does not reach across a removed paragraph. ``lines`` is 0, since
+    ``start`` and ``length`` bound the passage inside its lines; ``para`` is the line it begins in, and ``kept_para`` that
+    of the first copy. All runs are found: of the hashes of ``gram`` words in a run some are anchors by the run's own
+    words alone, so two equal runs share one. Runs around repeated anchors are told by 128 bits, the
+    first of each stays, the others are merged. A copy that overlaps the first one stays. Null ids, repeated ids and null
+    texts as in ``repeated_paragraphs``.
+    """
+    scope = StagingScope(docs.sparkSession, "passages")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull())
+    kind = dict(texts.dtypes)["id"]
+    gone = scope.stage(
+        removals.groupBy(F.col(id_col).alias("id")).agg(F.collect_set(F.struct("para", "lines")).alias("gone")), "gone"
+    )
+    numbers = "hash long, at long, line long, last long"
+    found = scope.stage(texts.mapInArrow(_anchor_rows(run, gram), f"id {kind}, {numbers}"), "anchors")
+
+    def repeated(rows: DataFrame, label: str) -> DataFrame:
+        """The rows whose hash stands at several places."""
+        place = F.struct("id", "at")
+        counted = rows.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("copies"))
+        several = scope.stage(counted.filter(F.col("low") != F.col("high")).select("hash", "copies"), label)
+        return lookup_join(rows, several, "hash", "inner", "copies", F.hash("id", "at")).drop("copies")
+
+    inside = F.exists("gone", lambda g: (g["para"] <= F.col("last")) & (g["para"] + g["lines"] > F.col("line")))
+    left = lookup_join(repeated(found, "repeated"), gone, "id", "left").filter(~F.coalesce(inside, F.lit(False)))
+    left = scope.stage(left.select("id", "hash", "at"), "left")
+    scope.drop("anchors")
+    marks = repeated(left, "repeated-left").groupBy("id").agg(F.collect_set("at").alias("anchors"))
+    marks = scope.stage(lookup_join(marks, gone, "id", "left"), "marks")
+    numbers = ", ".join(f"`{c}` long" for c in ["hash", "check", "at", "line", "start", "end"])
+    marked = lookup_join(texts, marks, "id").select("id", "text", "anchors", "gone")
+    runs = scope.stage(marked.mapInArrow(_run_rows(run, gram), f"id {kind}, {numbers}"), "runs")
+    first = runs.groupBy("hash", "check").agg(F.min(F.struct("id", "at", "line")).alias("f"), F.count("*").alias("copies"))
+    first = scope.stage(first.filter(F.col("copies") > 1).withColumnRenamed("check", "_check"), "first")
+    later = lookup_join(runs, first, "hash", "inner", "copies", F.hash("id", "at")).filter(
+        (F.col("check") == F.col("_check")) & ((F.col("id") != F.col("f.id")) | (F.col("at") >= F.col("f.at") + run))
     )
+    ordered = Window.partitionBy("id", "kept_id").orderBy("at")  # runs of one document
+    later = later.select("id", "at", "line", "start", "end", F.col("f.id").alias("kept_id"), F.col("f.line").alias("kept_line"))
+    begins = F.coalesce(F.col("at") > F.lag("at").over(ordered) + 1, F.lit(True)).cast("long")
+    numbered = later.withColumn("begins", begins).withColumn("passage", F.sum("begins").over(ordered))
+    return numbered.groupBy("id", "kept_id", "passage").agg(
+        F.min("line").alias("para"), F.min("start").alias("start"), F.max("end").alias("end"),
+        (F.max("at") - F.min("at") + run - width + 1).alias("n_shingles"), F.min_by("kept_line", "at").alias("kept_para"),
+    ).select(
+        F.col("id").alias(id_col), "para", F.lit(0).cast("long").alias("lines"), "start",
+        (F.col("end") - F.col("start")).alias("length"), "n_shingles", "kept_id", "kept_para",
+    )
+
+
+def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All removals: near copies of paragraphs, then repeated passages of what they leave."""
+    scope = StagingScope(docs.sparkSession, "repeated")
+    removals = scope.stage(repeated_paragraphs(docs, id_col=id_col, text_col=text_col), "paragraphs")
+    return removals.unionByName(repeated_passages(docs, removals, id_col=id_col, text_col=text_col))
+
+
+def _without(text: str | None, gone: list | None) -> str | None:
+    """The text without the removed lines and passages."""
+    if text is None or not gone:
+        return text
+    lines = {k for g in gone for k in range(g["para"], g["para"] + g["lines"])}
+    cuts = sorted((g["start"], g["start"] + g["length"]) for g in gone if not g["lines"])
+    kept, at, k = [], 0, 0
+    for number, line in enumerate(text.split("\n")):
+        end = at + len(line)
+        while k < len(cuts) and cuts[k][1] <= at:
+            k += 1
+        if number not in lines:
+            pieces, low, j = [], at, k
+            while j < len(cuts) and cuts[j][0] < end:
+                pieces.append(text[low : max(low, cuts[j][0])])
+                low, j = max(low, min(cuts[j][1], end)), j + 1
+            shorter = "".join([*pieces, text[low:end]])
+            if shorter or shorter == line:  # a line that a passage fills goes with it
+                kept.append(shorter)
+        at = end + 1
+    return "\n".join(kept)
 
 
 def remove_paragraphs(docs: DataFrame, removals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the removed lines; texts without any are unchanged, and the other columns stay."""
-    gone = removals.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("para").alias("_gone"))
+    """``docs`` without the removed lines and passages; texts without any are unchanged, and the other columns stay."""
+    places = F.collect_set(F.struct("para", "lines", "start", "length"))
+    gone = removals.groupBy(F.col(id_col).alias("_id")).agg(places.alias("_gone"))
     text = F.col("row").getField(text_col)
-    lines = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_gone", i.cast("long")))
-    shorter = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(lines, "\n"))
     joined = docs.select(whole_row(docs), F.col(id_col).alias("_id")).join(gone, "_id", "left")
+    shorter = F.when(F.col("_gone").isNull(), text).otherwise(F.udf(_without, "string")(text, "_gone"))
     return joined.select(F.col("row").withField(f"`{text_col}`", shorter).alias("row")).select("row.*")

@@ -111,7 +111,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return paragraph_dedup.repeated_text(table(spark, sf_dir, "documents"))
 
 
 @query()

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from labelloom.llm.paragraph_dedup import bands_for, remove_paragraphs, repeated_paragraphs
+from labelloom.llm.paragraph_dedup import bands_for, remove_paragraphs, repeated_paragraphs, repeated_text
 from tests.llm.helpers import docs_frame, edited, linked_groups, shingles
 
 rng = random.Random(21)
@@ -70,3 +70,29 @@ def test_bands_give_the_asked_recall():
 def test_empty_table(spark):
     docs = docs_frame(spark, [])
     assert repeated_paragraphs(docs).count() == 0 and remove_paragraphs(docs, repeated_paragraphs(docs)).count() == 0
+
+
+def wrapped(text, size=12):
+    own = text.split()
+    return "\n".join(" ".join(own[i : i + size]) for i in range(0, len(own), size))
+
+
+def test_passages_inside_longer_lines_and_across_line_ends(spark):
+    passage, verse = prose(60), prose(40)
+    rows = [
+        (1, prose(70) + " " + passage + " " + prose(40)), (2, "é " + prose(90) + " " + passage.upper() + " " + prose(35)),
+        (3, prose(30) + "\n" + wrapped(prose(20) + " " + passage) + "\n" + prose(30)), (4, wrapped(verse) + "\n\n" + prose(30)),
+        (5, prose(30) + "\n" + wrapped(verse)), (6, prose(45) + " " + " ".join(passage.split()[:49])), (7, "word " * 400), (8, None),
+        (9, passage.split()[0] + " " + prose(80) + " " + passage + " " + prose(80) + " " + passage),
+    ]
+    docs = docs_frame(spark, [*rows, rows[1], (None, passage)])
+    found, texts = repeated_text(docs), dict(rows)
+    cut = {}
+    for r in found.collect():
+        cut.setdefault((r.doc_id, r.kept_id), set()).add(" ".join(texts[r.doc_id][r.start : r.start + r.length].lower().split()))
+    assert cut == {(2, 1): {passage}, (3, 1): {passage}, (9, 1): {passage}, (5, 4): {verse}, (7, 7): {" ".join(["word"] * 350)}}
+    left = {r.doc_id: r.text for r in remove_paragraphs(docs, found).collect()}
+    assert left[1] == texts[1] and left[6] == texts[6] and left[8] is None
+    assert left[2] == " ".join(texts[2].split()[:91]) + "  " + " ".join(texts[2].split()[-35:])
+    assert left[5] == texts[5].split("\n")[0] and len(left[7].split()) == 50
+    assert left[3].split() == texts[3].split()[:50] + texts[3].split()[-30:]
