@@ -164,6 +164,7 @@ class PieceTokenizer:
     the stop or comma after it, or anything with a single line feed between two other characters, so pieces
     are cut there too before they are looked up. New pieces of many texts are encoded in one string
     and told apart by the leading space of their first id; pieces without one are encoded one by one.
+    An added token is one id wherever its content stands, so texts that hold one are encoded whole, without the cache.
     """
 
     GENERATION = 600_000  # pieces in either half of the cache; the older half is dropped when the newer is full
@@ -176,7 +177,7 @@ class PieceTokenizer:
 
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         # Ids of a piece as little-endian 32-bit values, so that a text's ids are its pieces' values joined.
@@ -184,6 +185,11 @@ class PieceTokenizer:
         self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if self._holds_added(t)]
+        if whole:
+            rest = iter(self.encode([t for t in texts if not self._holds_added(t)]))
+            made = dict(zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)))
+            return [np.array(made[i].ids, dtype="<u4") if i in made else next(rest) for i in range(len(texts))]
         pieces = [self._pieces(t) for t in texts]
         if len(self.young) > self.GENERATION:
             self.young, self.old = {}, self.young
@@ -193,6 +199,9 @@ class PieceTokenizer:
         known = self.young.__getitem__
         return [np.frombuffer(b"".join(map(known, own)), dtype="<u4") for own in pieces]
 
+    def _holds_added(self, text: str) -> bool:
+        return any(content in text for content in self.added)
+
     def _pieces(self, text: str) -> list[str]:
         if not text:
             return []
@@ -238,7 +247,10 @@ class PieceTokenizer:
 
     def _joined(self, pieces: list[str]) -> list[str]:
         """Encode pieces in one string; returns them if some piece does not begin with a leading-space id."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        joined = "".join(pieces)
+        if self._holds_added(joined):
+            return pieces
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(self.leads[ids])
         if len(cuts) != len(pieces):
             return pieces

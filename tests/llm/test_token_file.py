@@ -81,3 +81,13 @@ def test_files_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert T.token_file_digest(docs_frame(spark, [])).count() == 0
+
+
+def test_added_tokens_are_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "plain text", "x<|endoftext|><|endoftext|>\n y", "<|endof text|> <|ENDOFTEXT|>", "", *(t or "" for t in TEXTS)]
+    library, own = Tokenizer.from_file(PATH), T.PieceTokenizer(PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
