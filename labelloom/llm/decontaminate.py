@@ -65,7 +65,7 @@ def _item_rows(window: int, least: int, num: int, den: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seeds = WordHashes(), {}
         for batch in batches:
-            for item, text in zip(batch.column(0), batch.column(1).to_pylist()):
+            for key, text in zip(batch.column(0), batch.column(1).to_pylist()):
                 words = word_hashes(lowered(text), cache)
                 width = min(window, len(words))
                 if width < least:
@@ -79,12 +79,12 @@ def _item_rows(window: int, least: int, num: int, den: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(hashes.ravel()),
-                        pa.array([item.as_py()] * size, batch.column(0).type),
+                        pa.array([key.as_py()] * size, batch.column(0).type),
                         pa.array(np.tile(places, len(hashes)).astype(np.int32)),
                         pa.array(np.full(size, width, dtype=np.int32)),
                         pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), width).cast(pa.list_(pa.int64())),
                     ],
-                    names=["hash", "item", "item_at", "width", "item_words"],
+                    names=["hash", "key", "item_at", "width", "item_words"],
                 )
 
     return rows
@@ -176,11 +176,12 @@ def find_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """(id, item, n_items, doc_start, doc_end, item_start, matched, width): the longest leak of every (document, item) pair.
+    """(id, item, n_items, doc_start, doc_end, item_start, matched, width): the longest leak of every (document, item text) pair.
 
     Words are lower-cased runs without white space. ``doc_start`` and ``doc_end`` bound, in words, the stretch of one
     alignment over which windows match; ``matched`` is the largest number of equal words in a window of ``width``.
-    Items of equal words count as one, with the smallest id and their number in ``n_items``. Items of fewer
+    Items of equal words count as one, with the smallest id and their number in ``n_items``; the id
+    is null if none of them has one, and items of different words that share an id give a row each. Items of fewer
     than ``least_words`` words, and null or empty texts, match nothing. Rows that repeat an id are reported together. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -188,16 +189,15 @@ def find_leaks(
     text = F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))
     normal = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
     items = (
-        benchmark.select(F.col(item_col).alias("item"), text.alias("text"), F.sha2(normal, 256).alias("key"))
+        benchmark.select(F.col(item_col).alias("item"), text.alias("text"), F.unhex(F.sha2(normal, 256)).alias("key"))
         .groupBy("key")
         .agg(F.min("item").alias("item"), F.count("*").alias("n_items"), F.min("text").alias("text"))
     )
-    kind = dict(items.dtypes)["item"]
     items = scope.stage(items, "items")
     seeds = scope.stage(
-        items.select("item", "text").mapInArrow(
+        items.select("key", "text").mapInArrow(
             _item_rows(window, least_words, num, den),
-            f"hash long, item {kind}, item_at int, width int, item_words array<long>",
+            "hash long, key binary, item_at int, width int, item_words array<long>",
         ),
         "seeds",
     )
@@ -217,9 +217,9 @@ def find_leaks(
         .filter(F.size("doc_words") == F.col("width"))
         .withColumn("matched", equal)
         .filter(F.col("matched") * den >= F.col("width") * num)
-        .select("id", "item", "doc_at", (F.col("doc_at") - F.col("item_at")).alias("shift"), "width", "matched")
+        .select("id", "key", "doc_at", (F.col("doc_at") - F.col("item_at")).alias("shift"), "width", "matched")
     )
-    stretches = verified.groupBy("id", "item", "shift").agg(
+    stretches = verified.groupBy("id", "key", "shift").agg(
         F.min("doc_at").alias("doc_start"),
         F.max(F.col("doc_at") + F.col("width")).alias("doc_end"),
         F.max("matched").alias("matched"),
@@ -231,8 +231,8 @@ def find_leaks(
             "shift", "doc_end", "width",
         )
     )
-    best = stretches.groupBy("id", "item").agg(longest.alias("b"))
-    return best.join(items.select("item", "n_items"), "item").select(
+    best = stretches.groupBy("id", "key").agg(longest.alias("b"))
+    return best.join(items.select("key", "item", "n_items"), "key").select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_col),
         "n_items",

@@ -79,3 +79,16 @@ def test_empty_tables(spark):
     assert find_leaks(docs, items).count() == 0
     docs, items = frames(spark, [(1, "a b c d e f")])
     assert find_leaks(docs, items.limit(0)).count() == 0 and drop_leaking(docs, items.limit(0)).count() == 1
+
+
+def test_null_and_repeated_item_ids(spark):
+    one, two, three, four = (prose(20) for _ in range(4))
+    items = [(None, one), (None, two), (7, three), (7, four), (None, three.upper()), (5, four), (7, four)]
+    docs = docs_frame(spark, [(1, one), (2, two), (3, three), (4, four + " " + three), (5, prose(40))])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = [(r.doc_id, r.item_id, r.n_items) for r in find_leaks(docs, bench).collect()]
+    assert sorted(found, key=str) == [(1, None, 1), (2, None, 1), (3, 7, 2), (4, 5, 3), (4, 7, 2)]
+    assert [r.doc_id for r in drop_leaking(docs, bench).collect()] == [5]
+    shared = spark.createDataFrame([(7, one), (7, two), (7, two)], "item_id long, text string")
+    found = [(r.doc_id, r.item_id, r.n_items) for r in find_leaks(docs, shared).collect()]
+    assert sorted(found) == [(1, 7, 1), (2, 7, 2)]
