@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, paragraph_dedup, source_mix, token_file, topk_search
+from labelloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, paragraph_dedup, periodic_runs, source_mix, token_file, topk_search
 from labelloom.scale.staging import ensure_shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,11 +145,11 @@ WITH t AS (
     SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
     FROM (SELECT doc_id, unit, regexp_extract_all(lower(body), '\\p{{L}}+') AS w FROM units)
 ), m AS (
-    SELECT doc_id, unit, license, len(list_intersect(u.g, t.g)) AS common, len(u.g) + len(t.g) AS both
+    SELECT doc_id, unit, license, len(list_intersect(u.g, t.g)) AS common, len(u.g) + len(t.g) AS total
     FROM u, t WHERE len(u.g) > 0 AND len(u.g) < 1000
 )
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, license, CAST(common AS INTEGER) AS common, 2.0 * common / both AS dice
-FROM m WHERE 2 * common * 5 >= both * 4
+SELECT doc_id, CAST(unit AS INTEGER) AS unit, license, CAST(common AS INTEGER) AS common, 2.0 * common / total AS dice
+FROM m WHERE 2 * common * 5 >= total * 4
 """
 
 
@@ -161,3 +161,19 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_file_digest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = periodic_runs.plant_run(F.col("text"), F.crc32(F.col("doc_id").cast("string")))
+    found = periodic_runs.periodic_runs(docs.select("doc_id", planted.alias("text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = periodic_runs.strongest_run(F.col("runs")).alias("best")
+    told = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best,
+        F.sha2(F.array_join(F.concat(lines, F.array(F.lit(""))), "\n"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    exponent = F.floor(F.expr("1000 * best.length div best.period")).alias("exponent_milli")
+    return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
