@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.shingles import SKETCH_WORDS, WordHashes, shingle_set, word_hashes, words_of
-from labelloom.scale.components import connected_components
+from labelloom.llm.components import connected_components
 from labelloom.scale.staging import StagingScope
 
 MAX_KEPT_SETS = 200

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, paragraph_dedup, periodic_runs, source_mix, token_file, topk_search
+from labelloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, paragraph_dedup, periodic_runs, simhash_join, source_mix, token_file, topk_search
 from labelloom.scale.staging import ensure_shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,3 +177,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     exponent = F.floor(F.expr("1000 * best.length div best.period")).alias("exponent_milli")
     return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+@query()
+def op12_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.simhash_components(table(spark, sf_dir, "documents"), most=4, width=4, seed=42)
