@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, paragraph_dedup, periodic_runs, simhash_join, source_mix, token_file, topk_search
+from labelloom.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, paragraph_dedup, periodic_runs, simhash_join, source_mix, token_file, topk_search, vector_codes
 from labelloom.scale.staging import ensure_shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +182,45 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_join.simhash_components(table(spark, sf_dir, "documents"), most=4, width=4, seed=42)
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, width: int = 4, scale: int = 256, rounds: int = 2) -> str:
+    """Assignment and update as plain aggregation over every (part, entry), a round after the other."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rn, vec_id, label, v FROM (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE len(embedding) = {parts * width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), parts AS MATERIALIZED (
+    SELECT rn, p, {", ".join(f"v[{width} * p + {i + 1}] AS x{i}" for i in range(width))}
+    FROM kept, (SELECT unnest(range({parts})) AS p)
+), book0 AS MATERIALIZED (
+    SELECT p, rn - 1 AS e, {", ".join(f"x{i} AS y{i}" for i in range(width))} FROM parts WHERE rn <= {entries}
+)"""]
+    squared = " + ".join(f"(x{i} - y{i}) * (x{i} - y{i})" for i in range(width))
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+    SELECT rn, p, min({squared}) AS d, arg_min(e, ({squared}) * {entries} + e) AS e
+    FROM parts JOIN book{r} USING (p) GROUP BY rn, p
+)""")
+        if r < rounds:
+            means = ", ".join(f"CAST(coalesce(CAST(s{i} - ((s{i} % n) + n) % n AS HUGEINT) // n, y{i}) AS BIGINT) AS y{i}" for i in range(width))
+            steps.append(f"""book{r + 1} AS MATERIALIZED (
+    SELECT p, e, {means} FROM book{r} LEFT JOIN (
+        SELECT p, e, count(*) AS n, {", ".join(f"sum(x{i}) AS s{i}" for i in range(width))}
+        FROM parts JOIN near{r} USING (rn, p) GROUP BY p, e) USING (p, e)
+)""")
+    return ",\n".join(steps) + f""", coded AS (
+    SELECT rn, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+    FROM near{rounds} GROUP BY rn
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg({" || ',' || ".join(f"y{i}" for i in range(width))}, ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (rn)
+"""
+
+
+@query(_codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
