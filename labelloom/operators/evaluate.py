@@ -78,10 +78,10 @@ def accuracy(pairs: DataFrame) -> DataFrame:
     return pairs.agg(_accuracy().alias("accuracy"))
 
 
-def summary_metrics(pairs: DataFrame) -> DataFrame:
-    """Macro-F1, accuracy and weighted F1 in one row, from one aggregation over the per-class counts."""
+def summary_metrics(pairs: DataFrame, *by: str) -> DataFrame:
+    """Macro-F1, accuracy and weighted F1 in one row (per ``by``), from one aggregation over the per-class counts."""
     f1, support = F.col("f1"), F.col("support")
-    return prf_support(class_counts(pairs)).agg(
+    return prf_support(class_counts(pairs, *by)).groupBy(*by).agg(
         F.avg("f1").alias("macro_f1"),
         _ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
         _ratio(F.sum(f1 * support), F.sum("support")).alias("weighted_f1"),

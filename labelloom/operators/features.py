@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark import Broadcast
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -41,6 +42,10 @@ def analyze(text: Column, analyzer: str = "word", ngram_range: tuple[int, int] =
 # --- TF-IDF -----------------------------------------------------------------
 
 
+# Bytes of a term in the sorted hash table (hash, id, idf), and the largest such table that is sent to the workers.
+LOOKUP_ROW_BYTES, MAX_LOOKUP_BYTES = 20, 128 << 20
+
+
 @dataclass(frozen=True)
 class TermVocabulary:
     """``table`` has one row per kept term: term, term_id, df, cf, idf."""
@@ -49,6 +54,24 @@ class TermVocabulary:
     n_docs: int
     size: int
 
+    @cached_property
+    def lookup(self) -> Broadcast | None:
+        """Sorted 64-bit hashes of the terms with their ids and idf, sent to the workers once; None if too large for that.
+
+        Workers look whole batches up by binary search. Two terms with one hash give None as well, so the table is exact for its own
+        terms; a foreign term is taken for one of them with a chance of ``size / 2**64``.
+        """
+        if self.size * LOOKUP_ROW_BYTES > MAX_LOOKUP_BYTES:
+            return None
+        rows = self.table.select(F.xxhash64("term").alias("hash"), "term_id", "idf").toArrow()
+        hashes = rows["hash"].to_numpy()
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        if (hashes[1:] == hashes[:-1]).any():
+            return None
+        found = hashes, rows["term_id"].to_numpy()[order].astype(np.int32), rows["idf"].to_numpy()[order]
+        return self.table.sparkSession.sparkContext.broadcast(found)
+
 
 def term_stats(docs: DataFrame, terms: str = "terms") -> DataFrame:
     """Document and corpus frequency of every term.
@@ -90,10 +113,22 @@ def select_vocab(
     kept = stats.filter((F.col("df") >= low) & (F.col("df") <= high))
     if max_features is not None:
         kept = top_rows(kept, [F.desc("cf"), F.col("term")], max_features)
-    numbered = number_rows(kept, [F.col("term")], "term_id", max_features)
-    return numbered.select(
-        "term", F.col("term_id").cast("int").alias("term_id"), "df", "cf", idf(n_docs, F.col("df")).alias("idf")
-    )
+    return numbered_terms(kept, max_features).select("term", "term_id", "df", "cf", idf(n_docs, F.col("df")).alias("idf"))
+
+
+def numbered_terms(terms: DataFrame, bound: int | None) -> DataFrame:
+    """Add ``term_id``, which follows the alphabet; ``bound`` is the largest number of terms there can be, if known."""
+    return number_rows(terms, [F.col("term")], "term_id", bound).withColumn("term_id", F.col("term_id").cast("int"))
+
+
+def empty_reason(stats: DataFrame, n_docs: int, min_df: int | float, max_df: int | float) -> str | None:
+    """Why a vocabulary with these limits would be empty; None if it would not."""
+    low, high = _doc_limit(min_df, n_docs), _doc_limit(max_df, n_docs)
+    if high < low:
+        return "max_df corresponds to fewer documents than min_df"
+    if stats.filter((F.col("df") >= low) & (F.col("df") <= high)).isEmpty():
+        return "no terms remain; lower min_df or raise max_df"
+    return None
 
 
 def fit_vocabulary(stats: DataFrame, n_docs: int, **limits) -> TermVocabulary:
@@ -143,31 +178,49 @@ def _unit_length(raw: Column) -> Column:
     return T.bind(raw, scaled)
 
 
+def _weigher(lookup: Broadcast):
+    """Arrow function from lists of term hashes to (indices, weights): counted, weighted and scaled a batch at a time."""
+
+    @F.arrow_udf("struct<indices:array<int>,weights:array<double>>")
+    def weigh(lists: pa.Array) -> pa.Array:
+        hashes, ids, idfs = lookup.value
+        rows = len(lists)
+        lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) == 0 or len(hashes) == 0:
+            entry = np.empty(0, np.int64)
+        else:
+            at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
+            known = hashes[at] == flat
+            # One number for (row, term id), sorted: its runs are the terms of a row with their counts.
+            entry = np.sort(np.repeat(np.arange(rows), lengths)[known] * np.int64(len(hashes)) + ids[at[known]])
+        first = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1]))) if len(entry) else np.empty(0, np.int64)
+        count = np.diff(np.append(first, len(entry)))
+        row, index = np.divmod(entry[first], max(len(hashes), 1))
+        idf_of = np.empty(len(hashes))
+        idf_of[ids] = idfs
+        raw = (1.0 + np.log(count)) * idf_of[index]
+        norm = np.sqrt(np.bincount(row, weights=raw * raw, minlength=rows))
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=rows))), pa.int32())
+        columns = [pa.array(index.astype(np.int32)), pa.array(raw / norm[row])]
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, c) for c in columns], ["indices", "weights"])
+
+    return weigh
+
+
 def tfidf_transform(docs: DataFrame, vocab: TermVocabulary, id_column: str, terms: str = "terms") -> DataFrame:
     """Replace ``terms`` by ``indices`` and ``weights``: sublinear tf x idf at unit length.
 
-    A vocabulary of at most ``MAX_BROADCAST_ROWS`` terms travels to the executors once and documents are
-    vectorised where they are, with no shuffle; a larger one goes through :func:`tfidf_by_join`.
+    Where the vocabulary's hash table may be sent out (:attr:`TermVocabulary.lookup`), terms leave the JVM as 64-bit hashes
+    and documents are vectorised where they are, with no shuffle; else :func:`tfidf_by_join` does the same by join.
     """
-    if vocab.size > MAX_BROADCAST_ROWS:
+    lookup = vocab.lookup
+    if lookup is None:
         return tfidf_by_join(docs, vocab, id_column, terms)
-    rows = vocab.table.orderBy("term_id").select("term", "idf").toArrow()
-    counter = CountVectorizerModel.from_vocabulary(rows["term"].to_pylist(), inputCol=terms, outputCol="_counts")
-    scaler = ElementwiseProduct(
-        scalingVec=Vectors.dense(rows["idf"].to_pylist()), inputCol="_counts", outputCol="_scaled"
-    )
-    counted = scaler.transform(counter.transform(docs)).select(
-        *[c for c in docs.columns if c != terms],
-        F.unwrap_udt("_counts").alias("_c"),
-        F.unwrap_udt("_scaled").alias("_s"),
-    )
-    # Scaled entries are tf x idf, so dividing by tf gives the idf of each entry back.
-    raw = F.zip_with("_c.values", "_s.values", lambda tf, scaled: _sublinear(tf, scaled / tf))
-    return (
-        counted.withColumn("indices", F.col("_c.indices"))
-        .withColumn("weights", _unit_length(raw))
-        .drop("_c", "_s")
-    )
+    hashes = F.transform(F.col(terms), lambda t: F.xxhash64(t))
+    kept = [c for c in docs.columns if c != terms]
+    weighed = docs.select(*kept, _weigher(lookup)(hashes).alias("_entries"))
+    return weighed.select(*kept, "_entries.indices", "_entries.weights")
 
 
 def tfidf_rows(docs: DataFrame, vocab: TermVocabulary, id_column: str, terms: str = "terms") -> DataFrame:
@@ -179,10 +232,10 @@ def tfidf_rows(docs: DataFrame, vocab: TermVocabulary, id_column: str, terms: st
 
 
 def to_vectors(arrays: DataFrame, size: int) -> DataFrame:
-    """Turn ``indices`` and ``weights`` into a sparse ``features`` vector column.
+    """Turn ``indices`` and ``weights`` into a sparse ``features`` vector column, for users of Spark ML.
 
-    A vector column is stored as a plain struct, so the struct is staged and read back as vectors. That
-    keeps the conversion in the JVM and gives the iterative fit a materialised input.
+    A vector column is stored as a plain struct, so the struct is staged and read back as vectors; that keeps the
+    conversion in the JVM. The library's own fit and scoring need no vector column.
     """
     kept = [c for c in arrays.columns if c not in ("indices", "weights")]
     struct = F.struct(
@@ -244,7 +297,9 @@ def encode(
         raise ValueError(f"max_length must be at least {min_length}")
     first = docs.withColumn(tokens, F.slice(tokens, 1, max_length))
     if fits_broadcast(vocab, max_broadcast_rows):
-        ids = first.withColumn("_ids", _id_lookup(vocab)(F.col(tokens)))
+        # xxhash64 of null is its seed, so null tokens are kept null.
+        hashes = F.transform(F.col(tokens), lambda t: F.when(t.isNotNull(), F.xxhash64(t)))
+        ids = first.withColumn("_ids", _id_lookup(vocab)(hashes))
     else:
         ids = _ids_by_join(first, vocab, id_column, tokens)
     padding = F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - F.size("_ids"))
@@ -256,18 +311,24 @@ def encode(
 
 
 def _id_lookup(vocab: DataFrame):
-    """Arrow function mapping token lists to id lists through a hash of the broadcast vocabulary."""
-    rows = vocab.select("token", "token_id").toArrow()
-    shared = vocab.sparkSession.sparkContext.broadcast(
-        (rows["token"].to_pylist(), np.asarray(rows["token_id"], dtype="int32"))
-    )
+    """Arrow function mapping token lists to id lists through a sorted hash table that every worker gets once."""
+    rows = vocab.select(F.xxhash64("token").alias("hash"), "token_id").toArrow()
+    hashes = rows["hash"].to_numpy()
+    order = np.argsort(hashes)
+    hashes, ids = hashes[order], rows["token_id"].to_numpy()[order].astype(np.int32)
+    if (hashes[1:] == hashes[:-1]).any():
+        raise ValueError("two tokens of the vocabulary have one hash")
+    shared = vocab.sparkSession.sparkContext.broadcast((hashes, ids))
 
     @F.arrow_udf("array<int>")
     def lookup(lists: pa.Array) -> pa.Array:
-        words, ids = shared.value
+        known, number = shared.value
+        # A null token has a null hash; it is the unknown id, as is a token outside the table.
         flat = lists.flatten()
-        at = pc.index_in(flat, value_set=pa.array(words, flat.type)).fill_null(-1).to_numpy(zero_copy_only=False)
-        found = np.where(at < 0, UNK_ID, ids[at]).astype("int32")
+        wanted = flat.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        hit = (known[at] == wanted) & flat.is_valid().to_numpy(zero_copy_only=False)
+        found = np.where(hit, number[at], UNK_ID).astype(np.int32)
         # A null list has no values, so it becomes an empty one and is padded in full.
         ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
         return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(found))

@@ -1,4 +1,4 @@
-"""TF-IDF + logistic regression on Spark ML, stored-model scoring and the majority baseline."""
+"""TF-IDF + logistic regression: settings, fit, scoring, stored models and the majority baseline."""
 
 from __future__ import annotations
 
@@ -6,15 +6,17 @@ import json
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, fields
 from typing import Any
+from uuid import uuid4
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.operators import features as X
+from labelloom.operators import linear as L
 from labelloom.operators.prepare import fill_text
 from labelloom.scale.joins import lookup_join
+from labelloom.scale.staging import StagingScope
 
 # Stack name, analyzers and default settings.
 STACK_NAME = "tfidf_lr"
@@ -28,6 +30,7 @@ DEFAULTS = {
     "c": 2.0,
     "class_weight": "balanced",
     "max_iter": 1000,
+    "tol": 1e-4,
 }
 
 
@@ -43,6 +46,7 @@ class TextStack:
     c: float = DEFAULTS["c"]
     class_weight: str | None = DEFAULTS["class_weight"]
     max_iter: int = DEFAULTS["max_iter"]
+    tol: float = DEFAULTS["tol"]  # largest entry of the gradient of the mean objective at which a fit ends
 
     def __post_init__(self) -> None:
         if self.analyzer not in X.ANALYZERS:
@@ -67,12 +71,28 @@ def build_stack(name: str, params: Mapping[str, Any] | None = None) -> TextStack
 
 @dataclass(frozen=True)
 class FittedStack:
-    """A fitted stack: its settings, term vocabulary, label table and linear model."""
+    """A fitted stack: settings, term vocabulary, label table, coefficient parts, and how the fit ended."""
 
     stack: TextStack
     vocab: X.TermVocabulary
     labels: DataFrame
-    linear: LogisticRegressionModel
+    n_labels: int
+    weights: DataFrame
+    steps: int
+    gradient: float
+    converged: bool
+
+    @property
+    def per_model(self) -> int:
+        return 1 if self.n_labels == 2 else self.n_labels
+
+    @property
+    def layout(self) -> L.Layout:
+        return L.Layout.of(self.vocab.size, self.per_model)
+
+    def coefficients(self) -> tuple[np.ndarray, np.ndarray]:
+        """The (columns, terms) matrix and the intercepts on the driver, to look at a small model."""
+        return L.coefficients(self.weights.sparkSession, self.weights, self.layout)
 
 
 def with_terms(df: DataFrame, stack: TextStack, text: str, *keep: str) -> DataFrame:
@@ -80,57 +100,151 @@ def with_terms(df: DataFrame, stack: TextStack, text: str, *keep: str) -> DataFr
     return fill_text(df, text).select(*keep, terms.alias("terms"))
 
 
+@dataclass(frozen=True)
+class JointFit:
+    """Stacks fitted together on one packed training table; ``distinct[i]`` is the model that stack ``i`` shares."""
+
+    stacks: list[TextStack]
+    vocab: X.TermVocabulary
+    sizes: list[int]
+    distinct: list[int]
+    labels: DataFrame
+    n_labels: int
+    fit: L.Fit
+    members: Any = None
+
+    def ended(self, i: int) -> tuple[int, float, bool]:
+        m = self.distinct[i]
+        return int(self.fit.steps[m]), float(self.fit.gradient[m]), bool(self.fit.converged[m])
+
+
+class TrainingTable:
+    """Training rows (id, label, terms) packed once for any number of stacks with one analyzer and one range of n-grams.
+
+    The vocabularies of the stacks are cuts of one table of term statistics. Rows are vectorised over their union; a stack's
+    own rows are the same entries, those outside its vocabulary left out, scaled to unit length again. Stacks with
+    equal vocabularies, penalties and class weights are one model.
+    """
+
+    def __init__(self, terms: DataFrame, stats: DataFrame, n_docs: int, stacks: list[TextStack], id_column: str, label: str = "category") -> None:
+        self.stacks, self.scope = stacks, StagingScope(terms.sparkSession, "training")
+        self.vocab, self.sizes, cuts = _joint_vocabulary(stats, n_docs, stacks, self.scope)
+        self.labels = X.label_index(terms, label)
+        counts = lookup_join(X.balanced_class_weights(terms, label), self.labels, label).orderBy("label_id").collect()
+        self.n_labels = len(counts)
+        if self.n_labels < 2:
+            raise ValueError("at least two classes are needed")
+        kinds: list[tuple[int, float, str | None]] = []
+        self.distinct = []
+        for cut, stack in zip(cuts, stacks):
+            kind = (cut, stack.c, stack.class_weight)
+            if kind not in kinds:
+                kinds.append(kind)
+            self.distinct.append(kinds.index(kind))
+        rows = np.array([r["class_rows"] for r in counts], dtype=float)
+        weights = np.array([[r["weight"] for r in counts] if w == "balanced" else np.ones(len(rows)) for _, _, w in kinds])
+        c = np.array([c for _, c, _ in kinds])
+        self.problem = L.Problem(self.n_labels, c, weights, weights @ rows, L.Models(len(c), tuple(range(len(c)))))
+        self.layout = L.Layout.of(self.vocab.size, self.problem.columns)
+        self.members, self.member_parts = None, None
+        if len({cut for cut, _, _ in kinds}) > 1:
+            self.members, self.member_parts = self._members([cut for cut, _, _ in kinds])
+        arrays = X.encode_labels(X.tfidf_transform(terms, self.vocab, id_column), self.labels, label)
+        packed = L.pack(arrays.select("label_id", "indices", "weights"), self.layout, self.problem.models, self.members)
+        self.blocks = self.scope.stage(packed, "blocks")
+
+    def _members(self, cuts: list[int]):
+        """Per term the models that know it, as bits: for the workers, and as a table by part."""
+        known = self.vocab.table.orderBy("term_id").select("cuts").toArrow()["cuts"].to_numpy()
+        bits = np.zeros(self.vocab.size, dtype=np.uint64)
+        for m, cut in enumerate(cuts):
+            bits |= ((known >> cut) & 1).astype(np.uint64) << np.uint64(m)
+        spark, n = self.vocab.table.sparkSession, self.layout.terms
+        parts = [(p, bytes(bits[p * n : (p + 1) * n])) for p in range(self.layout.parts)]
+        return spark.sparkContext.broadcast(bits), spark.createDataFrame(parts, "part int, data binary")
+
+    def fit(self, max_iter: int | None = None, start: DataFrame | None = None) -> JointFit:
+        """All models at once, to the smallest of the stacks' tolerances."""
+        steps = max(s.max_iter for s in self.stacks) if max_iter is None else max_iter
+        tol = min(s.tol for s in self.stacks)
+        found = L.fit(self.blocks, self.layout, self.problem, tol, steps, self.member_parts, start)
+        return JointFit(self.stacks, self.vocab, self.sizes, self.distinct, self.labels, self.n_labels, found, self.members)
+
+    def resume(self, joint: JointFit, models: list[int], max_iter: int | None = None) -> JointFit:
+        """Go on with some of the models of an earlier fit, from its coefficients; the packed rows are used as they are."""
+        before = joint.fit
+        problem = before.problem.pick(models)
+        layout = L.Layout(before.layout.size, problem.columns, before.layout.terms)
+        start = L.pick_models(before.weights, before.layout, problem.per_model, models)
+        steps = max(s.max_iter for s in self.stacks) if max_iter is None else max_iter
+        found = L.fit(self.blocks, layout, problem, min(s.tol for s in self.stacks), steps, self.member_parts, start)
+        return JointFit(self.stacks, self.vocab, self.sizes, self.distinct, self.labels, self.n_labels, found, self.members)
+
+
+def _joint_vocabulary(
+    stats: DataFrame, n_docs: int, stacks: list[TextStack], scope: StagingScope
+) -> tuple[X.TermVocabulary, list[int], list[int]]:
+    """The union of the stacks' vocabularies with a column of bits, one per distinct cut; sizes; the cut of each stack.
+
+    Cuts that differ in their limits but keep the same terms are one cut.
+    """
+    limits = [(s.min_df, s.max_df, s.max_features) for s in stacks]
+    asked = list(dict.fromkeys(limits))
+    tables = []
+    for i, (low, high, most) in enumerate(asked):
+        vocab = X.fit_vocabulary(stats, n_docs, min_df=low, max_df=high, max_features=most)
+        digest = vocab.table.agg(F.bit_xor(F.xxhash64("term", F.lit(7)))).first()[0]
+        tables.append((vocab, (vocab.size, digest)))
+    distinct = list(dict.fromkeys(key for _, key in tables))
+    chosen = [next(v for v, key in tables if key == d) for d in distinct]
+    cut_of = {limit: distinct.index(key) for limit, (_, key) in zip(asked, tables)}
+    cuts = [cut_of[limit] for limit in limits]
+    sizes = [chosen[c].size for c in cuts]
+    if len(chosen) == 1:
+        return chosen[0], sizes, cuts
+    union = None
+    for i, vocab in enumerate(chosen):
+        own = vocab.table.select("term", "df", "cf", "idf", F.lit(1 << i).cast("long").alias("cuts"))
+        union = own if union is None else union.unionByName(own)
+    merged = union.groupBy("term").agg(
+        F.first("df").alias("df"), F.first("cf").alias("cf"), F.first("idf").alias("idf"), F.bit_or("cuts").alias("cuts")
+    )
+    numbered = scope.stage(X.numbered_terms(merged, sum(v.size for v in chosen)), "union")
+    return X.TermVocabulary(numbered, n_docs, numbered.count()), sizes, cuts
+
+
 def fit_terms(
     terms: DataFrame, stats: DataFrame, n_docs: int, stack: TextStack, id_column: str, label: str = "category"
 ) -> FittedStack:
     """Fit on rows of (id, label, terms) whose term statistics are already known."""
-    vocab = X.fit_vocabulary(
-        stats, n_docs, min_df=stack.min_df, max_df=stack.max_df, max_features=stack.max_features
-    )
-    labels = X.label_index(terms, label)
-    n_classes = labels.count()
-    if n_classes < 2:
-        raise ValueError("at least two classes are needed")
-    weights = X.balanced_class_weights(terms, label).select(
-        label, F.col("weight") if stack.class_weight == "balanced" else F.lit(1.0).alias("weight")
-    )
-    arrays = X.tfidf_transform(terms, vocab, id_column)
-    labelled = lookup_join(X.encode_labels(arrays, labels, label), weights, label)
-    train = X.to_vectors(labelled.select("label_id", "weight", "indices", "weights"), vocab.size)
-    total = train.agg(F.sum("weight")).first()[0]
-    linear = LogisticRegression(
-        featuresCol="features",
-        labelCol="label_id",
-        weightCol="weight",
-        family="binomial" if n_classes == 2 else "multinomial",
-        # The summed objective with penalty C equals Spark's mean objective with this penalty.
-        regParam=1.0 / (stack.c * total),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=stack.max_iter,
-        tol=1e-4,
-        aggregationDepth=3,
-    ).fit(train)
-    return FittedStack(stack, vocab, labels, linear)
+    table = TrainingTable(terms, stats, n_docs, [stack], id_column, label)
+    joint = table.fit()
+    table.scope.clear()
+    return FittedStack(stack, joint.vocab, joint.labels, joint.n_labels, joint.fit.weights, *joint.ended(0))
 
 
 def fit_tfidf_lr(
     train: DataFrame, stack: TextStack, id_column: str, text: str, label: str = "category"
 ) -> FittedStack:
-    """Term statistics, vocabulary, features and logistic regression over the training rows."""
-    terms = with_terms(train, stack, text, id_column, label)
-    return fit_terms(terms, X.term_stats(terms), train.count(), stack, id_column, label)
+    """Term statistics, vocabulary, features and logistic regression over the training rows, whose text is tokenised once."""
+    scope = StagingScope(train.sparkSession, "terms")
+    terms = scope.stage(with_terms(train, stack, text, id_column, label), "terms")
+    fitted = fit_terms(terms, X.term_stats(terms), terms.count(), stack, id_column, label)
+    scope.clear()
+    return fitted
 
 
 def score_terms(fitted: FittedStack, terms: DataFrame, id_column: str) -> DataFrame:
-    """Add ``proba`` and ``y_pred`` to rows that carry ``terms``; rows without known terms get the intercepts."""
+    """Add ``proba`` and ``y_pred`` to rows that carry ``terms``; rows without known terms get the intercepts.
+
+    Nothing runs before the result is read: the vocabulary was sent out with the fit or when the model was loaded.
+    """
     arrays = X.tfidf_transform(terms, fitted.vocab, id_column)
-    scored = fitted.linear.transform(X.to_vectors(arrays, fitted.vocab.size))
-    named = scored.withColumn("label_id", F.col("prediction").cast("int"))
-    out = lookup_join(named, fitted.labels.withColumnRenamed("category", "y_pred"), "label_id", "left")
-    return out.select(
-        *[c for c in terms.columns if c != "terms"], vector_to_array("probability").alias("proba"), "y_pred"
-    )
+    scored = L.score(arrays, fitted.weights, fitted.layout, fitted.per_model).withColumn("label_id", F.get("best", F.lit(0)))
+    # Labels are fewer than coefficient rows, whose size the layout knows.
+    named = fitted.labels.select("label_id", F.col("category").alias("y_pred"))
+    out = scored.join(F.broadcast(named), "label_id", "left")
+    return out.select(*[c for c in terms.columns if c != "terms"], "proba", "y_pred")
 
 
 def predict_proba(
@@ -145,25 +259,76 @@ def predict(fitted: FittedStack, df: DataFrame, id_column: str, text: str, keep:
     return predict_proba(fitted, df, id_column, text, keep).drop("proba")
 
 
+# The tables of a stored model.
+_STORED = ("vocab", "labels", "weights")
+
+
+def _digest(table: DataFrame) -> Column:
+    """Rows, and a sum of row hashes that does not depend on their order."""
+    return F.struct(F.count("*").alias("rows"), F.sum(F.xxhash64(*table.columns).cast("decimal(20,0)")).cast("string").alias("digest"))
+
+
+def _exists(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system if system.exists(folder) else None
+
+
 def save_model(fitted: FittedStack, path: str) -> None:
-    """Write settings, vocabulary, labels and weights under ``path``."""
+    """Write the model as a new version below ``path``; it counts only once its manifest, written last, is there.
+
+    The manifest holds the settings and, for every table, its rows and a digest, both read back from what was written.
+    """
     spark = fitted.vocab.table.sparkSession
-    fitted.linear.write().overwrite().save(f"{path}/linear")
-    fitted.vocab.table.write.mode("overwrite").parquet(f"{path}/vocab")
-    fitted.labels.write.mode("overwrite").parquet(f"{path}/labels")
-    settings = json.dumps({**asdict(fitted.stack), "n_docs": fitted.vocab.n_docs, "size": fitted.vocab.size})
-    spark.createDataFrame([(settings,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stack")
+    told = _versions(spark, path)
+    folder = f"{path}/version={(told[-1] if told else 0) + 1:06d}-{uuid4().hex[:8]}"
+    digests = {}
+    for name, table in zip(_STORED, (fitted.vocab.table.select("term", "term_id", "df", "cf", "idf"), fitted.labels, fitted.weights)):
+        table.write.parquet(f"{folder}/{name}")
+        back = spark.read.parquet(f"{folder}/{name}")
+        digests[name] = back.agg(_digest(back).alias("d")).first()["d"].asDict()
+    settings = {
+        "stack": asdict(fitted.stack), "n_docs": fitted.vocab.n_docs, "size": fitted.vocab.size, "n_labels": fitted.n_labels,
+        "steps": fitted.steps, "gradient": fitted.gradient, "converged": fitted.converged, "tables": digests,
+    }
+    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.text(f"{folder}/manifest")
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    system = _exists(spark, path)
+    if system is None:
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path))]
+    return sorted(n for n in names if n.startswith("version="))
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return [int(name[8:14]) for name in _folders(spark, path)]
 
 
 def load_model(spark: SparkSession, path: str) -> FittedStack:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stack")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        raise FileNotFoundError(f"no stored model under {path}")
-    settings = json.loads(spark.read.text(f"{path}/stack").first()[0])
-    n_docs, size = settings.pop("n_docs"), settings.pop("size")
-    vocab = X.TermVocabulary(spark.read.parquet(f"{path}/vocab"), n_docs, size)
-    labels = spark.read.parquet(f"{path}/labels")
-    return FittedStack(TextStack(**settings), vocab, labels, LogisticRegressionModel.load(f"{path}/linear"))
+    """The newest version whose manifest is there; a table that differs from its manifest raises.
+
+    A version still being written, or left half-written, has no manifest and is passed over; if there is no other, the
+    model is not there.
+    """
+    complete = [n for n in _folders(spark, path) if _exists(spark, f"{path}/{n}/manifest/_SUCCESS") is not None]
+    if not complete:
+        raise FileNotFoundError(f"no whole stored model under {path}")
+    folder = f"{path}/{complete[-1]}"
+    told = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+    tables = {}
+    for name, known in told["tables"].items():
+        if _exists(spark, f"{folder}/{name}") is None:
+            raise ValueError(f"the stored model under {folder} lacks its table {name}")
+        tables[name] = spark.read.parquet(f"{folder}/{name}")
+        if tables[name].agg(_digest(tables[name]).alias("d")).first()["d"].asDict() != known:
+            raise ValueError(f"the table {name} of the stored model under {folder} is not what was stored")
+    vocab = X.TermVocabulary(tables["vocab"], told["n_docs"], told["size"])
+    _ = vocab.lookup  # sent to the workers now, so that scoring starts no job of its own
+    return FittedStack(
+        TextStack(**told["stack"]), vocab, tables["labels"], told["n_labels"], tables["weights"], told["steps"], told["gradient"], told["converged"]
+    )
 
 
 def predict_batch(

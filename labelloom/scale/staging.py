@@ -59,8 +59,12 @@ class StagingScope:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, label: str) -> None:
-        """Delete a table. The driver's garbage collection then lets Spark remove the shuffle files of finished jobs."""
+        """Delete a table that nothing reads any more."""
         _delete(self.spark, f"{self.folder}/{label}")
+
+    def release(self, label: str) -> None:
+        """Delete a table, and ask the driver's JVM to let go of what finished jobs left, so that Spark removes their shuffle files."""
+        self.drop(label)
         self.spark._jvm.System.gc()
 
     def clear(self) -> None:

@@ -62,7 +62,7 @@ def test_transform_is_narrow(spark):
     train = docs(spark, *CORPUS)
     vocab = X.fit_vocabulary(X.term_stats(train), 4, min_df=1, max_df=1.0)
     plan = X.tfidf_transform(train, vocab, "record_id")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    assert "Exchange" not in plan and "BatchEvalPython" not in plan and plan.count("ArrowEvalPython") == 1
 
 
 def test_uncapped_vocabulary_is_numbered_in_parallel(spark):

@@ -43,7 +43,7 @@ def fitted(train):
 
 
 def test_defaults_and_errors():
-    assert M.build_stack("tfidf_lr") == M.TextStack(50_000, "word", (1, 2), 2, 0.95, 2.0, "balanced", 1000)
+    assert M.build_stack("tfidf_lr") == M.TextStack(50_000, "word", (1, 2), 2, 0.95, 2.0, "balanced", 1000, 1e-4)
     for name in ("bilstm", "bert", "other"):
         with pytest.raises(ValueError):
             M.build_stack(name)
@@ -66,7 +66,7 @@ def test_gradient_of_the_summed_objective_vanishes_at_the_fit(spark, splits, cla
     y = np.array([r["label_id"] for r in rows])
     n_c = np.bincount(y)
     w = len(y) / (3 * n_c[y]) if class_weight else np.ones(len(y))
-    coef, bias = fitted.linear.coefficientMatrix.toArray(), fitted.linear.interceptVector.toArray()
+    coef, bias = fitted.coefficients()
     z = x @ coef.T + bias
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
@@ -81,7 +81,7 @@ def test_model_beats_the_majority_and_scores_empty_texts_from_the_intercepts(spa
     assert E.accuracy(E.confusion_pairs(scored)).first()[0] == 1.0
     odd = spark.createDataFrame([(0, None), (1, ""), (2, "zzz qqq")], f"record_id bigint, {NARRATIVE} string")
     rows = M.predict_proba(fitted, odd, "record_id", NARRATIVE).collect()
-    bias = np.exp(fitted.linear.interceptVector.toArray())
+    bias = np.exp(fitted.coefficients()[1])
     assert len(rows) == 3
     for r in rows:
         assert r["proba"] == pytest.approx(list(bias / bias.sum()))
@@ -91,7 +91,7 @@ def test_two_classes_use_the_binary_objective(splits):
     two = splits.filter("split = 'train' and category <> 'debt'")
     model = M.fit_tfidf_lr(two, settings(), "record_id", NARRATIVE)
     rows = M.predict_proba(model, two, "record_id", NARRATIVE, ("category",)).collect()
-    assert model.linear.coefficientMatrix.numRows == 1
+    assert len(model.coefficients()[0]) == 1
     assert all(len(r["proba"]) == 2 and r["y_pred"] == r["category"] for r in rows)
 
 
@@ -100,6 +100,32 @@ def test_one_class_raises(splits):
         M.fit_tfidf_lr(splits.filter("category = 'debt'"), settings(), "record_id", NARRATIVE)
 
 
+def test_scoring_starts_no_job_before_it_is_read(spark, fitted, splits):
+    spark.sparkContext.setJobGroup("lazy", "scoring")
+    scored = M.predict(fitted, splits, "record_id", NARRATIVE)
+    tracker = spark.sparkContext.statusTracker()
+    assert list(tracker.getJobIdsForGroup("lazy")) == []
+    assert scored.count() == 90
+    assert list(tracker.getJobIdsForGroup("lazy"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_half_written_and_altered_stores(spark, fitted, splits, tmp_path):
+    path = tmp_path / "m"
+    M.save_model(fitted, str(path))
+    (first,) = path.iterdir()
+    (first / "manifest").rename(first / "hidden")
+    with pytest.raises(FileNotFoundError):
+        M.load_model(spark, str(path))
+    M.save_model(fitted, str(path))
+    assert len(list(path.iterdir())) == 2
+    assert M.load_model(spark, str(path)).stack == fitted.stack  # the whole version counts, whatever lies beside it
+    (second,) = [p for p in path.iterdir() if p != first]
+    spark.createDataFrame([("x", 0)], "category string, label_id int").write.mode("append").parquet(str(second / "labels"))
+    with pytest.raises(ValueError, match="labels"):
+        M.load_model(spark, str(path))
+
+
 def test_stored_model_predicts_the_same(spark, fitted, splits, tmp_path):
     M.save_model(fitted, str(tmp_path / "m"))
     M.save_model(fitted, str(tmp_path / "m"))
@@ -144,12 +170,29 @@ def test_random_search(splits):
     drawn = EX.random_settings(20, 42)
     assert drawn == EX.random_settings(20, 42) != EX.random_settings(20, 43)
     assert all(1.0 <= d["c"] <= 12.0 and d["max_features"] in EX.SEARCH_SPACE["max_features"] for d in drawn)
-    space = {"min_df": [1, 80], "max_df": [1.0]}
-    trials = EX.random_search(splits, 6, space=space, base={"max_iter": 5, "ngram_range": (1, 1)}).collect()
-    states = [r["state"] for r in trials]
-    assert states == sorted(states) and set(states) == {"COMPLETE", "FAIL"}
-    assert all((r["macro_f1"] is None) == (r["state"] == "FAIL") for r in trials)
-    assert all((r["message"] is None) == (r["state"] == "COMPLETE") for r in trials)
+    space = {"min_df": [1, 2, 80], "max_df": [1.0]}
+    args = {"space": space, "base": {"max_iter": 40, "ngram_range": (1, 1)}, "rungs": (1, 3)}
+    found = EX.random_search(splits, 12, **args)
+    assert found.columns == [
+        "trial_number", "state", "macro_f1", "accuracy", "n_features", "fit_time_sec", "rung", "message",
+        "param_max_features", "param_min_df", "param_max_df", "param_class_weight", "param_c",
+    ]
+    trials = found.collect()
+    order = {"COMPLETE": 0, "PRUNED": 1, "FAIL": 2}
+    states = [order[r["state"]] for r in trials]
+    assert states == sorted(states) and set(states) == {0, 1, 2}
+    assert all((r["macro_f1"] is None) == (r["state"] == "FAIL") == (r["param_min_df"] == 80) for r in trials)
+    assert all((r["message"] is None) == (r["state"] != "FAIL") for r in trials)
+    tried = [r for r in trials if r["state"] != "FAIL"]
+    by_rung = [sum(r["rung"] >= k for r in tried) for k in range(3)]
+    assert by_rung[0] == len(tried) and by_rung[0] > by_rung[1] >= by_rung[2] >= 1
+    done = [r for r in trials if r["state"] == "COMPLETE"]
+    assert all(r["rung"] == 2 for r in done)
+    best = EX.best_trial(found).first()
+    assert best["trial_number"] == done[0]["trial_number"]
+    again = EX.random_search(splits, 12, **args).collect()
+    same = ("trial_number", "state", "macro_f1", "accuracy", "n_features", "rung")
+    assert [[r[k] for k in same] for r in again] == [[r[k] for k in same] for r in trials]
     late = EX.random_search(splits, 3, timeout_sec=0).collect()
     assert [r["state"] for r in late] == ["NOT_RUN"] * 3
 
