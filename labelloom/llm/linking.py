@@ -62,7 +62,7 @@ def similar_components(
         .select("sig", "node", "hub"),
         f"{label}-shared",
     )
-    scope.drop("signed")  # the signatures were read; what else is needed stands in other tables
+    scope.release("signed")  # the signatures were read; what else is needed stands in other tables
     alias = nodes.select("node", "same_as")
     pairs = shared.filter(F.col("node") != F.col("hub")).select("hub", "node").distinct()
     pairs = (
@@ -82,7 +82,7 @@ def similar_components(
     links = links.unionByName(tied.filter(F.col("a") != F.col("b")).distinct())
     labels = connected_components(links, scope, f"{label}-first")
     mixed = _mixed(shared.join(alias, "node").select("sig", F.col("same_as").alias("node")), labels, scope, f"{label}-mixed-0")
-    scope.drop(f"{label}-shared")
+    scope.release(f"{label}-shared")
     for turn in range(1, HUB_TURNS + 1):
         if mixed.isEmpty():
             return labels
