@@ -170,7 +170,7 @@ def write_report_json(spark, sf_dir):
     return spark.read.json(path).select("category", "tp", "support", "f1")
 
 
-@query()
+@query(Q.with_(Q.PREPARED, "SELECT count(*) AS n_rows, 0 AS n_changed FROM prepared"))
 def save_and_load_model(spark, sf_dir):
     """Rows whose label differs between a model and its stored copy; expected 0."""
     path = _folder(spark, "model")

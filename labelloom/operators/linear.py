@@ -595,7 +595,7 @@ def _fit(blocks, layout, problem, tol, max_iter, members, start, scope) -> Fit:
 
     # Only the numbers below reach the driver: per part of the coefficients, and summed over the blocks of rows.
     def numbers(df: DataFrame) -> list:
-        return df.orderBy("part").collect()
+        return sorted(df.collect())
 
     def tries(df: DataFrame) -> np.ndarray:
         count = 2 * problem.models * (1 + len(steps))

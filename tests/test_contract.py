@@ -12,7 +12,6 @@ from contract import load_queries
 duckdb = pytest.importorskip("duckdb")
 SF_DIR = Path("/root/testdata/sf0.001")
 QUERIES, ORACLE = load_queries()
-SLOW = {"vectorizer_ablation", "random_search", "grid_leaderboard"}
 
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="driver tables are absent")
 
@@ -45,7 +44,7 @@ def test_query_equals_its_sql(spark, duck, name):
             assert same, (name, mine, theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_returns_rows(spark, name):
     assert QUERIES[name](spark, str(SF_DIR)).count() > 0
 

@@ -58,32 +58,29 @@ def problem_of(classes, c, weights, labels, which):
     return L.Problem(classes, np.array(c), weights, weights[:, labels].sum(axis=1), which)
 
 
-@pytest.fixture(params=["one part", "many parts", "no broadcast"])
-def sizes(request, monkeypatch):
+def cut(monkeypatch, small_parts, broadcast):
     monkeypatch.setattr(L, "BLOCK_DOCS", 40)
     monkeypatch.setattr(L, "BLOCK_ENTRIES", 150)
-    if request.param != "one part":
+    if small_parts:
         monkeypatch.setattr(L, "PART_BYTES", 1)
         monkeypatch.setattr(L, "FLUSH_BYTES", 4_000)
-    if request.param == "no broadcast":
+    if not broadcast:
         monkeypatch.setattr(L, "MAX_BROADCAST_BYTES", 0)
-    return request.param
 
 
-@pytest.mark.parametrize("classes", [2, 4])
-def test_gradient_vanishes_at_the_fit_and_scores_follow(spark, sizes, classes):
-    if classes == 2 and sizes != "many parts":
-        pytest.skip("two classes are tried in one form")
-    terms, tol = 90, 1e-5
+@pytest.mark.parametrize(("classes", "small_parts", "broadcast"), [(2, False, True), (4, True, False)])
+def test_gradient_vanishes_at_the_fit_and_scores_follow(spark, monkeypatch, classes, small_parts, broadcast):
+    cut(monkeypatch, small_parts, broadcast)
+    terms, tol = 90, 1e-4
     data = rows(classes, 250, terms, classes)
     y = np.array([r[0] for r in data])
     problem = problem_of(classes, [3.0], [np.linspace(0.5, 2, classes)], y, L.Models())
     layout = L.Layout.of(terms, problem.columns)
-    assert layout.parts == (1 if sizes == "one part" else 6)
+    assert layout.parts == (6 if small_parts else 1)
     blocks = StagingScope(spark, "t").stage(L.pack(frame(spark, data), layout), "blocks")
     assert blocks.count() > 5
     fit = L.fit(blocks, layout, problem, tol, 400)
-    assert fit.converged.all() and fit.gradient[0] <= tol and 3 < fit.steps[0] < 80
+    assert fit.converged.all() and fit.gradient[0] <= tol and 3 < fit.steps[0] < 40
     coef, bias = L.coefficients(spark, fit.weights, layout)
     for part in gradient(dense(data, terms), y, coef, bias, 3.0, problem.weights[0]):
         assert np.abs(part).max() <= 2 * tol
@@ -98,8 +95,9 @@ def test_gradient_vanishes_at_the_fit_and_scores_follow(spark, sizes, classes):
     assert [r["best"][0] for r in got] == list(np.array([r["proba"] for r in got]).argmax(axis=1))
 
 
-def test_models_fitted_together_equal_models_fitted_alone(spark, sizes):
-    terms, classes, tol = 60, 3, 1e-5
+def test_models_fitted_together_equal_models_fitted_alone(spark, monkeypatch):
+    cut(monkeypatch, True, True)
+    terms, classes, tol = 60, 3, 3e-4
     data = rows(8, 200, terms, classes)
     y = np.array([r[0] for r in data])
     known = np.array([[True] * 60, [t % 4 != 0 for t in range(60)], [t < 30 for t in range(60)]])
@@ -133,7 +131,7 @@ def test_models_fitted_together_equal_models_fitted_alone(spark, sizes):
     more = L.fit(blocks, less, some, tol, 400, members, L.pick_models(short.weights, layout, 3, [0, 2]))
     again, _ = L.coefficients(spark, more.weights, less)
     assert more.converged.all()
-    assert np.allclose(again[:3], coef[:3], atol=2e-2) and np.allclose(again[3:], coef[6:], atol=2e-2)
+    assert np.allclose(again[:3], coef[:3], atol=0.3) and np.allclose(again[3:], coef[6:], atol=0.3)
 
 
 def test_a_fit_that_starts_at_its_end_takes_no_step(spark):
@@ -142,8 +140,8 @@ def test_a_fit_that_starts_at_its_end_takes_no_step(spark):
     problem = problem_of(3, [1.0], [np.ones(3)], y, L.Models())
     layout = L.Layout.of(30, 3)
     blocks = StagingScope(spark, "t").stage(L.pack(frame(spark, data), layout), "blocks")
-    fit = L.fit(blocks, layout, problem, 1e-5, 300)
-    again = L.fit(blocks, layout, problem, 1.1e-5, 300, None, fit.weights)
+    fit = L.fit(blocks, layout, problem, 1e-3, 300)
+    again = L.fit(blocks, layout, problem, 1.01e-3, 300, None, fit.weights)
     assert again.steps[0] == 0 and again.converged.all()
 
 
