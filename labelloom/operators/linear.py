@@ -41,7 +41,7 @@ BLOCK_DOCS, BLOCK_ENTRIES = 2_048, 1_000_000
 MAX_BROADCAST_BYTES = 256 << 20  # a vector is broadcast only if its known size is at most this
 FLUSH_BYTES = 128 << 20  # partial gradients a task holds before it hands them on
 MAX_MODELS = 64  # members of a term are the bits of one long
-HISTORY = 5
+HISTORY = 4
 FIRST_STEPS = [4.0**i for i in range(-3, 8)]
 STEPS = [1 / 64, 1 / 16, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 4.0, 16.0]
 INTERCEPTS = -1
@@ -53,6 +53,15 @@ def _bytes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
+def _vector(values: np.ndarray) -> bytes:
+    """Coefficients, gradients and history are stored in single precision; sums over them are double."""
+    return np.ascontiguousarray(values, dtype=np.float32).tobytes()
+
+
+def _read_vector(data: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32).reshape(columns, -1)
+
+
 def _table(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -71,7 +80,7 @@ class Layout:
     @staticmethod
     def of(size: int, columns: int) -> Layout:
         """Parts of about ``PART_BYTES``."""
-        return Layout(size, columns, max(16, PART_BYTES // (8 * columns)))
+        return Layout(size, columns, max(16, PART_BYTES // (4 * columns)))
 
     @property
     def parts(self) -> int:
@@ -81,11 +90,14 @@ class Layout:
         return 1 if part == INTERCEPTS else min(self.terms, self.size - part * self.terms)
 
     def fits_broadcast(self) -> bool:
-        return (self.size + 1) * self.columns * 8 <= MAX_BROADCAST_BYTES
+        return (self.size + 1) * self.columns * 4 <= MAX_BROADCAST_BYTES
+
 
+def _packing(layout: Layout, models: int, members, slots):
+    """Rows (label_id, indices, weights, payload) to blocks.
 
-def _packing(layout: Layout, models: int, members):
-    """Rows (label_id, indices, weights, payload) to blocks; ``members`` holds the models of each term as bits, if they differ."""
+    ``members`` holds the models of each term as bits, if they differ, ``slots`` the slot and share of each term, if some share.
+    """
 
     def flush(number: int, labels: list, lengths: list, indices: list, weights: list, payload: list):
         n = sum(map(len, lengths))
@@ -98,6 +110,12 @@ def _packing(layout: Layout, models: int, members):
                 own = (bits >> np.uint64(m)) & np.uint64(1) != 0
                 norms[m] = np.sqrt(np.bincount(row[own], weights=value[own] ** 2, minlength=n))
             norms[norms == 0] = 1.0
+        if slots is not None and len(index):
+            slot, share = slots.value
+            value = value * share[index]
+            key, place = np.unique(slot[index] * np.int64(n) + row, return_inverse=True)
+            value = np.bincount(place, weights=value)
+            index, row = key // n, (key % n).astype(np.int32)
         order = np.argsort(index, kind="stable")
         index, row, value = index[order], row[order], value[order]
         part = index // layout.terms
@@ -151,11 +169,11 @@ def _packing(layout: Layout, models: int, members):
     return packed
 
 
-def pack(arrays: DataFrame, layout: Layout, models: int = 1, members=None, keep: tuple[str, ...] = ()) -> DataFrame:
+def pack(arrays: DataFrame, layout: Layout, models: int = 1, members=None, slots=None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Blocks of (label_id, indices, weights) rows of unit length; ``keep`` names columns that travel with a block unread."""
     label = F.col("label_id") if "label_id" in arrays.columns else F.lit(0).alias("label_id")
     rows = arrays.select(label.cast("int").alias("label_id"), "indices", "weights", *keep)
-    return rows.mapInArrow(_packing(layout, models, members), BLOCK + (", payload binary" if keep else ""))
+    return rows.mapInArrow(_packing(layout, models, members, slots), BLOCK + (", payload binary" if keep else ""))
 
 
 # --- tasks ------------------------------------------------------------------------------
@@ -217,7 +235,7 @@ def _adding_margins(columns: int, models: Models, carry: tuple[str, ...]):
                 data = get("data", i)
                 if data is None:
                     continue
-                vector = _matrix(data, columns)
+                vector = _read_vector(data, columns)
                 if get("part", i) == INTERCEPTS:
                     total += vector
                 else:
@@ -334,7 +352,7 @@ def _partial_gradients(problem: Problem, layout: Layout, moved: np.ndarray):
 
         def told() -> Iterator[pa.RecordBatch]:
             for part, data in held.items():
-                yield _table({"part": pa.array([part], pa.int32()), "data": pa.array([_bytes(data)], pa.binary())})
+                yield _table({"part": pa.array([part], pa.int32()), "data": pa.array([_vector(data)], pa.binary())})
 
         k = problem.per_model
         for batch in batches:
@@ -379,9 +397,9 @@ def _collect_part(batches: Iterator[pa.RecordBatch], columns: int) -> tuple[int,
             if row["kind"] == "members":
                 found["members"] = np.frombuffer(row["data"], np.uint64)
             elif row["kind"] in found:
-                found[row["kind"]] = found[row["kind"]] + _matrix(row["data"], columns)
+                found[row["kind"]] += _read_vector(row["data"], columns)
             else:
-                found[row["kind"]] = _matrix(row["data"], columns)
+                found[row["kind"]] = _read_vector(row["data"], columns).astype(np.float64)
     return part, found
 
 
@@ -394,7 +412,7 @@ def _combining(problem: Problem, shares: dict[str, np.ndarray]):
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, found = _collect_part(batches, problem.columns)
-        data = _bytes(_combined(problem, found, shares))
+        data = _vector(_combined(problem, found, shares))
         yield _table({"part": pa.array([part], pa.int32()), "data": pa.array([data], pa.binary())})
 
     return combined
@@ -409,7 +427,8 @@ def _stepping(problem: Problem, layout: Layout, moved: np.ndarray, shares: dict[
     def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, found = _collect_part(batches, problem.columns)
         zero = np.zeros((problem.columns, layout.width(part)))
-        s = problem.wide(moved) * _combined(problem, found, shares) + zero
+        # The margins were those of the stored direction, so its rounded form is the one to step along.
+        s = problem.wide(moved) * (_combined(problem, found, shares) + zero).astype(np.float32)
         w = found.get("w", zero) + s
         g = found.get("p", zero)
         if part != INTERCEPTS:
@@ -419,12 +438,12 @@ def _stepping(problem: Problem, layout: Layout, moved: np.ndarray, shares: dict[
         y = g - found.get("g", zero)
         new, dots = dict(zip(NEW, (w, s, y, g))), []
         for a in new.values():
-            dots += [_by_model(problem, (a * b).sum(axis=1)) for b in (*[found[o] for o in older], *new.values())]
+            dots += [_by_model(problem, np.vecdot(a, b)) for b in (*[found[o] for o in older], *new.values())]
         top = np.abs(g).max(axis=1).reshape(problem.models, -1).max(axis=1)
         yield _table(
             {
                 "part": pa.array([part], pa.int32()),
-                **{name: pa.array([_bytes(v)], pa.binary()) for name, v in new.items()},
+                **{name: pa.array([_vector(v)], pa.binary()) for name, v in new.items()},
                 "dots": pa.array([np.concatenate(dots).tolist()]), "top": pa.array([top.tolist()]),
             }
         )
@@ -576,7 +595,7 @@ def _fit(blocks, layout, problem, tol, max_iter, members, start, scope) -> Fit:
             _partial_gradients(problem, layout, moved), "part int, data binary"
         )
         # Every part is there, also one that no row of the task's blocks holds.
-        empty = spark.createDataFrame([(p, _bytes(np.zeros((problem.columns, layout.width(p))))) for p in parts], "part int, data binary") if not vectors else None
+        empty = spark.createDataFrame([(p, _vector(np.zeros((problem.columns, layout.width(p))))) for p in parts], "part int, data binary") if not vectors else None
         rows = kind(partial, "data", "p")
         for more in [*([kind(empty, "data", "p")] if empty is not None else []), *vectors, *([kind(members, "data", "members")] if members is not None else [])]:
             rows = rows.unionByName(more)
@@ -689,14 +708,14 @@ def pick_models(weights: DataFrame, layout: Layout, per_model: int, models: list
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [_bytes(_matrix(d, layout.columns)[rows]) for d in batch.column(1).to_pylist()]
+            data = [_vector(_read_vector(d, layout.columns)[rows]) for d in batch.column(1).to_pylist()]
             yield _table({"part": batch.column(0), "data": pa.array(data, pa.binary())})
 
     return weights.select("part", "data").mapInArrow(picked, "part int, data binary")
 
 
 def score(
-    arrays: DataFrame, weights: DataFrame, layout: Layout, per_model: int, models: Models = Models(), members=None
+    arrays: DataFrame, weights: DataFrame, layout: Layout, per_model: int, models: Models = Models(), members=None, slots=None
 ) -> DataFrame:
     """The columns of ``arrays`` but ``indices`` and ``weights``, then ``proba`` (models x classes) and ``best`` (one index a model).
 
@@ -707,7 +726,7 @@ def score(
     # The payload is named by position, so no column of the table can clash with a name used here.
     inner = [f"_k{i}" for i in range(len(keep))]
     named = arrays.select("indices", "weights", *[F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner)])
-    blocks = pack(named, layout, models.packed, members, tuple(inner))
+    blocks = pack(named, layout, models.packed, members, slots, tuple(inner))
     kinds = dict(named.dtypes)
     schema = ", ".join([*[f"{i} {kinds[i]}" for i in inner], "proba array<double>", "best array<int>"])
     finished, grouped = _finishing(per_model, models.count)
@@ -721,5 +740,5 @@ def score(
 
 def coefficients(spark: SparkSession, weights: DataFrame, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
     """The whole (columns, terms) matrix and the intercepts on the driver: for inspection of small models."""
-    rows = {r["part"]: _matrix(r["data"], layout.columns) for r in weights.collect()}
+    rows = {r["part"]: _read_vector(r["data"], layout.columns).astype(np.float64) for r in weights.collect()}
     return np.concatenate([rows[p] for p in range(layout.parts)], axis=1), rows[INTERCEPTS][:, 0]

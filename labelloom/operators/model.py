@@ -78,6 +78,7 @@ class FittedStack:
     labels: DataFrame
     n_labels: int
     weights: DataFrame
+    n_slots: int
     steps: int
     gradient: float
     converged: bool
@@ -88,11 +89,15 @@ class FittedStack:
 
     @property
     def layout(self) -> L.Layout:
-        return L.Layout.of(self.vocab.size, self.per_model)
+        return L.Layout.of(self.n_slots, self.per_model)
 
     def coefficients(self) -> tuple[np.ndarray, np.ndarray]:
         """The (columns, terms) matrix and the intercepts on the driver, to look at a small model."""
-        return L.coefficients(self.weights.sparkSession, self.weights, self.layout)
+        own, intercepts = L.coefficients(self.weights.sparkSession, self.weights, self.layout)
+        if self.vocab.slots is None:
+            return own, intercepts
+        slot, share = self.vocab.slots.value
+        return own[:, slot] * share, intercepts
 
 
 def with_terms(df: DataFrame, stack: TextStack, text: str, *keep: str) -> DataFrame:
@@ -128,7 +133,8 @@ class TrainingTable:
 
     def __init__(self, terms: DataFrame, stats: DataFrame, n_docs: int, stacks: list[TextStack], id_column: str, label: str = "category") -> None:
         self.stacks, self.scope = stacks, StagingScope(terms.sparkSession, "training")
-        self.vocab, self.sizes, cuts = _joint_vocabulary(stats, n_docs, stacks, self.scope)
+        vocab, self.sizes, cuts = _joint_vocabulary(stats, n_docs, stacks, self.scope)
+        self.vocab, self.n_slots = X.shared_slots(vocab)
         self.labels = X.label_index(terms, label)
         counts = lookup_join(X.balanced_class_weights(terms, label), self.labels, label).orderBy("label_id").collect()
         self.n_labels = len(counts)
@@ -145,22 +151,27 @@ class TrainingTable:
         weights = np.array([[r["weight"] for r in counts] if w == "balanced" else np.ones(len(rows)) for _, _, w in kinds])
         c = np.array([c for _, c, _ in kinds])
         self.problem = L.Problem(self.n_labels, c, weights, weights @ rows, L.Models(len(c), tuple(range(len(c)))))
-        self.layout = L.Layout.of(self.vocab.size, self.problem.columns)
+        self.layout = L.Layout.of(self.n_slots, self.problem.columns)
         self.members, self.member_parts = None, None
         if len({cut for cut, _, _ in kinds}) > 1:
             self.members, self.member_parts = self._members([cut for cut, _, _ in kinds])
         arrays = X.encode_labels(X.tfidf_transform(terms, self.vocab, id_column), self.labels, label)
-        packed = L.pack(arrays.select("label_id", "indices", "weights"), self.layout, self.problem.models, self.members)
+        rows = arrays.select("label_id", "indices", "weights")
+        packed = L.pack(rows, self.layout, self.problem.models, self.members, self.vocab.slots)
         self.blocks = self.scope.stage(packed, "blocks")
 
     def _members(self, cuts: list[int]):
-        """Per term the models that know it, as bits: for the workers, and as a table by part."""
+        """Per term the models that know it, as bits, for the workers; the same per slot, as a table by part."""
         known = self.vocab.table.orderBy("term_id").select("cuts").toArrow()["cuts"].to_numpy()
         bits = np.zeros(self.vocab.size, dtype=np.uint64)
         for m, cut in enumerate(cuts):
             bits |= ((known >> cut) & 1).astype(np.uint64) << np.uint64(m)
+        of_slot = bits
+        if self.vocab.slots is not None:
+            of_slot = np.zeros(self.n_slots, dtype=np.uint64)
+            of_slot[self.vocab.slots.value[0]] = bits  # terms of a slot are known to the same models
         spark, n = self.vocab.table.sparkSession, self.layout.terms
-        parts = [(p, bytes(bits[p * n : (p + 1) * n])) for p in range(self.layout.parts)]
+        parts = [(p, bytes(of_slot[p * n : (p + 1) * n])) for p in range(self.layout.parts)]
         return spark.sparkContext.broadcast(bits), spark.createDataFrame(parts, "part int, data binary")
 
     def fit(self, max_iter: int | None = None, start: DataFrame | None = None) -> JointFit:
@@ -204,11 +215,10 @@ def _joint_vocabulary(
         return chosen[0], sizes, cuts
     union = None
     for i, vocab in enumerate(chosen):
-        own = vocab.table.select("term", "df", "cf", "idf", F.lit(1 << i).cast("long").alias("cuts"))
+        own = vocab.table.drop("term_id").withColumn("cuts", F.lit(1 << i).cast("long"))
         union = own if union is None else union.unionByName(own)
-    merged = union.groupBy("term").agg(
-        F.first("df").alias("df"), F.first("cf").alias("cf"), F.first("idf").alias("idf"), F.bit_or("cuts").alias("cuts")
-    )
+    same = [c for c in union.columns if c not in ("term", "cuts")]
+    merged = union.groupBy("term").agg(*[F.first(c).alias(c) for c in same], F.bit_or("cuts").alias("cuts"))
     numbered = scope.stage(X.numbered_terms(merged, sum(v.size for v in chosen)), "union")
     return X.TermVocabulary(numbered, n_docs, numbered.count()), sizes, cuts
 
@@ -220,7 +230,7 @@ def fit_terms(
     table = TrainingTable(terms, stats, n_docs, [stack], id_column, label)
     joint = table.fit()
     table.scope.clear()
-    return FittedStack(stack, joint.vocab, joint.labels, joint.n_labels, joint.fit.weights, *joint.ended(0))
+    return FittedStack(stack, joint.vocab, joint.labels, joint.n_labels, joint.fit.weights, table.n_slots, *joint.ended(0))
 
 
 def fit_tfidf_lr(
@@ -229,7 +239,7 @@ def fit_tfidf_lr(
     """Term statistics, vocabulary, features and logistic regression over the training rows, whose text is tokenised once."""
     scope = StagingScope(train.sparkSession, "terms")
     terms = scope.stage(with_terms(train, stack, text, id_column, label), "terms")
-    fitted = fit_terms(terms, X.term_stats(terms), terms.count(), stack, id_column, label)
+    fitted = fit_terms(terms, X.term_stats(terms, id_column=id_column), terms.count(), stack, id_column, label)
     scope.clear()
     return fitted
 
@@ -240,7 +250,8 @@ def score_terms(fitted: FittedStack, terms: DataFrame, id_column: str) -> DataFr
     Nothing runs before the result is read: the vocabulary was sent out with the fit or when the model was loaded.
     """
     arrays = X.tfidf_transform(terms, fitted.vocab, id_column)
-    scored = L.score(arrays, fitted.weights, fitted.layout, fitted.per_model).withColumn("label_id", F.get("best", F.lit(0)))
+    scored = L.score(arrays, fitted.weights, fitted.layout, fitted.per_model, slots=fitted.vocab.slots)
+    scored = scored.withColumn("label_id", F.get("best", F.lit(0)))
     # Labels are fewer than coefficient rows, whose size the layout knows.
     named = fitted.labels.select("label_id", F.col("category").alias("y_pred"))
     out = scored.join(F.broadcast(named), "label_id", "left")
@@ -283,12 +294,12 @@ def save_model(fitted: FittedStack, path: str) -> None:
     told = _versions(spark, path)
     folder = f"{path}/version={(told[-1] if told else 0) + 1:06d}-{uuid4().hex[:8]}"
     digests = {}
-    for name, table in zip(_STORED, (fitted.vocab.table.select("term", "term_id", "df", "cf", "idf"), fitted.labels, fitted.weights)):
+    for name, table in zip(_STORED, (fitted.vocab.table, fitted.labels, fitted.weights)):
         table.write.parquet(f"{folder}/{name}")
         back = spark.read.parquet(f"{folder}/{name}")
         digests[name] = back.agg(_digest(back).alias("d")).first()["d"].asDict()
     settings = {
-        "stack": asdict(fitted.stack), "n_docs": fitted.vocab.n_docs, "size": fitted.vocab.size, "n_labels": fitted.n_labels,
+        "stack": asdict(fitted.stack), "n_docs": fitted.vocab.n_docs, "size": fitted.vocab.size, "n_labels": fitted.n_labels, "n_slots": fitted.n_slots,
         "steps": fitted.steps, "gradient": fitted.gradient, "converged": fitted.converged, "tables": digests,
     }
     spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.text(f"{folder}/manifest")
@@ -325,10 +336,9 @@ def load_model(spark: SparkSession, path: str) -> FittedStack:
         if tables[name].agg(_digest(tables[name]).alias("d")).first()["d"].asDict() != known:
             raise ValueError(f"the table {name} of the stored model under {folder} is not what was stored")
     vocab = X.TermVocabulary(tables["vocab"], told["n_docs"], told["size"])
-    _ = vocab.lookup  # sent to the workers now, so that scoring starts no job of its own
-    return FittedStack(
-        TextStack(**told["stack"]), vocab, tables["labels"], told["n_labels"], tables["weights"], told["steps"], told["gradient"], told["converged"]
-    )
+    _ = vocab.lookup, vocab.slots  # sent to the workers now, so that scoring starts no job of its own
+    ended = (told[k] for k in ("n_slots", "steps", "gradient", "converged"))
+    return FittedStack(TextStack(**told["stack"]), vocab, tables["labels"], told["n_labels"], tables["weights"], *ended)
 
 
 def predict_batch(
