@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from contract import sql as Q
@@ -22,6 +24,8 @@ from labelloom.functions import scores as SC
 from labelloom.operators import evaluate as E
 from labelloom.operators import experiments as EX
 from labelloom.operators import model as M
+from labelloom.scale.staging import shared_dir
+from labelloom.sources import writers as W
 from labelloom.schema import NARRATIVE, RECORD_ID
 
 # --- score arrays -----------------------------------------------------------------
@@ -185,6 +189,24 @@ def head_confusion(spark, sf_dir):
     return E.head_confusion(pairs(spark, sf_dir), frequency_groups(spark, sf_dir))
 
 
+@query(Q.with_(Q.GROUP_METRICS + """,
+head AS (
+  SELECT category FROM class_groups WHERE class_group = 'head' ORDER BY train_count DESC, category LIMIT 20
+),
+cells AS (
+  SELECT t.category AS y_true, s.category AS y_pred, count(p.record_id) AS n
+  FROM head t CROSS JOIN head s LEFT JOIN predictions p ON p.y_true = t.category AND p.y_pred = s.category
+  GROUP BY ALL
+)""", """
+SELECT y_true, string_agg(y_pred || '=' || n, ';' ORDER BY y_pred) AS predicted FROM cells GROUP BY y_true"""))
+def head_confusion_wide(spark, sf_dir):
+    """The matrix with one column per predicted label; its cells are told with their column names, which depend on the data."""
+    wide = E.head_confusion_wide(pairs(spark, sf_dir), frequency_groups(spark, sf_dir))
+    labels = [c for c in wide.columns if c != "y_true"]
+    cells = [F.concat(F.lit(f"{c}="), F.col(f"`{c}`").cast("string")) for c in labels]
+    return wide.select("y_true", F.concat_ws(";", *cells).alias("predicted"))
+
+
 # --- tail errors -------------------------------------------------------------------
 
 
@@ -262,12 +284,6 @@ def majority_baseline(spark, sf_dir):
     return M.majority_baseline(train_rows(spark, sf_dir), rows)
 
 
-def _record(metrics, model_name):
-    return metrics.select(
-        F.lit(model_name).alias("model_name"), F.lit("computed").alias("source"), F.lit("").alias("config_summary"), "*"
-    )
-
-
 @query(Q.with_(Q.METRICS + _MAJORITY + """,
 base_sides AS (
   SELECT category, CAST(category = (SELECT category FROM majority) AS BIGINT) AS tp, 1 AS support, 0 AS said FROM prepared
@@ -277,21 +293,34 @@ base_metrics AS (
   SELECT CAST(2 * sum(tp) AS DOUBLE) / (sum(support) + sum(said)) AS f1, sum(support) AS support, sum(tp) AS tp
   FROM base_sides GROUP BY category
 )""", """
-SELECT 'stored_scores' AS model_name, 'test' AS split, 'computed' AS source,
+SELECT 'stored_scores' AS model_name, 'test' AS split, 'scores.json' AS source,
        round(CAST(sum(tp) AS DOUBLE) / sum(support), 9) AS accuracy, round(avg(f1), 9) AS macro_f1,
-       round(sum(f1 * support) / sum(support), 9) AS weighted_f1, '' AS config_summary FROM metrics
+       round(sum(f1 * support) / sum(support), 9) AS weighted_f1, 'flat' AS config_summary FROM metrics
 UNION ALL
-SELECT 'majority', 'test', 'computed', round(CAST(sum(tp) AS DOUBLE) / sum(support), 9), round(avg(f1), 9),
-       round(sum(f1 * support) / sum(support), 9), '' FROM base_metrics
+SELECT 'majority', 'test', 'baseline.json:run/test', round(CAST(sum(tp) AS DOUBLE) / sum(support), 9), round(avg(f1), 9),
+       round(sum(f1 * support) / sum(support), 9), 'nested' FROM base_metrics
 UNION ALL
-SELECT 'accuracy_only', 'test', 'computed', round(CAST(sum(tp) AS DOUBLE) / sum(support), 9), NULL, NULL, ''
+SELECT 'accuracy_only', 'test', 'partial.json', round(CAST(sum(tp) AS DOUBLE) / sum(support), 9), NULL, NULL, 'absent'
 FROM metrics"""))
 def model_comparison(spark, sf_dir):
+    """Records read from JSON files: a flat one, a nested one, one without two metrics, an empty one and one that is not there."""
+    folder = f"{shared_dir(spark)}/records-{uuid4().hex}"
     stored = E.summary_metrics(pairs(spark, sf_dir))
     rows = splits(spark, sf_dir).select(F.col("category").alias("y_true"))
     majority = E.summary_metrics(E.confusion_pairs(M.majority_baseline(train_rows(spark, sf_dir), rows)))
-    partial = stored.select("accuracy", F.lit(float("nan")).alias("macro_f1"))
+    W.write_metadata(stored, f"{folder}/scores.json")
+    W.write_metadata(majority.select(F.struct(F.struct("*").alias("test")).alias("run")), f"{folder}/baseline.json")
+    W.write_metadata(stored.select("accuracy", F.lit("text").alias("note")), f"{folder}/partial.json")
+    W.write_metadata(stored.select(F.struct("accuracy").alias("val")), f"{folder}/unfinished.json")
+
+    def record(name, source, summary, *path):
+        return EX.metrics_record(spark, f"{folder}/{source.split(':')[0]}", name, source, summary, path)
+
     compared = EX.compare_records(
-        [_record(stored, "stored_scores"), None, _record(majority, "majority"), _record(partial, "accuracy_only")]
+        [
+            record("stored_scores", "scores.json", "flat"), record("absent", "absent.json", ""),
+            record("majority", "baseline.json:run/test", "nested", "run", "test"),
+            record("accuracy_only", "partial.json", "absent"), record("unfinished", "unfinished.json:test", "", "test"),
+        ]
     )
     return compared.withColumns({c: F.round(c, 9) for c in EX.METRIC_FIELDS})

@@ -53,33 +53,35 @@ def tfidf_weights(spark, sf_dir):
 
 _PER_DOC = """
 SELECT p.record_id, count(w.term_id) AS n_terms, round(coalesce(sum(w.weight), 0e0), 6) AS weight_sum,
-       round(coalesce(sum(w.weight * w.term_id), 0e0), 2) AS weighted_ids
+       round(coalesce(sum(w.weight * w.term_id / (SELECT count(*) FROM vocab)), 0e0), 6) AS weighted_ids
 FROM prepared p LEFT JOIN weights w USING (record_id) WHERE p.split <> 'train' GROUP BY p.record_id"""
 
 
-def _per_doc(arrays):
+def _per_doc(arrays, size):
     def total(column):
         return F.aggregate(column, F.lit(0.0), lambda acc, x: acc + x)
 
-    products = F.zip_with("indices", "weights", lambda i, w: i * w)
+    products = F.zip_with("indices", "weights", lambda i, w: i * w / size)
     return arrays.select(
         RECORD_ID,
         F.size("indices").alias("n_terms"),
         F.round(total(F.col("weights")), 6).alias("weight_sum"),
-        F.round(total(products), 2).alias("weighted_ids"),
+        F.round(total(products), 6).alias("weighted_ids"),
     )
 
 
 @query(Q.with_(Q.vocab_ctes(MAX_FEATURES), _PER_DOC))
 def tfidf_transform(spark, sf_dir):
     held_out = terms_of(split_of(spark, sf_dir, "val", "test"))
-    return _per_doc(X.tfidf_transform(held_out, _vocab(spark, sf_dir), RECORD_ID))
+    vocab = _vocab(spark, sf_dir)
+    return _per_doc(X.tfidf_transform(held_out, vocab, RECORD_ID), vocab.size)
 
 
 @query(Q.with_(Q.vocab_ctes(MAX_FEATURES), _PER_DOC))
 def tfidf_transform_by_join(spark, sf_dir):
     held_out = terms_of(split_of(spark, sf_dir, "val", "test"))
-    return _per_doc(X.tfidf_by_join(held_out, _vocab(spark, sf_dir), RECORD_ID, max_broadcast_rows=0))
+    vocab = _vocab(spark, sf_dir)
+    return _per_doc(X.tfidf_by_join(held_out, vocab, RECORD_ID, max_broadcast_rows=0), vocab.size)
 
 
 @query(Q.with_(Q.vocab_ctes(MAX_FEATURES), """
