@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import text as T
 from labelloom.operators.prepare import all_present
-from labelloom.scale.ordering import ordered_index
 from labelloom.schema import NARRATIVE, RECORD_ID, REQUIRED_COLUMNS, SPLITS, require_columns
+from labelloom.sources.csv_records import read_csv_records
 
 # Markers that a raw CSV file uses for a missing value besides the empty field.
 CSV_MISSING = [
@@ -34,20 +34,15 @@ def _missing_to_null(df: DataFrame) -> DataFrame:
 def read_complaints(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """Raw complaints with a unique ``record_id`` in source order; raises when a required column is absent.
 
-    Parquet tables bring their own ``record_id``. CSV rows are strings with quoted line breaks, so a
-    file is one task; its rows are numbered in file order and the numbered table is staged once.
+    Parquet tables bring their own ``record_id``. CSV rows are strings with quoted line breaks; every split of a
+    file is a task (see :mod:`labelloom.sources.csv_records`), and rows are numbered in the order of paths and lines.
     """
     if file_format == "parquet":
         return require_columns(spark.read.parquet(path), [RECORD_ID, *REQUIRED_COLUMNS])
     if file_format != "csv":
         raise ValueError("file_format must be 'parquet' or 'csv'")
-    raw = require_columns(_csv(spark, path), REQUIRED_COLUMNS)
-    names = raw.columns
-    placed = raw.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line")
-    )
-    numbered = ordered_index(placed, [F.col("_file"), F.col("_line")], RECORD_ID)
-    return _missing_to_null(numbered.select(RECORD_ID, *names))
+    names = require_columns(_csv(spark, path), REQUIRED_COLUMNS).columns
+    return _missing_to_null(read_csv_records(spark, path, names, RECORD_ID))
 
 
 def read_split(
