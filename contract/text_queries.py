@@ -88,7 +88,7 @@ grams AS (
 )
 SELECT term, count(DISTINCT doc_id) AS df, CAST(sum(n) AS BIGINT) AS cf FROM grams GROUP BY term""")
 def char_wb_ngrams(spark, sf_dir):
-    docs = complaints(spark, sf_dir).select(T.char_wb_ngrams(_text(), 3, 5).alias("terms"))
+    docs = complaints(spark, sf_dir).select(T.char_wb_counts(_text(), 3, 5).alias("terms"))
     return X.term_stats(docs)
 
 

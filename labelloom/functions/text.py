@@ -108,8 +108,8 @@ def word_ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     return bind(tokens, grams)
 
 
-def char_wb_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams inside space-padded words; a padded word shorter than ``low`` counts once."""
+def _padded_grams(low: int, high: int) -> Callable[[Column], Column]:
+    """Character n-grams of one padded word; one shorter than ``low`` counts once."""
 
     def windows(word: Column, n: int) -> Column:
         return F.when(
@@ -123,9 +123,56 @@ def char_wb_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
         short = F.when(F.length(word) < low, F.array(word)).otherwise(F.array().cast("array<string>"))
         return F.concat(short, *[windows(word, n) for n in range(low, high + 1)])
 
-    words = F.filter(F.split(text_key(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    return F.flatten(F.transform(padded, grams))
+    return grams
+
+
+def _key_words(text: Column) -> Column:
+    return F.filter(F.split(text_key(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
+
+
+def char_wb_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
+    """Character n-grams inside space-padded words; a padded word shorter than ``low`` counts once."""
+    padded = F.transform(_key_words(text), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded, _padded_grams(low, high)))
+
+
+def char_wb_counts(text: Column, low: int = 3, high: int = 5) -> Column:
+    """Distinct :func:`char_wb_ngrams` of one row with their counts, as ``array<struct<term, tf>>``.
+
+    Words are counted first, so n-grams are made of distinct words only and carry the word's count.
+    """
+    grams = _padded_grams(low, high)
+    weighted = F.flatten(
+        F.transform(
+            term_counts(_key_words(text)),
+            lambda w: F.transform(
+                grams(F.concat(F.lit(" "), w["term"], F.lit(" "))), lambda g: F.struct(g.alias("term"), w["tf"].alias("tf"))
+            ),
+        )
+    )
+
+    def summed(ordered: Column) -> Column:
+        total = F.size(ordered)
+        starts = F.filter(
+            F.sequence(F.lit(0), total - 1),
+            lambda i: (i == 0) | (F.get(ordered, i)["term"] != F.get(ordered, i - 1)["term"]),
+        )
+        return bind(
+            starts,
+            lambda first: F.transform(
+                first,
+                lambda at, j: F.struct(
+                    F.get(ordered, at)["term"].alias("term"),
+                    F.aggregate(
+                        F.slice(ordered, at + 1, F.coalesce(F.get(first, j + 1), total) - at),
+                        F.lit(0).cast("long"), lambda acc, x: acc + x["tf"],
+                    ).alias("tf"),
+                ),
+            ),
+        )
+
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return bind(F.sort_array(weighted), lambda w: F.when(F.size(w) > 0, summed(w)).otherwise(empty))
 
 
 def term_counts(terms: Column) -> Column:

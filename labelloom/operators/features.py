@@ -103,15 +103,17 @@ def shared_slots(vocab: TermVocabulary) -> tuple[TermVocabulary, int]:
 def term_stats(docs: DataFrame, terms: str = "terms", id_column: str | None = None) -> DataFrame:
     """Document and corpus frequency of every term.
 
-    Terms are counted inside each row first, so the one shuffle is on the term, after partial sums;
-    a term found in every document costs one row per task. With ``id_column`` (unique per row) a term also gets
+    Terms are counted inside each row first (or come counted, as (term, tf)), so the one shuffle is on the term, after
+    partial sums; a term found in every document costs one row per task. With ``id_column`` (unique per row) a term also gets
     ``mark_high`` and ``mark_low``, sums over its rows of the halves of a hash of (id, tf): terms with equal marks stand in the
     same rows, equally often in each.
     """
+    is_counted = dict(docs.dtypes)[terms].startswith("array<struct<")
+    counts = F.col(terms) if is_counted else T.term_counts(F.col(terms))
     if id_column is None:
-        counted, marks = docs.select(F.inline(T.term_counts(F.col(terms)))), []
+        counted, marks = docs.select(F.inline(counts)), []
     else:
-        counted = docs.select(F.col(id_column).alias("_id"), F.inline(T.term_counts(F.col(terms))))
+        counted = docs.select(F.col(id_column).alias("_id"), F.inline(counts))
         counted = counted.select("term", "tf", F.xxhash64("_id", "tf").alias("_mark"))
         marks = [
             F.sum(F.shiftrightunsigned("_mark", 32)).alias("mark_high"),
