@@ -101,15 +101,6 @@ def test_ngram_ranges(spark):
     assert values(spark, lambda t: T.char_wb_ngrams(t, 4, 5), ["a"]) == [[" a "]]
 
 
-def test_weighted_character_counts_equal_counted_lists(spark):
-    texts = ["an apple an apple ana", "", None, "a", "  Xx xx\tXX é éé ", "no", "word " * 40 + "sword words"]
-    lists = values(spark, lambda t: T.char_wb_ngrams(t, 3, 5), texts)
-    counts = values(spark, lambda t: T.char_wb_counts(t, 3, 5), texts)
-    for grams, found in zip(lists, counts):
-        told = [(r["term"], r["tf"]) for r in found]
-        assert told == sorted(told) and dict(told) == {g: grams.count(g) for g in set(grams)} and len(told) == len(set(grams))
-
-
 def test_pattern_share_counts_null_as_no_match(spark):
     df = spark.createDataFrame([("XXX",), ("abc",), (None,), ("XX",)], "t string")
     assert df.agg(T.pattern_share(F.col("t"), T.ANON_PATTERN)).first()[0] == 0.25
