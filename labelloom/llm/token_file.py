@@ -62,12 +62,7 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         fits = narrow[: len(narrow) - count + 1][narrow[count - 1 :] - narrow[: len(narrow) - count + 1] == count - 1]
         selector[fits], step[fits] = code, count
-    taken = []
-    at, steps = 0, step.tolist()
-    while at < n:
-        taken.append(at)
-        at += steps[at]
-    taken = np.array(taken, dtype=np.int64)
+    taken = _walk(step)
     chosen = selector[taken]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(60, dtype=np.uint64)]).astype(np.uint64)
@@ -87,6 +82,24 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, raw
 
 
+def _walk(step: np.ndarray) -> np.ndarray:
+    """Places met when going from 0 by ``step`` to the end: every eighth one by one, those between by composed steps."""
+    n = len(step)
+    after = np.append(np.minimum(np.arange(n) + step, n), n)
+    twice = after[after]
+    fourth = twice[twice]
+    eighth = memoryview(fourth[fourth])
+    met, at = [], 0
+    while at < n:
+        met.append(at)
+        at = eighth[at]
+    places = np.array(met, dtype=np.int64)[:, None]
+    for hop in (fourth, twice, after):
+        places = np.stack([places, hop[places]], axis=2).reshape(len(places), -1)
+    places = places.ravel()
+    return places[places < n]
+
+
 def decode_ids(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     """The first ``n`` ids of a run of words; ``escapes`` holds the places of raw words."""
     coded = np.ones(len(words), dtype=bool)
@@ -160,9 +173,9 @@ class PieceTokenizer:
     """Ids of whole texts by the tokenizers library, encoding every distinct piece once while it stays cached.
 
     A byte-level tokenizer never joins text across a single space between two other characters, so the pieces
-    between such spaces, each with its leading space, can be encoded alone. It also never joins a letter with
-    the stop or comma after it, or anything with a single line feed between two other characters, so pieces
-    are cut there too before they are looked up. New pieces of many texts are encoded in one string
+    between such spaces, each with its leading space, can be encoded alone. It also never joins a letter
+    or digit with the stop or comma after it, or anything with a single line feed between two other characters, so
+    texts, or else the single pieces, are cut there too before they are looked up. New pieces of many texts are encoded in one string
     and told apart by the leading space of their first id; pieces without one are encoded one by one.
     An added token is one id wherever its content stands, so texts that hold one are encoded whole, without the cache.
     """
@@ -170,6 +183,7 @@ class PieceTokenizer:
     GENERATION = 600_000  # pieces in either half of the cache; the older half is dropped when the newer is full
     _OTHER_SPACE = re.compile(r"[^\S \n]")
     _GAP = re.compile(r"(?<=\S) (?=\S)")
+    _OTHER_STOP = re.compile(r"[.,](?<![^\W_][.,])(?:[ \n]|\Z)")  # one that ends a piece and follows no letter or digit
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -209,7 +223,14 @@ class PieceTokenizer:
         if pairs or text[0].isspace() or text[-1].isspace() or self._OTHER_SPACE.search(text):
             parts = self._GAP.split(text)
             return [parts[0], *(" " + p for p in parts[1:])]
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+        if "\0" in text:
+            return [text]
+        marked = text.replace(" ", "\0 ")
+        if "\n\n" not in text:
+            marked = marked.replace("\n", "\0\n\0")
+            if not self._OTHER_STOP.search(text):
+                return (marked + "\0").replace(",\0", "\0,\0").replace(".\0", "\0.\0").split("\0")[:-1]
+        return marked.split("\0")
 
     def _cut(self, piece: str) -> list[str]:
         """The piece as parts that the tokenizer never joins."""
