@@ -15,8 +15,8 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for staged tables: below ``spark.checkpoint.dir``, which every executor must be able to reach."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for staged tables: below ``spark.checkpoint.dir``, else the context's checkpoint folder; every executor must reach it."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     return f"{configured.rstrip('/')}/labelloom-{spark.sparkContext.applicationId}"
@@ -24,8 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def ensure_shared_dir(spark: SparkSession) -> None:
     """Set a shared folder where none is set and driver and executors are one process, as in tests; else leave it."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="labelloom-"))
+    unset = not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+    if unset and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="labelloom-"))
 
 
 def stage(df: DataFrame, label: str, schema: StructType | None = None) -> DataFrame:
@@ -42,7 +43,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete everything this application staged, once its results have been consumed."""
-    if spark.conf.get("spark.checkpoint.dir", None):
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         _delete(spark, shared_dir(spark))
 
 
@@ -62,9 +63,10 @@ class StagingScope:
         """Delete a table that nothing reads any more."""
         _delete(self.spark, f"{self.folder}/{label}")
 
-    def release(self, label: str) -> None:
-        """Delete a table, and ask the driver's JVM to let go of what finished jobs left, so that Spark removes their shuffle files."""
-        self.drop(label)
+    def release(self, *labels: str) -> None:
+        """Delete tables, and ask the driver's JVM to let go of what finished jobs left, so that Spark removes their shuffle files."""
+        for label in labels:
+            self.drop(label)
         self.spark._jvm.System.gc()
 
     def clear(self) -> None:
