@@ -3,8 +3,8 @@
 ``members`` (sig, node) holds a row for every signature of every node; nodes that share one are candidates.
 Links are looked for in two rounds:
 
-1. One member of each signature is its hub. Every node is tried against one hub of its signatures, so a
-   group of m near copies costs m tries. Verified links are merged into components. This is repeated with other hubs
+1. One member of each signature is its hub. Every node is tried against one hub, that with which it shares most
+   signatures, so a group of m near copies costs m tries. Verified links are merged into components. This is repeated with other hubs
    for the signatures that still hold several components.
 2. Members of one signature that are still in different components are compared inside the join itself:
    its condition holds the size rule and the parity-sketch bound, and lets through only pairs which may be
@@ -17,18 +17,20 @@ between nodes that share a signature.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.shingles import SKETCH_WORDS, WordHashes, shingle_set, word_hashes, words_of
+from labelloom.llm.shingles import SKETCH_WORDS, WordHashes, parity_sketch, shingle_set, word_hashes, words_of
 from labelloom.llm.components import connected_components
 from labelloom.scale.staging import StagingScope
 
 MAX_KEPT_SETS = 200
 HUB_TURNS = 2
+SLICES = 4  # parts of the signature space that are shuffled one after another
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
@@ -56,22 +58,17 @@ def similar_components(
     ``texts_of(ids)`` gives (node, text) of the asked nodes; a set holds the ``width``-word shingles of its text.
     """
     by_sig = Window.partitionBy("sig")
-    shared = scope.stage(
-        members.select("sig", "node", F.min("node").over(by_sig).alias("hub"), F.max("node").over(by_sig).alias("top"))
-        .filter(F.col("hub") != F.col("top"))
-        .select("sig", "node", "hub"),
-        f"{label}-shared",
-    )
+    slices = [f"{label}-shared-{i}" for i in range(SLICES)]
+    shared = _shared(members, scope, slices)
     scope.release("signed")  # the signatures were read; what else is needed stands in other tables
     alias = nodes.select("node", "same_as")
-    pairs = shared.filter(F.col("node") != F.col("hub")).select("hub", "node").distinct()
+    pairs = shared.filter(F.col("node") != F.col("hub")).groupBy("hub", "node").agg(F.count("*").alias("shared"))
     pairs = (
         pairs.join(alias, "node")
-        .select("hub", F.col("same_as").alias("x"))
+        .select("hub", F.col("same_as").alias("x"), "shared")
         .join(alias.withColumnRenamed("node", "hub"), "hub")
-        .select(F.col("same_as").alias("a"), F.col("x").alias("b"))
+        .select(F.col("same_as").alias("a"), F.col("x").alias("b"), "shared")
         .filter(F.col("a") != F.col("b"))
-        .distinct()
     )
     unique = nodes.filter(F.col("node") == F.col("same_as")).select("node", "n", *SKETCH)
     links = _from_hubs(pairs, unique, texts_of, width, num, den, scope, f"{label}-hub")
@@ -82,15 +79,15 @@ def similar_components(
     links = links.unionByName(tied.filter(F.col("a") != F.col("b")).distinct())
     labels = connected_components(links, scope, f"{label}-first")
     mixed = _mixed(shared.join(alias, "node").select("sig", F.col("same_as").alias("node")), labels, scope, f"{label}-mixed-0")
-    scope.release(f"{label}-shared")
+    scope.release(*slices)
     for turn in range(1, HUB_TURNS + 1):
         if mixed.isEmpty():
             return labels
         hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).over(by_sig)
         pairs = mixed.withColumn("hub", hub).filter(F.col("component") != F.col("hub.component")).select(
-            F.col("hub.node").alias("a"), F.col("node").alias("b")
+            F.col("hub.node").alias("a"), F.col("node").alias("b"), F.lit(1).alias("shared")
         )
-        more = _from_hubs(pairs.distinct(), unique, texts_of, width, num, den, scope, f"{label}-hub-{turn}")
+        more = _from_hubs(pairs, unique, texts_of, width, num, den, scope, f"{label}-hub-{turn}")
         if more.isEmpty():
             break  # other hubs would hardly find more; the last join looks at all that is left
         links = links.unionByName(more)
@@ -107,10 +104,25 @@ def similar_components(
         & may_link("p", "q", num, den, SKETCH)
     )
     tried = p.join(q, apart).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    more = _verified(tried, texts_of, width, num, den, scope, f"{label}-rest")
+    more = _verified(tried, texts_of, width, num, den, scope, f"{label}-rest", sketched=True)
     return connected_components(links.unionByName(more), scope, f"{label}-last")
 
 
+def _shared(members: DataFrame, scope: StagingScope, labels: list[str]) -> DataFrame:
+    """(sig, node, hub) of the signatures of more than one node, the signature space cut into a slice per label.
+
+    Signatures are many more than those shared, so no more than a slice of them lies in shuffle files at a time.
+    """
+    by_sig = Window.partitionBy("sig")
+    found = []
+    for i, label in enumerate(labels):
+        part = members.filter(F.pmod("sig", F.lit(len(labels))) == i)
+        ends = part.select("sig", "node", F.min("node").over(by_sig).alias("hub"), F.max("node").over(by_sig).alias("top"))
+        found.append(scope.stage(ends.filter(F.col("hub") != F.col("top")).select("sig", "node", "hub"), label))
+        scope.release()
+    return reduce(DataFrame.unionByName, found)
+
+
 def _mixed(members: DataFrame, labels: DataFrame, scope: StagingScope, label: str) -> DataFrame:
     """(sig, node, component) of the signatures whose members are in several components. Rows are narrow."""
     by_sig = Window.partitionBy("sig")
@@ -136,20 +148,22 @@ def _from_hubs(
     scope: StagingScope,
     label: str,
 ) -> DataFrame:
-    """Links among pairs (a hub, b node); of its hubs, each node is tried against the one whose sketch is nearest."""
-    near = _sketched(pairs, unique, num, den)
-    nearest = near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    return _verified(nearest, texts_of, width, num, den, scope, label)
+    """Links among pairs (a hub, b node, signatures shared); each node is tried against the hub it shares most with.
+
+    That is chosen before sketches are joined, so these move once a node.
+    """
+    votes = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    best = votes.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    return _verified(_sketched(best, unique, num, den), texts_of, width, num, den, scope, label)
 
 
 def _sketched(pairs: DataFrame, unique: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that the full sketches let through, with the number of bits in which these differ."""
-    apart = sum((F.bit_count(F.col(f"p.{s}").bitwiseXOR(F.col(f"q.{s}"))) for s in SKETCH), F.lit(0))
+    """The pairs (a, b) that the full sketches let through."""
     return (
         pairs.join(unique.alias("p"), F.col("a") == F.col("p.node"))
         .join(unique.alias("q"), F.col("b") == F.col("q.node"))
         .filter(may_link("p", "q", num, den, SKETCH))
-        .select("a", "b", apart.alias("apart"))
+        .select("a", "b")
     )
 
 
@@ -161,20 +175,67 @@ def _verified(
     den: int,
     scope: StagingScope,
     label: str,
+    sketched: bool = False,
 ) -> DataFrame:
-    """The pairs (a, b) whose sets have exact Jaccard >= num / den. Texts travel rather than sets: they compress."""
+    """The pairs (a, b) whose sets have exact Jaccard >= num / den. Texts travel rather than sets: they compress.
+
+    A sketch of fixed length tells nothing about sets much larger than it. With ``sketched``, pairs are first tried by
+    sketches as long as their sets need, so that texts travel for few pairs only.
+    """
     pairs = scope.stage(pairs, f"{label}-tried")
     ids = scope.stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}-ids")
     texts = scope.stage(texts_of(ids), f"{label}-texts")
     kinds = texts.select("node", F.xxhash64("text").alias("kind"))
     if kinds.count() > kinds.distinct().count():  # repeated rows of the input
         texts = scope.stage(texts.dropDuplicates(["node", "text"]), f"{label}-single-texts")
+        scope.drop(f"{label}-texts")
+    if sketched:
+        long = scope.stage(texts.mapInArrow(_sketching(width), "node long, n long, sketch binary"), f"{label}-sketches")
+        near = pairs.join(long.toDF("a", "n_a", "sketch_a"), "a").join(long.toDF("b", "n_b", "sketch_b"), "b")
+        near = near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        pairs = scope.stage(near.mapInArrow(_near(num, den), "a long, b long").distinct(), f"{label}-near")
     compared = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
         .select("a", "b", "left", "right")
     )
-    return scope.stage(compared.mapInArrow(_linking(width, num, den), "a long, b long"), f"{label}-links")
+    links = scope.stage(compared.mapInArrow(_linking(width, num, den), "a long, b long"), f"{label}-links")
+    scope.release(*(f"{label}-{part}" for part in ("tried", "ids", "texts", "single-texts", "sketches", "near")))
+    return links
+
+
+def _sketching(width: int):
+    """From (node, text) to (node, size of its set, parity sketch of at least as many bits)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(word_hashes(words_of(t), cache), width) for t in batch.column(1).to_pylist()]
+            sketches = [parity_sketch(s, max(SKETCH_WORDS, 1 << max(len(s) - 1, 0).bit_length() >> 6)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary())],
+                names=["node", "n", "sketch"],
+            )
+
+    return made
+
+
+def _near(num: int, den: int):
+    """Keeps the pairs that sizes and sketches let through; the longer sketch is folded to the length of the other."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, dtype=bool)
+            n_a, n_b, left, right = (batch.column(i).to_pylist() for i in range(2, 6))
+            for i in range(batch.num_rows):
+                bits = min(len(left[i]), len(right[i]))
+                one, other = (np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, bits)) for x in (left[i], right[i]))
+                apart = int(np.bitwise_count(one ^ other).sum())
+                fair = n_a[i] * den >= n_b[i] * num and n_b[i] * den >= n_a[i] * num
+                kept[i] = fair and apart * (den + num) <= (n_a[i] + n_b[i]) * (den - num)
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    return near
 
 
 def _linking(width: int, num: int, den: int):

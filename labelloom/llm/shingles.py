@@ -68,12 +68,12 @@ def set_digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(np.int64(first)), int(np.int64(second))
 
 
-def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    """Bit j is the parity of the number of shingles that hash to j.
+def parity_sketch(shingles: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Bit j is the parity of the number of shingles that hash to j; ``words`` (a power of two) has 64 bits each.
 
     Two sketches differ in at most as many bits as the symmetric difference has members, so a pair whose
     sketches differ in more bits than the threshold allows can be left out without losing a link.
     """
-    bits = SKETCH_WORDS * 64
+    bits = words * 64
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)

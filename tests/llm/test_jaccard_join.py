@@ -87,3 +87,24 @@ def test_first_of_groups_with_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (6, "k l m n o p"), (6, "k l m n o p"), (None, ""), (None, ""), (4, None)]
     kept = first_of_groups(docs_frame(spark, rows), 80, 100, 5).collect()
     assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == [(0, ""), (0, "a b c d e f"), (4, ""), (6, "k l m n o p")]
+
+
+def test_sketches_grow_with_their_sets_and_lose_no_link():
+    import pyarrow as pa
+
+    from labelloom.llm import linking
+
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 50_000, 9_000)]
+    close = [w if i % 200 else "other" for i, w in enumerate(base)] + [f"x{i}" for i in range(300)]
+    strange = [f"v{i}" for i in rng.integers(0, 50_000, 8_000)]
+    texts = [" ".join(base), " ".join(close), " ".join(strange), "a few words that stand in no other text", ""]
+    batch = pa.record_batch([pa.array(range(5)), pa.array(texts)], names=["node", "text"])
+    made = next(linking._sketching(5)(iter([batch]))).to_pydict()
+    assert [len(s) * 8 for s in made["sketch"]] == [16_384, 16_384, 8_192, 1_024, 1_024]
+    pairs = [(0, 1), (0, 2), (1, 2), (0, 3), (0, 0)]
+    rows = {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
+    rows |= {f"{c}_{side}": [made[c][i] for i in rows[side]] for c in ("n", "sketch") for side in "ab"}
+    order = ["a", "b", "n_a", "n_b", "sketch_a", "sketch_b"]
+    got = next(linking._near(80, 100)(iter([pa.record_batch([pa.array(rows[c]) for c in order], names=order)])))
+    assert list(zip(*got.to_pydict().values())) == [(0, 1), (0, 0)]
