@@ -132,24 +132,44 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEMPLATE_ROWS = ", ".join(
     "('{}', '{}')".format(name, text.replace("'", "''")) for name, text in license_scan.TEMPLATES.items()
 )
+_PASSAGES = " ".join(
+    f"UNION ALL SELECT doc_id, 'passage {name}', unnest(range(0, len(string_split(plain, ' {opening} ')) - 1)), "
+    f"unnest(list_transform(string_split(plain, ' {opening} ')[2:], lambda x: '{opening} ' || left(x, {chars}))) "
+    f"FROM lines WHERE contains(plain, ' {opening} ')"
+    for name, (opening, chars) in license_scan.openings(license_scan.TEMPLATES).items()
+)
+_EXACT = ", ".join(f"'{w}'" for w in license_scan.EXACT_WORDS)
 LICENSE_SQL = f"""
 WITH t AS (
-    SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+    SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g,
+           list_sort(list_intersect(w, [{_EXACT}])) AS exact
     FROM (SELECT license, regexp_extract_all(lower(body), '\\p{{L}}+') AS w FROM (VALUES {_TEMPLATE_ROWS}) AS x(license, body))
-), lines AS (
-    SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+), lines AS MATERIALIZED (
+    SELECT doc_id, text, string_split(text, chr(10)) AS parts, string_split_regex(text, '\\n(?:[ \\t\\r]*\\n)+') AS blocks,
+           ' ' || array_to_string(regexp_extract_all(lower(text), '\\p{{L}}+'), ' ') || ' ' AS plain
+    FROM documents WHERE text IS NOT NULL
 ), units AS (
-    SELECT doc_id, unnest(range(0, len(parts))) AS unit, unnest(parts) AS body FROM lines
-    UNION ALL SELECT doc_id, -1, text FROM lines WHERE len(parts) > 1
-), u AS (
-    SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-    FROM (SELECT doc_id, unit, regexp_extract_all(lower(body), '\\p{{L}}+') AS w FROM units)
+    SELECT doc_id, 'line' AS kind, unnest(range(0, len(parts))) AS unit, unnest(parts) AS body FROM lines
+    UNION ALL SELECT doc_id, 'text', -1, text FROM lines WHERE len(parts) > 1
+    UNION ALL SELECT * FROM (
+        SELECT doc_id, 'paragraph', unnest(range(0, len(blocks))), unnest(blocks) AS body FROM lines WHERE len(blocks) > 1
+    ) WHERE contains(body, chr(10))
+    {_PASSAGES}
+), u AS MATERIALIZED (
+    SELECT doc_id, kind, unit, row_number() OVER () AS n, list_sort(list_intersect(w, [{_EXACT}])) AS exact,
+           list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+    FROM (SELECT doc_id, kind, unit, regexp_extract_all(lower(body), '\\p{{L}}+') AS w FROM units)
+), pairs AS MATERIALIZED (
+    SELECT n, license
+    FROM (SELECT n, len(g) AS a, exact FROM u WHERE len(g) > 0) x JOIN (SELECT license, len(g) AS b, exact FROM t) y
+    ON 6 * a >= 4 * b AND 6 * b >= 4 * a AND x.exact = y.exact
 ), m AS (
-    SELECT doc_id, unit, license, len(list_intersect(u.g, t.g)) AS common, len(u.g) + len(t.g) AS total
-    FROM u, t WHERE len(u.g) > 0 AND len(u.g) < 1000
+    SELECT doc_id, kind, unit, n, license, len(list_intersect(u.g, t.g)) AS common, len(u.g) + len(t.g) AS total
+    FROM pairs JOIN u USING (n) JOIN t USING (license)
 )
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, license, CAST(common AS INTEGER) AS common, 2.0 * common / total AS dice
+SELECT doc_id, kind, CAST(unit AS INTEGER) AS unit, license, CAST(common AS INTEGER) AS common, 2.0 * common / total AS dice
 FROM m WHERE 2 * common * 5 >= total * 4
+QUALIFY 2.0 * common / total = max(2.0 * common / total) OVER (PARTITION BY n)
 """
 
 
