@@ -145,6 +145,35 @@ def test_a_fit_that_starts_at_its_end_takes_no_step(spark):
     assert again.steps[0] == 0 and again.converged.all()
 
 
+def test_a_step_writes_one_row_a_part_whatever_the_rows(spark, monkeypatch):
+    cut(monkeypatch, True, True)
+    data = rows(5, 250, 30, 3)
+    y = np.array([r[0] for r in data])
+    problem = problem_of(3, [1.0], [np.ones(3)], y, L.Models())
+    layout = L.Layout.of(30, 3)
+    blocks = StagingScope(spark, "t").stage(L.pack(frame(spark, data), layout), "blocks")
+    written, plain = [], StagingScope.stage
+
+    def stage(self, df, label):
+        written.append(plain(self, df, label).count())
+        return spark.read.schema(df.schema).parquet(f"{self.folder}/{label}")
+
+    monkeypatch.setattr(StagingScope, "stage", stage)
+    fit = L.fit(blocks, layout, problem, 1e-3, 6)
+    assert blocks.count() > layout.parts + 1 and fit.steps[0] > 1
+    assert set(written) == {layout.parts + 1}
+
+
+def test_sparse_products_equal_dense_ones():
+    rng = np.random.default_rng(1)
+    key = np.sort(np.minimum(rng.geometric(0.03, 4_000), 300) - 1)
+    source, value, table = rng.integers(0, 50, 4_000), rng.random(4_000), rng.random((50, 7))
+    plain, found = np.zeros((300, 7)), np.zeros((300, 7))
+    np.add.at(plain, key, value[:, None] * table[source])
+    L._add_products(found, key, source, value, table)
+    assert np.allclose(found, plain, atol=1e-10)
+
+
 def test_extreme_margins_do_not_overflow():
     p, log_total = L.softmax(np.array([[1000.0, -1000.0], [0.0, 0.0]]))
     assert np.allclose(p, [[1, 0], [0, 1]]) and np.allclose(log_total, [1000, 0])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelloom.operators import evaluate as E
 from labelloom.operators import experiments as EX
 from labelloom.operators import features as X
+from labelloom.operators import linear as L
 from labelloom.operators import model as M
 from labelloom.schema import NARRATIVE
 
@@ -197,6 +198,17 @@ def test_random_search(splits):
     assert [r["state"] for r in late] == ["NOT_RUN"] * 3
 
 
+def test_models_in_groups_end_where_models_together_do(splits, monkeypatch):
+    args = {"space": {"min_df": [1, 2], "max_df": [1.0]}, "base": {"max_iter": 60, "ngram_range": (1, 1)}, "rungs": (2,)}
+    told = ("trial_number", "state", "macro_f1", "accuracy", "n_features", "rung")
+    together = [[r[k] for k in told] for r in EX.random_search(splits, 5, **args).collect()]
+    vectors, plain = [], L.fit
+    monkeypatch.setattr(L, "GROUP_BYTES", 1)
+    monkeypatch.setattr(L, "fit", lambda blocks, layout, *more: vectors.append(layout.columns) or plain(blocks, layout, *more))
+    assert [[r[k] for k in told] for r in EX.random_search(splits, 5, **args).collect()] == together
+    assert set(vectors) == {3} and len(vectors) > 2  # one model of three classes at a time
+
+
 def test_bad_settings_are_not_a_failed_trial(splits):
     with pytest.raises(ValueError, match="analyzer"):
         EX.random_search(splits, 1, base={"analyzer": "letters"})
