@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -155,3 +158,26 @@ def test_class_weights(spark):
     raw = {"a": 9 / 18, "b": 9 / 6, "c": 9 / 3}
     mean = sum(raw.values()) / 3
     assert got == pytest.approx({k: min(v / mean, 1.5) for k, v in raw.items()})
+
+
+def test_a_batch_of_many_terms_is_weighed_in_bounded_memory(spark):
+    class Sent:
+        value = np.arange(1_000, dtype=np.int64), np.arange(1_000, dtype=np.int32), np.linspace(1.0, 3.0, 1_000)
+
+    weigh = X._weigher(Sent).func
+    rng = np.random.default_rng(2)
+    lists = pa.array([*[rng.integers(0, 2_000, 4_000) for _ in range(1_000)], None, []], pa.list_(pa.int64()))
+    tracemalloc.start()
+    got = weigh(lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20  # 4 million terms
+    for i in (0, 999, 1_000, 1_001):
+        assert got.slice(i, 1).to_pylist() == weigh(lists.slice(i, 1)).to_pylist()
+
+
+def test_term_stats_count_repeats_and_sort_nothing(spark):
+    docs = spark.createDataFrame([(["b", "a", "b"],), (["a"],), ([],), (None,)], "terms array<string>")
+    stats = X.term_stats(docs)
+    assert sorted(map(tuple, stats.collect())) == [("a", 2, 2), ("b", 1, 2)]
+    assert "sort_array" not in stats._jdf.queryExecution().optimizedPlan().toString()
