@@ -32,6 +32,7 @@ UNKNOWN = "und"
 _CALIBRATE = 5  # every fifth document of the sample calibrates the rejection instead of the counts
 _CHUNK = 400
 _MAX_CACHED = 400_000
+_NEW_WORDS = 2_000  # words scored at a time: each holds some tables of (letters x languages)
 _SURE_CHARS, _EVEN_CHARS = 40, 400
 _START, _END = "\x02", "\x03"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -172,8 +173,8 @@ class Scorer:
         new = list({w for own in words for w in own if w not in self.index})
         if len(self.index) + len(new) > _MAX_CACHED:
             self.index, new = {}, list({w for own in words for w in own})
-        for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
+        for low in range(0, len(new), _NEW_WORDS):
+            part = new[low : low + _NEW_WORDS]
             need = len(self.index) + len(part)
             if need > len(self.rows):
                 grown = np.empty((2 * need, self.rows.shape[1]), dtype=np.float32)
@@ -323,5 +324,19 @@ def identify_languages(
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns and values as they were."""
     identifier = fit_languages(docs, id_col, text_col, lang_col)
-    told = identify_languages(docs.select(F.col(text_col).alias("text"), whole_row(docs)), identifier, text_col="text", keep=["row"])
-    return told.filter(~F.col("rejected")).select("row.*")
+    own = [c.lower() for c in docs.columns].index(text_col.lower())
+    if docs.dtypes[own][1] != "string":
+        told = identify_languages(docs.select(F.col(text_col).alias("text"), whole_row(docs)), identifier, text_col="text", keep=["row"])
+        return told.filter(~F.col("rejected")).select("row.*")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole rows in, those not rejected out: a text leaves the JVM once, inside its row."""
+        scorer = Scorer(identifier.models)
+        for batch in batches:
+            for low in range(0, batch.num_rows, _CHUNK):
+                part = batch.slice(low, _CHUNK)
+                _, _, rejected = identifier.predict(scorer, part.column(0).field(own).to_pylist())
+                yield part.filter(pa.array(~rejected))
+
+    rows = docs.select(whole_row(docs))
+    return rows.mapInArrow(kept, rows.schema).select("row.*")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -113,3 +114,23 @@ def test_rejected_rows_go_and_columns_stay(spark):
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert ids >= {i for i, _, _ in corpus()} and not ids & {900, 901, 902, 903, 905}
+
+
+def test_new_words_are_scored_in_bounded_memory():
+    rng = random.Random(4)
+    words = [" ".join("".join(rng.choices("abcdefghijklmnopqrst", k=8)) for _ in range(n)) for n in (300, 20_000)]
+    scorer = L.Scorer(L.LanguageModels({lang: dict(L.gram_counts(Counter(words[0].split()))) for lang in ("aa", "bb", "cc", "dd")}))
+    tracemalloc.start()
+    scorer.entropies([words[1]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 << 20
+
+
+def test_a_text_leaves_the_jvm_once(spark):
+    docs = docs_frame(spark, corpus(120))
+    kept = L.keep_identified(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "_text" not in plan and "MapInArrow" in plan
+    told = L.identify_languages(docs, L.fit_languages(docs)).filter("not rejected")
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in told.select("doc_id").collect())
