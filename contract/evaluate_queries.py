@@ -10,15 +10,13 @@ from contract import sql as Q
 from contract.registry import query
 from contract.tables import (
     frequency_groups,
+    labelled,
     mean_class_size,
     pairs,
     predictions,
     shared,
-    split_of,
-    splits,
     table,
     tail,
-    train_rows,
 )
 from labelloom.functions import scores as SC
 from labelloom.operators import evaluate as E
@@ -241,7 +239,7 @@ QUALIFY row_number() OVER (PARTITION BY focus_class ORDER BY score {direction},
 
 def _sampled(fn, name, spark, sf_dir):
     labels = shared(spark, sf_dir).labels
-    rows = fn(predictions(spark, sf_dir), worst_tail(spark, sf_dir), labels, RECORD_ID, NARRATIVE)
+    rows = fn(predictions(spark, sf_dir, text=True), worst_tail(spark, sf_dir), labels, RECORD_ID, NARRATIVE)
     return rows.withColumns({c: F.round(c, 6) for c in ("pred_confidence", name)})
 
 
@@ -280,8 +278,8 @@ majority AS (
 @query(Q.with_(Q.PREPARED + _MAJORITY, """
 SELECT record_id, category AS y_true, (SELECT category FROM majority) AS y_pred FROM prepared WHERE split = 'test'"""))
 def majority_baseline(spark, sf_dir):
-    rows = split_of(spark, sf_dir, "test").select(RECORD_ID, F.col("category").alias("y_true"))
-    return M.majority_baseline(train_rows(spark, sf_dir), rows)
+    rows = labelled(spark, sf_dir, "test").select(RECORD_ID, F.col("category").alias("y_true"))
+    return M.majority_baseline(labelled(spark, sf_dir, "train"), rows)
 
 
 @query(Q.with_(Q.METRICS + _MAJORITY + """,
@@ -306,8 +304,8 @@ def model_comparison(spark, sf_dir):
     """Records read from JSON files: a flat one, a nested one, one without two metrics, an empty one and one that is not there."""
     folder = f"{shared_dir(spark)}/records-{uuid4().hex}"
     stored = E.summary_metrics(pairs(spark, sf_dir))
-    rows = splits(spark, sf_dir).select(F.col("category").alias("y_true"))
-    majority = E.summary_metrics(E.confusion_pairs(M.majority_baseline(train_rows(spark, sf_dir), rows)))
+    rows = labelled(spark, sf_dir).select(F.col("category").alias("y_true"))
+    majority = E.summary_metrics(E.confusion_pairs(M.majority_baseline(labelled(spark, sf_dir, "train"), rows)))
     W.write_metadata(stored, f"{folder}/scores.json")
     W.write_metadata(majority.select(F.struct(F.struct("*").alias("test")).alias("run")), f"{folder}/baseline.json")
     W.write_metadata(stored.select("accuracy", F.lit("text").alias("note")), f"{folder}/partial.json")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from labelloom.operators import prepare as P
 from labelloom.operators import split as S
 from labelloom.plans.slice import PreparedSlice, prepare
-from labelloom.schema import FINAL_COLUMNS
+from labelloom.schema import FINAL_COLUMNS, NARRATIVE
 from tests.conftest import SCHEMA, long_text
 
 
@@ -203,3 +203,15 @@ def test_unseen_labels(spark):
     assert sorted(map(tuple, S.unseen_labels(df).collect())) == [("test", "b", 1), ("val", "b", 1)]
     with pytest.raises(ValueError, match="b"):
         S.assert_labels_seen(df)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_labels_of_prepared_rows_need_no_text_in_a_shuffle(mixed, monkeypatch, small):
+    monkeypatch.setattr("labelloom.plans.slice.fits_broadcast", lambda table: small)
+    prepared = PreparedSlice(mixed)
+    narrow, whole = prepared.labelled(), prepared.split_rows()
+    assert sorted(narrow.collect()) == sorted(whole.select(*narrow.columns).collect()) and narrow.count() > 10
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Project" in line and NARRATIVE in line for line in plan.splitlines())
+    joined = whole._jdf.queryExecution().sparkPlan().toString()
+    assert ("ShuffledHashJoin" in joined) != small and "SortMergeJoin" not in joined
