@@ -164,6 +164,26 @@ def test_a_step_writes_one_row_a_part_whatever_the_rows(spark, monkeypatch):
     assert set(written) == {layout.parts + 1}
 
 
+def test_a_step_takes_one_pass_over_the_rows_and_steps_are_few(spark, monkeypatch):
+    cut(monkeypatch, True, True)
+    data = rows(6, 250, 60, 4)
+    y = np.array([r[0] for r in data])
+    problem = problem_of(4, [3.0], [np.linspace(0.5, 2, 4)], y, L.Models())
+    layout = L.Layout.of(60, 4)
+    blocks = StagingScope(spark, "t").stage(L.pack(frame(spark, data), layout), "blocks")
+    passes, plain = [], L._joined
+
+    def joined(blocks, vectors, layout, carry):
+        passes.append(len(vectors.columns) - 1)
+        return plain(blocks, vectors, layout, carry)
+
+    monkeypatch.setattr(L, "_joined", joined)
+    fit = L.fit(blocks, layout, problem, 1e-3, 100)
+    assert fit.converged.all() and sum(passes) <= 1.5 * fit.steps[0]  # products of the rows with a vector
+    zero = L.fit(blocks, layout, problem, 1e-3, 0)
+    assert fit.loss[0] < zero.loss[0] and np.isclose(zero.loss[0], np.log(4))
+
+
 def test_sparse_products_equal_dense_ones():
     rng = np.random.default_rng(1)
     key = np.sort(np.minimum(rng.geometric(0.03, 4_000), 300) - 1)
