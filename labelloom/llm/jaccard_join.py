@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.linking import SKETCH, similar_components
 from labelloom.llm.rows import whole_row
-from labelloom.llm.shingles import WordHashes, mixed, parity_sketch, set_digest, shingle_set, word_hashes, words_of
+from labelloom.llm.shingles import TextWords, mixed, parity_sketches, set_digests, some_texts
 from labelloom.scale.joins import lookup_join
 from labelloom.scale.staging import StagingScope
 
@@ -99,29 +99,24 @@ def _profiles(width: int, num: int, den: int):
     names = ["node", "n", "d0", "d1", *SKETCH, "sigs"]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, enum, seen = WordHashes(), PartEnum(num, den), set()
+        enum, seen = PartEnum(num, den), set()
         for batch in batches:
-            rows = batch.num_rows
-            fixed = np.zeros((rows, 3 + len(SKETCH)), dtype=np.int64)
-            sigs, ends = [], np.zeros(rows + 1, dtype=np.int64)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                shingles = shingle_set(word_hashes(words_of(text), cache), width)
-                if len(shingles):
-                    digest = set_digest(shingles)
-                    fixed[i, :3] = len(shingles), *digest
-                    fixed[i, 3:] = parity_sketch(shingles)
-                    if digest not in seen:
+            for part, texts in some_texts(batch, 1):
+                shingles, sizes = TextWords(texts).shingle_sets(width)
+                digests, ends = set_digests(shingles, sizes), np.cumsum(sizes)
+                sigs, lengths = [], np.zeros(len(texts), dtype=np.int64)
+                for i, digest in enumerate(map(tuple, digests.tolist())):
+                    if sizes[i] and digest not in seen:
                         if len(seen) >= MAX_SEEN_SETS:
                             seen.clear()
                         seen.add(digest)
-                        sigs.append(enum.signatures(shingles).view(np.int64))
-                        ends[i + 1] = len(sigs[-1])
-            flat = np.concatenate(sigs) if sigs else np.empty(0, dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(flat, pa.int64()))
-            columns = [batch.column(0), *(pa.array(fixed[:, j]) for j in range(fixed.shape[1])), lists]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *batch.columns[2:]], names=[*names, *batch.schema.names[2:]]
-            )
+                        sigs.append(enum.signatures(shingles[ends[i] - sizes[i] : ends[i]]).view(np.int64))
+                        lengths[i] = len(sigs[-1])
+                flat = np.concatenate(sigs) if sigs else np.empty(0, dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat, pa.int64()))
+                fixed = np.concatenate([sizes[:, None], digests, parity_sketches(shingles, sizes)], axis=1)
+                columns = [part.column(0), *(pa.array(fixed[:, j]) for j in range(fixed.shape[1])), lists]
+                yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], names=[*names, *part.schema.names[2:]])
 
     return profile
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.shingles import SKETCH_WORDS, WordHashes, parity_sketch, shingle_set, word_hashes, words_of
+from labelloom.llm.shingles import SKETCH_WORDS, TextWords, parity_sketch, some_texts
 from labelloom.llm.components import connected_components
 from labelloom.scale.staging import StagingScope
 
@@ -208,14 +208,15 @@ def _sketching(width: int):
     """From (node, text) to (node, size of its set, parity sketch of at least as many bits)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            sets = [shingle_set(word_hashes(words_of(t), cache), width) for t in batch.column(1).to_pylist()]
-            sketches = [parity_sketch(s, max(SKETCH_WORDS, 1 << max(len(s) - 1, 0).bit_length() >> 6)).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary())],
-                names=["node", "n", "sketch"],
-            )
+            for part, texts in some_texts(batch, 1):
+                shingles, sizes = TextWords(texts).shingle_sets(width)
+                sets = np.split(shingles, np.cumsum(sizes)[:-1])
+                sketches = [parity_sketch(s, max(SKETCH_WORDS, 1 << max(len(s) - 1, 0).bit_length() >> 6)).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())],
+                    names=["node", "n", "sketch"],
+                )
 
     return made
 
@@ -242,21 +243,19 @@ def _linking(width: int, num: int, den: int):
     """Keeps the rows whose two texts link. Rows come in runs of one text, whose set is made once."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sets = WordHashes(), {}
-
-        def set_of(text: str) -> np.ndarray:
-            if text not in sets:
+        sets: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part, texts in some_texts(batch, 2):
                 if len(sets) >= MAX_KEPT_SETS:
                     sets.clear()
-                sets[text] = shingle_set(word_hashes(words_of(text), cache), width)
-            return sets[text]
-
-        for batch in batches:
-            links = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                left, right = set_of(batch.column(2)[i].as_py()), set_of(batch.column(3)[i].as_py())
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                links[i] = both * den >= (len(left) + len(right) - both) * num
-            yield batch.select(["a", "b"]).filter(pa.array(links))
+                others = part.column(3).to_pylist()
+                new = [t for t in dict.fromkeys([*texts, *others]) if t not in sets]
+                shingles, sizes = TextWords(new).shingle_sets(width)
+                sets.update(zip(new, np.split(shingles, np.cumsum(sizes)[:-1])))
+                links = np.zeros(len(texts), dtype=bool)
+                for i, (left, right) in enumerate(zip(map(sets.__getitem__, texts), map(sets.__getitem__, others))):
+                    both = len(np.intersect1d(left, right, assume_unique=True))
+                    links[i] = both * den >= (len(left) + len(right) - both) * num
+                yield part.select(["a", "b"]).filter(pa.array(links))
 
     return kept

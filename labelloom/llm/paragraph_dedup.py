@@ -12,19 +12,19 @@ the text around them (``repeated_passages``).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.linking import SKETCH, similar_components
 from labelloom.llm.rows import whole_row
-from labelloom.llm.shingles import WordHashes, mixed, parity_sketch, set_digest, shingle_set, word_hashes
+from labelloom.llm.shingles import SKETCH_WORDS, TOGETHER, TextWords, hashes_of, mixed, parity_sketches, set_digests, shingle_sets, some_texts
 from labelloom.scale.joins import lookup_join
 from labelloom.scale.staging import StagingScope
 
@@ -34,7 +34,6 @@ MAX_SEEN = 300_000
 RUN, GRAM = 50, 25
 # Odd factors of the two hashes of a run of words.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_WORD = re.compile(r"[^ \t-\r]+")  # as bytes.split() has it
 
 
 def bands_for(threshold: float, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -59,14 +58,14 @@ class MinHash:
         self.places = np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
         self.salt = mixed(np.arange(bands, dtype=np.uint64))
 
-    def signatures(self, shingles: np.ndarray) -> np.ndarray:
-        """One hash per band."""
-        lowest = np.full(self.factors.shape[0], np.iinfo(np.uint64).max, dtype=np.uint64)
-        for low in range(0, len(shingles), 4096):
-            part = self.factors * shingles[None, low : low + 4096] + self.shifts
-            lowest = np.minimum(lowest, part.min(axis=1))
-        grouped = mixed(lowest.reshape(self.bands, self.rows)) * self.places
-        return mixed(grouped.sum(axis=1, dtype=np.uint64) + self.salt)
+    def signatures(self, shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """One hash per band, a row for each of the non-empty sets that stand one after another."""
+        starts = np.cumsum(sizes) - sizes
+        lowest = np.empty((len(sizes), len(self.factors)), dtype=np.uint64)
+        for j, (factor, shift) in enumerate(zip(self.factors[:, 0], self.shifts[:, 0])):
+            lowest[:, j] = np.minimum.reduceat(shingles * factor + shift, starts)
+        grouped = mixed(lowest.reshape(-1, self.bands, self.rows)) * self.places
+        return mixed(grouped.sum(axis=2, dtype=np.uint64) + self.salt)
 
 
 def paragraphs(text: str | None, least_words: int) -> Iterator[tuple[int, int, int, str, list[bytes]]]:
@@ -89,50 +88,65 @@ def paragraphs(text: str | None, least_words: int) -> Iterator[tuple[int, int, i
         at += len(line) + 1
 
 
+def _some_paragraphs(batch: pa.RecordBatch, column: int, least_words: int) -> Iterator[list[tuple]]:
+    """(row, number of the first line, lines, start, paragraph, words) of the paragraphs of a column of texts, some at a time."""
+    found, held = [], 0
+    for i in range(batch.num_rows):
+        for paragraph in paragraphs(batch.column(column)[i].as_py(), least_words):
+            found.append((i, *paragraph))
+            held += len(paragraph[-1])
+            if held >= TOGETHER:
+                yield found
+                found, held = [], 0
+    if found:
+        yield found
+
+
+def _sets(found: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray]:
+    words = hashes_of(list(chain.from_iterable(f[-1] for f in found)))
+    return shingle_sets(words, np.array([len(f[-1]) for f in found]), width)
+
+
 def _profiles(width: int, least_words: int, bands: int, rows: int):
     names = ["id", "para", "lines", "start", "length", "node", "check", "n", *SKETCH, "sigs"]
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, hasher, seen = WordHashes(), MinHash(bands, rows), set()
+        hasher, seen = MinHash(bands, rows), set()
         for batch in batches:
-            owner, fixed, sigs = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for number, lines, start, line, words in paragraphs(text, least_words):
-                    shingles = shingle_set(word_hashes(words, cache), width)
-                    digest = set_digest(shingles)
-                    own: list | np.ndarray = []
+            for found in _some_paragraphs(batch, 1, least_words):
+                shingles, sizes = _sets(found, width)
+                digests = set_digests(shingles, sizes)
+                new = np.zeros(len(found), dtype=bool)
+                for i, digest in enumerate(map(tuple, digests.tolist())):
                     if digest not in seen:
                         if len(seen) >= MAX_SEEN:
                             seen.clear()
                         seen.add(digest)
-                        own = hasher.signatures(shingles).view(np.int64)
-                    owner.append(i)
-                    fixed.append((number, lines, start, len(line), *digest, len(shingles), *parity_sketch(shingles).tolist()))
-                    sigs.append(own)
-            table = np.array(fixed, dtype=np.int64).reshape(len(fixed), 7 + len(SKETCH))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner, pa.int64()))]
-                + [pa.array(table[:, j]) for j in range(table.shape[1])]
-                + [pa.array(sigs, pa.list_(pa.int64()))],
-                names=names,
-            )
+                        new[i] = True
+                sigs = np.empty(0, dtype=np.uint64)
+                if new.any():
+                    sigs = hasher.signatures(shingles[np.repeat(new, sizes)], sizes[new]).reshape(-1)
+                ends = pa.array(np.append(0, np.cumsum(new * bands)), pa.int32())
+                places = np.array([(number, lines, start, len(line)) for _, number, lines, start, line, _ in found], dtype=np.int64)
+                table = np.concatenate([places, digests, sizes[:, None], parity_sketches(shingles, sizes)], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))]
+                    + [pa.array(table[:, j]) for j in range(7 + SKETCH_WORDS)]
+                    + [pa.ListArray.from_arrays(ends, pa.array(sigs.view(np.int64)))],
+                    names=names,
+                )
 
     return profile
 
 
 def _lines(width: int, least_words: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            found = [
-                (set_digest(shingle_set(word_hashes(words, cache), width))[0], line)
-                for text in batch.column(0).to_pylist()
-                for _, _, _, line, words in paragraphs(text, least_words)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())],
-                names=["node", "text"],
-            )
+            for found in _some_paragraphs(batch, 0, least_words):
+                digests = set_digests(*_sets(found, width))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests[:, 0]), pa.array([f[-2] for f in found], pa.string())], names=["node", "text"]
+                )
 
     return listed
 
@@ -224,37 +238,38 @@ def _sliding(op: Callable, values: np.ndarray, width: int) -> np.ndarray:
     return op(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Places that hold the smallest value of some ``width`` neighbours: the choice depends on these neighbours alone."""
+def anchors(hashes: np.ndarray, width: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Places that hold the smallest value of some ``width`` neighbours: the choice depends on these neighbours alone.
+
+    ``lengths`` cuts the hashes into stretches (default: one), and neighbours are those of one stretch.
+    """
     if len(hashes) < width:
         return np.empty(0, dtype=np.int64)
+    lengths = np.array([len(hashes)]) if lengths is None else lengths
     pad = np.zeros(width - 1, dtype=np.uint64)
-    lowest = _sliding(np.minimum, hashes, width)
-    return np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, lowest, pad]), width) == hashes)
-
-
-def _words_and_lines(text: str | None, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and the number of the line of each."""
-    parts = [line.split() for line in (text or "").encode("utf-8", "replace").lower().split(b"\n")]
-    return word_hashes(list(chain.from_iterable(parts)), cache), np.repeat(np.arange(len(parts)), list(map(len, parts)))
+    after = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(hashes))  # places from here to the end of the stretch
+    lowest = np.where(after[: len(hashes) - width + 1] >= width, _sliding(np.minimum, hashes, width), np.uint64(0))
+    highest = _sliding(np.maximum, np.concatenate([pad, lowest, pad]), width)
+    return np.flatnonzero((highest == hashes) & np.repeat(lengths >= width, lengths))
 
 
 def _anchor_rows(run: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            owner, found = [], [np.empty((0, 4), dtype=np.int64)]
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words, line = _words_and_lines(text, cache)
-                hashes = run_hashes(words, gram, BASES[0])
-                at = anchors(hashes, run - gram + 1)
-                owner += [i] * len(at)
-                found.append(np.stack([hashes[at].view(np.int64), at, line[at], line[at + gram - 1]], axis=1))
-            table = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner, pa.int64()))] + [pa.array(table[:, j]) for j in range(4)],
-                names=["id", "hash", "at", "line", "last"],
-            )
+            for part, texts in some_texts(batch, 1):
+                words = TextWords(texts)
+                runs, place = words.runs(gram)
+                if not len(place):
+                    continue
+                hashes = run_hashes(words.hashes, gram, BASES[0])[place]
+                chosen = anchors(hashes, run - gram + 1, runs)
+                at = place[chosen]
+                owner = words.owner[at]
+                line = words.lines()
+                table = [hashes[chosen].view(np.int64), at - words.before[owner], line[at], line[at + gram - 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(owner)), *map(pa.array, table)], names=["id", "hash", "at", "line", "last"]
+                )
 
     return rows
 
@@ -262,38 +277,51 @@ def _anchor_rows(run: int, gram: int):
 def _run_rows(run: int, gram: int):
     """Runs around the anchors of a text, outside its removed lines."""
 
+    def flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Number of the row of every entry of lists, and the entries."""
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py()
-                words, line = _words_and_lines(text, cache)
-                n = len(words) - run + 1
-                if n <= 0:
+            for part, texts in some_texts(batch, 1):
+                words = TextWords(texts)
+                runs, place = words.runs(run)
+                if not len(place):
                     continue
-                gone, near = np.zeros(len(words) + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-                for g in batch.column(3)[i].as_py() or ():
-                    low, high = np.searchsorted(line, [g["para"], g["para"] + g["lines"]])
-                    gone[low + 1 : high + 1] = 1
-                gone = np.cumsum(gone)
-                for at in batch.column(2)[i].as_py():
-                    if at - run + gram < n:
-                        near[max(at - run + gram, 0)] += 1
-                        near[min(at + 1, n)] -= 1
-                at = np.flatnonzero((np.cumsum(near)[:n] > 0) & (gone[run:] == gone[:-run]))
+                whole = len(words.hashes) + 1
+                text, entries = flat(part.column(2))
+                at = entries.to_numpy(zero_copy_only=False)
+                own = at - run + gram < runs[text]
+                text, at = text[own], at[own]
+                low, high = np.maximum(at - run + gram, 0), np.minimum(at + 1, runs[text])
+                near = np.cumsum(_steps(words.before[text] + low, words.before[text] + high, whole)) > 0
+                text, entries = flat(part.column(3))
+                line = words.lines()
+                lines, first = words.owner << 40 | line, text << 40 | entries.field("para").to_numpy(zero_copy_only=False)
+                low, high = np.searchsorted(lines, first), np.searchsorted(lines, first + entries.field("lines").to_numpy(zero_copy_only=False))
+                removed = np.cumsum(_steps(low, high, whole)) > 0
+                gone = np.concatenate([[0], np.cumsum(removed)])
+                at = place[near[place] & (gone[place + run] == gone[place])]
                 if not len(at):
                     continue
-                spans = np.array([m.span() for m in _WORD.finditer(text)], dtype=np.int64)
-                numbers = [h[at].view(np.int64) for h in (run_hashes(words, run, b) for b in BASES)]
-                numbers += [at, line[at], spans[at, 0], spans[at + run - 1, 1]]
+                numbers = [run_hashes(words.hashes, run, b)[at].view(np.int64) for b in BASES]
+                owner = words.owner[at]
+                start, end = words.spans()
+                numbers += [at - words.before[owner], line[at], start[at], end[at + run - 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.full(len(at), i)))] + [pa.array(x) for x in numbers],
+                    [part.column(0).take(pa.array(owner)), *map(pa.array, numbers)],
                     names=["id", "hash", "check", "at", "line", "start", "end"],
                 )
 
     return rows
 
 
+def _steps(low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
+    """What the number of open intervals [low, high) changes by at every place."""
+    return np.bincount(low, minlength=size) - np.bincount(high, minlength=size)
+
+
 def repeated_passages(
     docs: DataFrame,
     removals: DataFrame,
