@@ -31,7 +31,7 @@ MAX_LANGUAGES = 2_000  # more distinct labels than this are an error, not someth
 UNKNOWN = "und"
 _CALIBRATE = 5  # every fifth document of the sample calibrates the rejection instead of the counts
 _CHUNK = 400
-_MAX_CACHED = 400_000
+_MAX_CACHED = 100_000  # words a worker remembers; a task that meets more begins anew
 _NEW_WORDS = 2_000  # words scored at a time: each holds some tables of (letters x languages)
 _SURE_CHARS, _EVEN_CHARS = 40, 400
 _START, _END = "\x02", "\x03"

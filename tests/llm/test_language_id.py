@@ -134,3 +134,14 @@ def test_a_text_leaves_the_jvm_once(spark):
     assert "_text" not in plan and "MapInArrow" in plan
     told = L.identify_languages(docs, L.fit_languages(docs)).filter("not rejected")
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in told.select("doc_id").collect())
+
+
+def test_a_worker_remembers_a_bounded_number_of_words():
+    models = L.LanguageModels({lang: dict(L.gram_counts(Counter(words.split()))) for lang, words in (("aa", "one two"), ("bb", "uno dos"))})
+    scorer = L.Scorer(models)
+    for low in range(0, 150_000, 10_000):
+        text = " ".join("".join(chr(97 + int(d)) for d in str(n)) for n in range(low, low + 10_000))
+        found = scorer.entropies([text])
+    assert len(scorer.index) <= 100_000 and len(scorer.rows) <= 210_000
+    alone = L.Scorer(models).entropies([text])
+    assert all((a == b).all() for a, b in zip(found, alone))
