@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from labelloom.operators import experiments as EX
 from labelloom.operators import features as X
 from labelloom.operators import linear as L
 from labelloom.operators import model as M
+from labelloom.scale.staging import shared_dir
 from labelloom.schema import NARRATIVE
 
 WORDS = {"loan": "loan bank rate", "card": "card fee limit", "debt": "debt call letter"}
@@ -198,6 +200,21 @@ def test_random_search(splits):
     assert [r["state"] for r in late] == ["NOT_RUN"] * 3
 
 
+def test_search_stores_the_coefficients_of_the_best_third_alone(splits, monkeypatch):
+    folder = Path(shared_dir(splits.sparkSession).removeprefix("file:"))
+    there, held, plain = set(folder.glob("coefficients-*")), [], L.fit
+
+    def stored():
+        return len(set(folder.glob("coefficients-*")) - there)
+
+    monkeypatch.setattr(L, "GROUP_BYTES", 1)
+    monkeypatch.setattr(L, "fit", lambda *args: held.append(stored()) or plain(*args))
+    args = {"space": {"min_df": [1, 2], "max_df": [1.0]}, "base": {"max_iter": 4, "ngram_range": (1, 1)}, "rungs": (1,)}
+    trials = EX.random_search(splits, 6, **args).collect()
+    assert sorted(r["state"] for r in trials) == ["COMPLETE"] * 2 + ["PRUNED"] * 4
+    assert len(held) == 8 and 2 <= max(held) <= 3 and stored() == 0  # two that go on, and one of them fitted further
+
+
 def test_models_in_groups_end_where_models_together_do(splits, monkeypatch):
     args = {"space": {"min_df": [1, 2], "max_df": [1.0]}, "base": {"max_iter": 60, "ngram_range": (1, 1)}, "rungs": (2,)}
     told = ("trial_number", "state", "macro_f1", "accuracy", "n_features", "rung")
