@@ -147,7 +147,11 @@ def _components(
     real = profiles.filter(F.col("node").isNotNull() & (F.col("n") > 0)).select("node", "n", "d0", "d1", *SKETCH)
     first = real.groupBy("d0", "d1").agg(F.min("node").alias("same_as"))
     nodes = scope.stage(real.join(first, ["d0", "d1"]).select("node", "same_as", "n", *SKETCH).distinct(), "nodes")
-    linked = similar_components(members, nodes, texts_of, width, num, den, scope, "docs").withColumnRenamed("node", "same_as")
+
+    def sketches_of(ids: DataFrame) -> DataFrame:
+        return nodes.filter(F.col("node") == F.col("same_as")).select("node", "n", *SKETCH).join(ids, "node", "left_semi")
+
+    linked = similar_components(members, nodes, sketches_of, texts_of, width, num, den, scope, "docs", ("signed",)).withColumnRenamed("node", "same_as")
     alias = nodes.groupBy("node").agg(F.min("same_as").alias("same_as"))
     return alias.join(linked, "same_as", "left").select("node", F.coalesce("component", "same_as").alias("component"))
 

@@ -44,23 +44,26 @@ def may_link(a: str, b: str, num: int, den: int, sketch: list[str]) -> Column:
 def similar_components(
     members: DataFrame,
     nodes: DataFrame,
+    sketches_of: Callable[[DataFrame], DataFrame],
     texts_of: Callable[[DataFrame], DataFrame],
     width: int,
     num: int,
     den: int,
     scope: StagingScope,
     label: str,
+    spent: tuple[str, ...] = (),
 ) -> DataFrame:
     """(node, component): components of the nodes linked by Jaccard >= num / den; nodes without a link are left out.
 
-    ``members`` comes from the table "signed" of the scope, which is dropped once it was read.
-    ``nodes``: (node, same_as, n, s0..) with the node that stands for all equal sets in ``same_as``;
-    ``texts_of(ids)`` gives (node, text) of the asked nodes; a set holds the ``width``-word shingles of its text.
+    ``nodes``: (node, same_as) with the node that stands for all equal sets in ``same_as``;
+    ``sketches_of(ids)`` gives (node, n, s0..), sizes and sketches, and ``texts_of(ids)`` (node, text) of the asked
+    nodes; a set holds the ``width``-word shingles of its text. Only nodes of candidate pairs are asked for.
+    ``spent`` names tables of the scope that are dropped once the members were read.
     """
     by_sig = Window.partitionBy("sig")
     slices = [f"{label}-shared-{i}" for i in range(SLICES)]
     shared = _shared(members, scope, slices)
-    scope.release("signed")  # the signatures were read; what else is needed stands in other tables
+    scope.release(*spent)
     alias = nodes.select("node", "same_as")
     pairs = shared.filter(F.col("node") != F.col("hub")).groupBy("hub", "node").agg(F.count("*").alias("shared"))
     pairs = (
@@ -70,8 +73,7 @@ def similar_components(
         .select(F.col("same_as").alias("a"), F.col("x").alias("b"), "shared")
         .filter(F.col("a") != F.col("b"))
     )
-    unique = nodes.filter(F.col("node") == F.col("same_as")).select("node", "n", *SKETCH)
-    links = _from_hubs(pairs, unique, texts_of, width, num, den, scope, f"{label}-hub")
+    links = _from_hubs(pairs, sketches_of, texts_of, width, num, den, scope, f"{label}-hub")
     # A node with several sets (a repeated id) ties their components together.
     tied = alias.join(alias.groupBy("node").agg(F.min("same_as").alias("a")), "node").select(
         "a", F.col("same_as").alias("b")
@@ -87,7 +89,7 @@ def similar_components(
         pairs = mixed.withColumn("hub", hub).filter(F.col("component") != F.col("hub.component")).select(
             F.col("hub.node").alias("a"), F.col("node").alias("b"), F.lit(1).alias("shared")
         )
-        more = _from_hubs(pairs, unique, texts_of, width, num, den, scope, f"{label}-hub-{turn}")
+        more = _from_hubs(pairs, sketches_of, texts_of, width, num, den, scope, f"{label}-hub-{turn}")
         if more.isEmpty():
             break  # other hubs would hardly find more; the last join looks at all that is left
         links = links.unionByName(more)
@@ -95,7 +97,7 @@ def similar_components(
         mixed = _mixed(mixed.select("sig", "node"), labels, scope, f"{label}-mixed-{turn}")
     if mixed.isEmpty():
         return labels
-    mixed = mixed.join(unique, "node")
+    mixed = mixed.join(scope.stage(sketches_of(mixed.select("node").distinct()), f"{label}-mixed-sketches"), "node")
     p, q = mixed.alias("p"), mixed.alias("q")
     apart = (
         (F.col("p.sig") == F.col("q.sig"))
@@ -140,7 +142,7 @@ def _mixed(members: DataFrame, labels: DataFrame, scope: StagingScope, label: st
 
 def _from_hubs(
     pairs: DataFrame,
-    unique: DataFrame,
+    sketches_of: Callable[[DataFrame], DataFrame],
     texts_of: Callable[[DataFrame], DataFrame],
     width: int,
     num: int,
@@ -150,18 +152,24 @@ def _from_hubs(
 ) -> DataFrame:
     """Links among pairs (a hub, b node, signatures shared); each node is tried against the hub it shares most with.
 
-    That is chosen before sketches are joined, so these move once a node.
+    That is chosen before sketches are joined, so these move once a node of a pair, and not at all for the others.
     """
     votes = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     best = votes.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    return _verified(_sketched(best, unique, num, den), texts_of, width, num, den, scope, label)
+    best = scope.stage(best, f"{label}-best")
+    asked = best.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketches = scope.stage(sketches_of(asked), f"{label}-asked-sketches")
+    scope.release()
+    links = _verified(_sketched(best, sketches, num, den), texts_of, width, num, den, scope, label)
+    scope.release(f"{label}-best", f"{label}-asked-sketches")
+    return links
 
 
-def _sketched(pairs: DataFrame, unique: DataFrame, num: int, den: int) -> DataFrame:
+def _sketched(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that the full sketches let through."""
     return (
-        pairs.join(unique.alias("p"), F.col("a") == F.col("p.node"))
-        .join(unique.alias("q"), F.col("b") == F.col("q.node"))
+        pairs.join(sketches.alias("p"), F.col("a") == F.col("p.node"))
+        .join(sketches.alias("q"), F.col("b") == F.col("q.node"))
         .filter(may_link("p", "q", num, den, SKETCH))
         .select("a", "b")
     )

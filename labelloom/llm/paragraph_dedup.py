@@ -168,7 +168,12 @@ def repeated_paragraphs(
     them; rows that repeat an id count as one document. Sets are told by 64 bits of a digest; should two sets ever share them,
     128 bits tell, and only the paragraphs of one of the two are considered. Other columns are not read.
     """
-    scope = StagingScope(docs.sparkSession, "paragraphs")
+    return _repeated_paragraphs(docs, num, den, width, least_words, id_col, text_col, StagingScope(docs.sparkSession, "paragraphs"))
+
+
+def _repeated_paragraphs(
+    docs: DataFrame, num: int, den: int, width: int, least_words: int, id_col: str, text_col: str, scope: StagingScope
+) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull())
     kind = dict(texts.dtypes)["id"]
     numbers = ", ".join(f"`{c}` long" for c in ["para", "lines", "start", "length", "node", "check", "n", *SKETCH])
@@ -176,17 +181,22 @@ def repeated_paragraphs(
     signed = scope.stage(
         texts.mapInArrow(_profiles(width, least_words, bands, rows), f"id {kind}, {numbers}, sigs array<long>"), "signed"
     )
-    placed = scope.stage(signed.drop("sigs"), "placed")
-    first = F.min(F.struct("check", "id", "n", *SKETCH)).alias("f")
+    placed = signed.drop("sigs")
+    # Sketches stay where they are: most sets are in no candidate pair, and a struct of twenty numbers is slow to aggregate.
     nodes = scope.stage(
-        placed.groupBy("node").agg(first).select(
-            "node", F.col("node").alias("same_as"), F.col("f.check").alias("check"), F.col("f.id").alias("at"),
-            F.col("f.n").alias("n"), *[F.col(f"f.{s}").alias(s) for s in SKETCH],
+        placed.groupBy("node").agg(F.min(F.struct("check", "id")).alias("f")).select(
+            "node", F.col("node").alias("same_as"), F.col("f.check").alias("check"), F.col("f.id").alias("at")
         ),
         "nodes",
     )
+    scope.release()
     members = signed.select(F.explode("sigs").alias("sig"), "node")
 
+    def sketches_of(ids: DataFrame) -> DataFrame:
+        asked = nodes.join(ids, "node", "left_semi").select("node", F.col("at").alias("id"), F.col("check").alias("_check"))
+        found = placed.select("node", "id", "check", "n", *SKETCH).join(asked, ["node", "id"])  # one document a node: no key is hot
+        return found.filter(F.col("check") == F.col("_check")).select("node", "n", *SKETCH).dropDuplicates(["node"])
+
     def texts_of(ids: DataFrame) -> DataFrame:
         where = scope.stage(
             nodes.join(ids, "node", "left_semi").select(F.col("at").alias("id")).distinct(), f"asked-{uuid4().hex}"
@@ -196,7 +206,7 @@ def repeated_paragraphs(
         )
         return lookup_join(found, ids, "node", "left_semi").dropDuplicates(["node"])
 
-    linked = similar_components(members, nodes, texts_of, width, num, den, scope, "paras")
+    linked = similar_components(members, nodes, sketches_of, texts_of, width, num, den, scope, "paras")
     known = placed.groupBy("node", "check").agg(F.count("*").alias("copies"))
     group = nodes.select("node", "check").join(linked, "node", "left").join(known, ["node", "check"])
     # A paragraph matters if its set has several copies or links with another set.
@@ -206,11 +216,13 @@ def repeated_paragraphs(
         ),
         "groups",
     )
+    scope.release()
     group = group.withColumnRenamed("check", "_check")
     places = lookup_join(placed, group, "node", "inner", "copies", F.hash("id", "para"))
     places = scope.stage(
         places.filter(F.col("check") == F.col("_check")).select("id", "para", "lines", "start", "length", "n", "component"), "places"
     )
+    scope.release("signed", "nodes", "groups")  # nothing reads the profiles any more
     kept = places.groupBy("component").agg(F.min(F.struct("id", "para")).alias("k"), F.count("*").alias("rows"))
     kept = scope.stage(kept.select("component", F.col("k.id").alias("kept_id"), F.col("k.para").alias("kept_para"), "rows"), "kept")
     told = lookup_join(places, kept, "component", "inner", "rows", F.hash("id", "para"))
@@ -340,7 +352,12 @@ def repeated_passages(
     first of each stays, the others are merged. A copy that overlaps the first one stays. Null ids, repeated ids and null
     texts as in ``repeated_paragraphs``.
     """
-    scope = StagingScope(docs.sparkSession, "passages")
+    return _repeated_passages(docs, removals, run, gram, width, id_col, text_col, StagingScope(docs.sparkSession, "passages"))
+
+
+def _repeated_passages(
+    docs: DataFrame, removals: DataFrame, run: int, gram: int, width: int, id_col: str, text_col: str, scope: StagingScope
+) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull())
     kind = dict(texts.dtypes)["id"]
     gone = scope.stage(
@@ -359,14 +376,17 @@ def repeated_passages(
     inside = F.exists("gone", lambda g: (g["para"] <= F.col("last")) & (g["para"] + g["lines"] > F.col("line")))
     left = lookup_join(repeated(found, "repeated"), gone, "id", "left").filter(~F.coalesce(inside, F.lit(False)))
     left = scope.stage(left.select("id", "hash", "at"), "left")
-    scope.drop("anchors")
+    scope.release("anchors", "repeated")
     marks = repeated(left, "repeated-left").groupBy("id").agg(F.collect_set("at").alias("anchors"))
     marks = scope.stage(lookup_join(marks, gone, "id", "left"), "marks")
+    scope.release("left", "repeated-left")
     numbers = ", ".join(f"`{c}` long" for c in ["hash", "check", "at", "line", "start", "end"])
     marked = lookup_join(texts, marks, "id").select("id", "text", "anchors", "gone")
     runs = scope.stage(marked.mapInArrow(_run_rows(run, gram), f"id {kind}, {numbers}"), "runs")
+    scope.release("marks")
     first = runs.groupBy("hash", "check").agg(F.min(F.struct("id", "at", "line")).alias("f"), F.count("*").alias("copies"))
     first = scope.stage(first.filter(F.col("copies") > 1).withColumnRenamed("check", "_check"), "first")
+    scope.release()
     later = lookup_join(runs, first, "hash", "inner", "copies", F.hash("id", "at")).filter(
         (F.col("check") == F.col("_check")) & ((F.col("id") != F.col("f.id")) | (F.col("at") >= F.col("f.at") + run))
     )
@@ -385,8 +405,11 @@ def repeated_passages(
 
 def repeated_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All removals: near copies of paragraphs, then repeated passages of what they leave."""
-    scope = StagingScope(docs.sparkSession, "repeated")
-    removals = scope.stage(repeated_paragraphs(docs, id_col=id_col, text_col=text_col), "paragraphs")
+    scope, own = (StagingScope(docs.sparkSession, name) for name in ("repeated", "paragraphs"))
+    found = _repeated_paragraphs(docs, 4, 5, WIDTH, LEAST_WORDS, id_col, text_col, own)
+    removals = scope.stage(found, "paragraphs")
+    own.clear()
+    scope.release()
     return removals.unionByName(repeated_passages(docs, removals, id_col=id_col, text_col=text_col))
 
 

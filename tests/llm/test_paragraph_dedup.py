@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 from labelloom.llm.paragraph_dedup import bands_for, remove_paragraphs, repeated_paragraphs, repeated_text
+from labelloom.scale.staging import shared_dir
 from tests.llm.helpers import docs_frame, edited, linked_groups, shingles
 
 rng = random.Random(21)
@@ -96,3 +98,11 @@ def test_passages_inside_longer_lines_and_across_line_ends(spark):
     assert left[2] == " ".join(texts[2].split()[:91]) + "  " + " ".join(texts[2].split()[-35:])
     assert left[5] == texts[5].split("\n")[0] and len(left[7].split()) == 50
     assert left[3].split() == texts[3].split()[:50] + texts[3].split()[-30:]
+
+
+def test_profiles_are_let_go_before_passages(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("paragraphs-*"))
+    found = repeated_text(docs_frame(spark, [(0, BASES[0]), (1, "\n".join([BASES[0], BASES[4]])), (2, BASES[4])]))
+    assert {(r.doc_id, r.para, r.kept_id) for r in found.collect()} == {(1, 0, 0), (2, 0, 1)}
+    assert set(folder.glob("paragraphs-*")) == before
