@@ -5,7 +5,8 @@ Links are looked for in two rounds:
 
 1. One member of each signature is its hub. Every node is tried against one hub, that with which it shares most
    signatures, so a group of m near copies costs m tries. Verified links are merged into components. This is repeated with other hubs
-   for the signatures that still hold several components.
+   for the signatures that still hold several components, in later turns with several hubs each, as long as
+   that finds links and the pairs left are many more than the members.
 2. Members of one signature that are still in different components are compared inside the join itself:
    its condition holds the size rule and the parity-sketch bound, and lets through only pairs which may be
    links. Those are verified exactly.
@@ -29,7 +30,8 @@ from labelloom.llm.components import connected_components
 from labelloom.scale.staging import StagingScope
 
 MAX_KEPT_SETS = 200
-HUB_TURNS = 2
+HUBS = (1, 8, 8, 8, 8, 8)  # hubs of a signature in each further turn
+CROWDED, FEW = 16, 1_000  # pairs a member beyond which the last join waits for another turn, and members a link below which it does not
 SLICES = 4  # parts of the signature space that are shuffled one after another
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
@@ -82,16 +84,22 @@ def similar_components(
     labels = connected_components(links, scope, f"{label}-first")
     mixed = _mixed(shared.join(alias, "node").select("sig", F.col("same_as").alias("node")), labels, scope, f"{label}-mixed-0")
     scope.release(*slices)
-    for turn in range(1, HUB_TURNS + 1):
+    for turn, hubs in enumerate(HUBS, 1):
         if mixed.isEmpty():
             return labels
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).over(by_sig)
-        pairs = mixed.withColumn("hub", hub).filter(F.col("component") != F.col("hub.component")).select(
-            F.col("hub.node").alias("a"), F.col("node").alias("b"), F.lit(1).alias("shared")
-        )
-        more = _from_hubs(pairs, sketches_of, texts_of, width, num, den, scope, f"{label}-hub-{turn}")
-        if more.isEmpty():
-            break  # other hubs would hardly find more; the last join looks at all that is left
+        if turn > 1:
+            rows, apart = _crowd(mixed)
+            if apart <= CROWDED * rows or found * FEW < rows:
+                break  # the last join is small, or other hubs would hardly find more
+        chosen = [
+            F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)).alias("h"), F.col("node").alias("a"), F.col("component").alias("c"))).over(by_sig)
+            for i in range(hubs)
+        ]
+        tries = mixed.select("node", "component", F.array(*chosen).alias("hubs")).select("node", "component", F.inline("hubs"))
+        pairs = tries.filter(F.col("component") != F.col("c")).select("a", F.col("node").alias("b"), F.lit(1).alias("shared"))
+        more = _from_hubs(pairs, sketches_of, texts_of, width, num, den, scope, f"{label}-hub-{turn}", hubs > 1)
+        if not (found := more.count()):
+            break  # the last join looks at all that is left
         links = links.unionByName(more)
         labels = connected_components(links, scope, f"{label}-turn-{turn}")
         mixed = _mixed(mixed.select("sig", "node"), labels, scope, f"{label}-mixed-{turn}")
@@ -140,6 +148,13 @@ def _mixed(members: DataFrame, labels: DataFrame, scope: StagingScope, label: st
     )
 
 
+def _crowd(mixed: DataFrame) -> tuple[float, float]:
+    """Members of the signatures, and pairs of members of one signature in different components."""
+    sizes = mixed.groupBy("sig", "component").agg(F.count("*").cast("double").alias("m"))
+    told = sizes.groupBy("sig").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
+    return told.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()
+
+
 def _from_hubs(
     pairs: DataFrame,
     sketches_of: Callable[[DataFrame], DataFrame],
@@ -149,13 +164,17 @@ def _from_hubs(
     den: int,
     scope: StagingScope,
     label: str,
+    every: bool = False,
 ) -> DataFrame:
-    """Links among pairs (a hub, b node, signatures shared); each node is tried against the hub it shares most with.
+    """Links among pairs (a hub, b node, signatures shared); each node is tried against the hub it shares most with, or ``every`` one.
 
     That is chosen before sketches are joined, so these move once a node of a pair, and not at all for the others.
     """
-    votes = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    best = votes.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    if every:
+        best = pairs.select("a", "b").distinct()
+    else:
+        votes = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        best = votes.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     best = scope.stage(best, f"{label}-best")
     asked = best.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sketches = scope.stage(sketches_of(asked), f"{label}-asked-sketches")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+from labelloom.llm import linking
 from labelloom.llm.paragraph_dedup import bands_for, remove_paragraphs, repeated_paragraphs, repeated_text
 from labelloom.scale.staging import shared_dir
 from tests.llm.helpers import docs_frame, edited, linked_groups, shingles
@@ -106,3 +107,22 @@ def test_profiles_are_let_go_before_passages(spark):
     found = repeated_text(docs_frame(spark, [(0, BASES[0]), (1, "\n".join([BASES[0], BASES[4]])), (2, BASES[4])]))
     assert {(r.doc_id, r.para, r.kept_id) for r in found.collect()} == {(1, 0, 0), (2, 0, 1)}
     assert set(folder.glob("paragraphs-*")) == before
+
+
+def test_a_crowd_of_near_copies_leaves_few_pairs_to_the_last_join(spark, monkeypatch):
+    """400 copies with two words changed each: a tenth of all pairs link, and no copy links with all others."""
+    base, rows, tried = [f"b{i}" for i in range(100)], [], {}
+    for i in range(400):
+        at = rng.randint(0, 98)
+        rows.append((i, " ".join([*base[:at], f"x{i}", f"y{i}", *base[at + 2 :]])))
+    verified = linking._verified
+
+    def counted(pairs, *args, **more):
+        tried[args[5]] = pairs.count()
+        return verified(pairs, *args, **more)
+
+    monkeypatch.setattr(linking, "_verified", counted)
+    found = repeated_paragraphs(docs_frame(spark, rows)).collect()
+    assert {(r.doc_id, r.para): (r.kept_id, r.kept_para) for r in found} == brute(rows)
+    assert tried.get("paras-rest", 0) < 800
+    print(tried)
