@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import text as T
 from labelloom.operators import features as X
+from labelloom.scale.joins import lookup_join
 
 
 def docs(spark, *lists):
@@ -61,6 +62,20 @@ def test_join_path_salts_hot_terms_without_changing_weights(spark):
         assert got[i]["indices"] == row["indices"] and got[i]["weights"] == pytest.approx(row["weights"])
 
 
+def test_foreign_terms_are_sifted_before_the_join(spark, monkeypatch):
+    vocab = X.fit_vocabulary(X.term_stats(docs(spark, *CORPUS)), 4, min_df=1, max_df=1.0)
+    held_out, shuffled = docs(spark, *[["cat", *[f"foreign{i}-{j}" for j in range(50)]] for i in range(40)]), []
+
+    def counted(rows, *args, **more):
+        shuffled.append(rows.count())
+        return lookup_join(rows, *args, **more)
+
+    monkeypatch.setattr(X, "lookup_join", counted)
+    got = X.tfidf_by_join(held_out, vocab, "record_id", max_broadcast_rows=0).collect()
+    assert len(got) == 40 and {len(r["indices"]) for r in got} == {1}
+    assert 40 <= shuffled[0] < 60  # of 2,040 distinct terms of a row
+
+
 def test_transform_is_narrow(spark):
     train = docs(spark, *CORPUS)
     vocab = X.fit_vocabulary(X.term_stats(train), 4, min_df=1, max_df=1.0)
