@@ -95,6 +95,17 @@ def test_gradient_vanishes_at_the_fit_and_scores_follow(spark, monkeypatch, clas
     assert [r["best"][0] for r in got] == list(np.array([r["proba"] for r in got]).argmax(axis=1))
 
 
+def test_broadcasts_are_let_go_after_every_step(spark, monkeypatch):
+    data, released = rows(3, 60, 20, 2), []
+    problem = problem_of(2, [3.0], [np.ones(2)], np.array([r[0] for r in data]), L.Models())
+    layout = L.Layout.of(20, problem.columns)
+    blocks = StagingScope(spark, "t").stage(L.pack(frame(spark, data), layout), "blocks")
+    release = StagingScope.release
+    monkeypatch.setattr(StagingScope, "release", lambda scope, *labels: (released.append(labels), release(scope, *labels)))
+    assert L.fit(blocks, layout, problem, 1e-9, 3).steps[0] == 3
+    assert len(released) >= 3
+
+
 def test_models_fitted_together_equal_models_fitted_alone(spark, monkeypatch):
     cut(monkeypatch, True, True)
     terms, classes, tol = 60, 3, 3e-4
