@@ -146,10 +146,12 @@ def _components(
     """(node, component) of every node with a non-empty set."""
     real = profiles.filter(F.col("node").isNotNull() & (F.col("n") > 0)).select("node", "n", "d0", "d1", *SKETCH)
     first = real.groupBy("d0", "d1").agg(F.min("node").alias("same_as"))
-    nodes = scope.stage(real.join(first, ["d0", "d1"]).select("node", "same_as", "n", *SKETCH).distinct(), "nodes")
+    same = real.select("node", "d0", "d1").join(first, ["d0", "d1"])
+    nodes = scope.stage(same.select("node", "same_as", "d0", "d1").distinct(), "nodes")
 
     def sketches_of(ids: DataFrame) -> DataFrame:
-        return nodes.filter(F.col("node") == F.col("same_as")).select("node", "n", *SKETCH).join(ids, "node", "left_semi")
+        own = nodes.filter(F.col("node") == F.col("same_as")).select("node", "d0", "d1").join(ids, "node", "left_semi")
+        return real.join(own, ["node", "d0", "d1"]).select("node", "n", *SKETCH).distinct()
 
     linked = similar_components(members, nodes, sketches_of, texts_of, width, num, den, scope, "docs", ("signed",)).withColumnRenamed("node", "same_as")
     alias = nodes.groupBy("node").agg(F.min("same_as").alias("same_as"))

@@ -106,3 +106,13 @@ def test_empty_table(spark, tables, tmp_path_factory):
     spark.read.parquet(f"{tables[2]}/documents.parquet").limit(0).write.parquet(f"{folder}/documents.parquet")
     spark.read.parquet(f"{tables[2]}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     assert C.run(spark, folder).count() == 0
+
+
+def test_arrow_batches_of_whole_texts_are_small(spark):
+    before = spark.conf.get(C.BATCH)
+    try:
+        spark.conf.unset(C.BATCH)
+        C.prepare(spark)
+        assert spark.conf.get(C.BATCH) == C.BATCH_BYTES
+    finally:
+        spark.conf.set(C.BATCH, before)
