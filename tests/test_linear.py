@@ -208,3 +208,36 @@ def test_sparse_products_equal_dense_ones():
 def test_extreme_margins_do_not_overflow():
     p, log_total = L.softmax(np.array([[1000.0, -1000.0], [0.0, 0.0]]))
     assert np.allclose(p, [[1, 0], [0, 1]]) and np.allclose(log_total, [1000, 0])
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_a_held_state_takes_the_same_steps_and_writes_no_table(spark, monkeypatch, held):
+    """Steps of small vectors write nothing; the fit is that of the state kept in tables."""
+    cut(monkeypatch, True, True)
+    data = rows(11, 250, 90, 4)
+    y = np.array([r[0] for r in data])
+    problem = problem_of(4, [3.0], [np.linspace(0.5, 2, 4)], y, L.Models())
+    layout = L.Layout.of(90, problem.columns)
+    blocks = StagingScope(spark, "t").stage(L.pack(frame(spark, data), layout), "blocks")
+    monkeypatch.setattr(L, "HELD_BYTES", L.HELD_BYTES if held else 0)
+    written = []
+    stage = StagingScope.stage
+    monkeypatch.setattr(StagingScope, "stage", lambda scope, df, label: written.append(label) or stage(scope, df, label))
+    fit = L.fit(blocks, layout, problem, 1e-4, 400)
+    assert (set(written) == {"weights"}) is held
+    coef, bias = L.coefficients(spark, fit.weights, layout)
+    slope = gradient(dense(data, 90), y, coef, bias, 3.0, problem.weights[0])
+    assert fit.converged.all() and max(abs(slope[0]).max(), abs(slope[1]).max()) <= 1.1e-4
+    again = L.fit(blocks, layout, problem, 1e-4, 400, start=fit.weights)
+    assert again.steps[0] == 0 and np.allclose(L.coefficients(spark, again.weights, layout)[0], coef)
+
+
+def test_blocks_are_dealt_out_evenly(spark, monkeypatch):
+    cut(monkeypatch, False, True)
+    data = rows(12, 640, 90, 3)
+    layout = L.Layout.of(90, 3)
+    blocks = StagingScope(spark, "t").stage(L.pack(frame(spark, data), layout), "blocks")
+    dealt = L.placed(blocks)
+    held = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    dealt.unpersist()
+    assert len(held) == 8 and sum(held) == blocks.count() and max(held) - min(held) <= 1
