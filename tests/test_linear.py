@@ -241,3 +241,27 @@ def test_blocks_are_dealt_out_evenly(spark, monkeypatch):
     held = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     dealt.unpersist()
     assert len(held) == 8 and sum(held) == blocks.count() and max(held) - min(held) <= 1
+
+
+def test_a_start_is_cleared_of_terms_a_model_does_not_know(spark, monkeypatch):
+    """Two models, one of which knows half the terms, begun from the other's coefficients; in tables and held."""
+    cut(monkeypatch, True, True)
+    terms, tol = 60, 1e-4
+    data = rows(13, 200, terms, 3)
+    y = np.array([r[0] for r in data])
+    bits = np.where(np.arange(terms) % 2 == 0, 3, 1).astype(np.uint64)
+    problem = problem_of(3, [2.0, 2.0], [[1.0] * 3] * 2, y, L.Models(2, (0, 1)))
+    layout = L.Layout.of(terms, problem.columns)
+    blocks = StagingScope(spark, "t").stage(L.pack(frame(spark, data), layout, 2, spark.sparkContext.broadcast(bits), precision=np.float32), "blocks")
+    parts = [(p, bytes(bits[p * layout.terms : (p + 1) * layout.terms])) for p in range(layout.parts)]
+    members = spark.createDataFrame(parts, "part int, data binary")
+    both = L.fit(blocks, layout, problem, tol, 400, members)
+    one = problem.pick([1])
+    begun = L.pick_models(both.weights, layout, 3, [0])
+    for held in (True, False):
+        monkeypatch.setattr(L, "HELD_BYTES", (32 << 20) if held else 0)
+        fit = L.fit(blocks, L.Layout(terms, 3, layout.terms), one, tol, 400, members, begun)
+        coef, bias = L.coefficients(spark, fit.weights, fit.layout)
+        assert fit.converged.all() and (coef[:, 1::2] == 0).all()
+        slope = gradient(dense(data, terms, bits > 1), y, coef, bias, 2.0, problem.weights[1])
+        assert max(abs(slope[0][:, ::2]).max(), abs(slope[1]).max()) <= 1.1 * tol

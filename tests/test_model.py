@@ -263,3 +263,25 @@ def test_model_comparison_reads_records_by_path(spark, tmp_path):
         EX.compare_records([None])
     nan = spark.createDataFrame([("n", "s", "", 1.0, math.nan, 1.0)], "model_name string, source string, config_summary string, accuracy double, macro_f1 double, weighted_f1 double")
     assert EX.compare_records([record("b", "test"), nan]).collect()[-1]["macro_f1"] is None
+
+
+def test_a_later_group_begins_at_the_nearest_models_and_ends_by_its_gradient(splits, monkeypatch):
+    """Settings that differ in min_df alone, a model a group: the second needs fewer steps, and fits its own vocabulary."""
+    stacks = [settings(c=c, min_df=low, class_weight=w) for low, c, w in ((1, 4.0, "balanced"), (14, 4.0, "balanced"), (14, 4.0, None), (14, 2.0, None))]
+    found = {}
+    for size in (L.GROUP_BYTES, 1):
+        monkeypatch.setattr(L, "GROUP_BYTES", size)
+        shared = EX._Splits(splits, NARRATIVE, stacks[0])
+        table = shared.table(stacks)
+        joint = table.fit()
+        assert table.together == (len(set(joint.distinct)) if size > 1 else 1)
+        found[size] = [joint.ended(i) for i in range(len(stacks))], shared.metrics(joint, "val", "test")
+        if size == 1:
+            assert table._nearest([joint.distinct[1]], [joint.distinct[0]]) == [joint.distinct[0]]
+            assert table._nearest([joint.distinct[2]], [joint.distinct[0], joint.distinct[1]]) in ([], [joint.distinct[0]], [joint.distinct[1]])
+        joint.clear()
+        table.clear()
+    whole, single = found.values()
+    assert all(c for _, _, c in whole[0] + single[0]) and max(g for _, g, _ in single[0]) <= 1e-4
+    assert single[0][1][0] < whole[0][1][0]
+    assert single[1] == whole[1]
